@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 BUCKET_ROWS = 500_000
 MAX_BUCKETS = 1024
@@ -35,7 +35,7 @@ def bucket_boundaries(
     rows = df.groupBy(*groups).agg(cut.alias("_cuts")).collect()
     if not groups:
         return k, [float(v) for v in rows[0]["_cuts"] or []]
-    schema = df.select(*groups).schema.add("_cuts", "array<double>")
+    schema = df.select(*groups).schema.add("_cuts", T.ArrayType(T.DoubleType()))
     data = [tuple(r[g] for g in groups) + ([float(v) for v in r["_cuts"] or []],) for r in rows]
     return k, df.sparkSession.createDataFrame(data, schema)
 

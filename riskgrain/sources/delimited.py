@@ -127,18 +127,24 @@ def transcode(
 ) -> str:
     """Rewrite the lines of a text data set in another charset; returns the target path.
 
-    Lines are read and written whole: no separator, quote or escape applies.
+    Files are split at line feeds before decoding, which is safe for UTF-8,
+    GB18030 and every single-byte charset, where no other character contains
+    that byte.  Lines keep their text, blank ones included.
     """
-    target = target or default_target(source, target_charset)
-    line = T.StructType([T.StructField("line", T.StringType())])
-    # a control character that text does not use stands in for the separator
-    plain = {"sep": "\u0001", "quote": "", "escape": "", "header": False}
     for charset in (source_charset, target_charset):
+        if charset.upper().startswith(("UTF-16", "UTF-32", "UTF16", "UTF32")):
+            raise ValueError(f"{charset} cannot be split at line feeds")
         allow_charset(spark, charset)
-    lines = (
-        spark.read.schema(line).options(encoding=source_charset, **plain).csv(source)
-    )
-    lines.write.options(
-        encoding=target_charset, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **plain
-    ).csv(target)
+    target = target or default_target(source, target_charset)
+    raw = spark.read.option("lineSep", "\n").text(source).select(F.col("value").cast("binary").alias("value"))
+    text = F.decode("value", source_charset)
+    # the text sink writes a string's bytes as they are
+    raw.select(F.encode(text, target_charset).cast("string").alias("value")).write.option("lineSep", "\n").text(target)
     return target
+
+
+def read_lines(spark: SparkSession, path: str, charset: str = UTF8) -> DataFrame:
+    """Whole lines of a text data set as column ``line``."""
+    allow_charset(spark, charset)
+    raw = spark.read.option("lineSep", "\n").text(path)
+    return raw.select(F.decode(F.col("value").cast("binary"), charset).alias("line"))

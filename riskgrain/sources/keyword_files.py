@@ -8,18 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import key_date
 from ..operators.keywords import join_response
-from .delimited import GB18030, name_columns, read_delimited, read_with_fallback, zip_rows
+from .delimited import GB18030, UTF8, name_columns, read_delimited, read_lines, zip_rows
 
 
 def read_names(spark: SparkSession, path: str, sep: str = ",", charset: str | None = None) -> list[str]:
     """The names listed on the first line of a small file; empty entries are skipped."""
-    schema = "line string"
-    plain = {"quote": "", "escape": ""}
     if charset is None:
-        df, _ = read_with_fallback(spark, path, schema, sep="\u0001", header=False, **plain)
-    else:
-        df = read_delimited(spark, path, schema, sep="\u0001", header=False, charset=charset, **plain)
-    first = df.first()
+        charset = UTF8 if read_lines(spark, path, "ISO-8859-1").where(~F.is_valid_utf8(F.encode("line", "ISO-8859-1").cast("string"))).isEmpty() else GB18030
+    first = read_lines(spark, path, charset).first()
     return [n.strip() for n in (first["line"] if first else "").split(sep) if n.strip()]
 
 

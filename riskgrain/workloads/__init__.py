@@ -1,4 +1,6 @@
 """Registered queries over the provided tables."""
 
-from . import binning, distribution, projection, response  # noqa: F401
+from . import (  # noqa: F401
+    binning, distribution, enrichment, evaluation, files, models, projection, response, samples, text,
+)
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -203,7 +203,7 @@ def by_category(spark, sf):
 
 MEASURE_SQL = """WITH k AS (SELECT {by}, {v} AS v, count(*) AS k FROM {t} WHERE {v} IS NOT NULL GROUP BY ALL),
    p AS (SELECT {by}, k / sum(k) OVER (PARTITION BY {by}) AS p FROM k)
-   SELECT {by}, round({f}, 6) AS {name} FROM p GROUP BY ALL"""
+   SELECT {by}, round({f}, 9) AS {name} FROM p GROUP BY ALL"""
 
 
 @query(
@@ -212,7 +212,7 @@ MEASURE_SQL = """WITH k AS (SELECT {by}, {v} AS v, count(*) AS k FROM {t} WHERE
 )
 def entropy(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderpriority", F.nullif("o_orderstatus", F.lit("P")).alias("v"))
-    return rounded(class_measures(orders, "v", ["o_orderpriority"]).drop("gini"))
+    return rounded(class_measures(orders, "v", ["o_orderpriority"]).drop("gini"), 9)
 
 
 @query(
@@ -221,7 +221,7 @@ def entropy(spark, sf):
 )
 def gini(spark, sf):
     ev = table(spark, sf, "events").select("user_id", F.nullif("event_type", F.lit("view")).alias("v"))
-    return rounded(class_measures(ev, "v", ["user_id"]).drop("entropy"))
+    return rounded(class_measures(ev, "v", ["user_id"]).drop("entropy"), 9)
 
 
 @query(
