@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import number
 from ..plans.order_stats import bucket_ends, bucket_of, cutoffs, quantiles
+from ..session import literal
 from .edges import Edges, breakpoints, explicit
 from .recode import invert, recode
 
@@ -90,7 +91,7 @@ def monotone_bins(df: DataFrame, col: str, y: str, n: int = 20, exact: bool = Tr
         for k, edges in candidates.items() for cell in range(len(points) - 1)
     ]
     spark = df.sparkSession
-    layout = spark.createDataFrame(members, "n_bins int, cell int, bin_id int")
+    layout = literal(spark, members, "n_bins int, cell int, bin_id int")
     table = (
         cells.join(F.broadcast(layout), "cell")
         .groupBy("n_bins", "bin_id")

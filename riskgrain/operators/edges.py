@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import number
 from ..plans.order_stats import decision_tree, quantiles
+from ..session import literal
 
 INF = float("inf")
 TREE_METHODS = ("woe", "iv", "gini", "entropy")
@@ -58,7 +59,7 @@ class Edges:
     def frame(self, df: DataFrame) -> DataFrame:
         """The bins as rows ``(bin_id, lo, hi)``."""
         rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(self.points, self.points[1:]))]
-        return df.sparkSession.createDataFrame(rows, "bin_id int, lo double, hi double")
+        return literal(df.sparkSession, rows, "bin_id int, lo double, hi double")
 
 
 def explicit(points: Sequence[float], minimum: int = 2) -> Edges:

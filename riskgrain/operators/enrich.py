@@ -12,6 +12,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import haversine_km
+from ..session import literal
 
 
 def pending(df: DataFrame, done: DataFrame, key: str, retry_failed: Sequence[str] = ()) -> DataFrame:
@@ -86,7 +87,7 @@ def run_batch(
     after = stored_results(spark, result_path).count()
     total = df.count()
     row = (after - before, total - after, total)
-    return spark.createDataFrame([row], "extracted bigint, remaining bigint, total bigint")
+    return literal(spark, [row], "extracted bigint, remaining bigint, total bigint")
 
 
 def stored_results(spark, path: str) -> DataFrame | None:

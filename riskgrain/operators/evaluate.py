@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import flag, number, ratio
 from ..plans.order_stats import bucket_ends, decision_tree, row_counts, values_at_ranks
 from ..plans.prefix import running_totals
+from ..session import literal
 from .profile import labels_of
 
 KS_BINS = 20
@@ -38,7 +39,7 @@ def _threshold_table(rows: DataFrame, thresholds: dict[str, Sequence[float]]) ->
         slot = F.when(F.col("subset") == subset, at_least).otherwise(slot)
         known += [(subset, i + 1, t) for i, t in enumerate(distinct)]
     cells = rows.groupBy("subset", slot.alias("slot")).agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    grid = spark.createDataFrame(known, "subset string, slot int, threshold double")
+    grid = literal(spark, known, "subset string, slot int, threshold double")
     # one row per slot: the number of thresholds, plus one, per subset
     above = W.partitionBy("subset").orderBy(F.col("slot").desc()).rowsBetween(W.unboundedPreceding, 0)
     whole = W.partitionBy("subset")
@@ -118,7 +119,7 @@ def roc_points(df: DataFrame, label: str, score: str, true_value=1, **options) -
         ratio(F.col("t.p") - F.col("cum_p") + F.col("p"), F.col("t.p")).alias("tpr"),
         ratio(F.col("t.n") - F.col("cum_n") + F.col("n"), F.col("t.n")).alias("fpr"),
     )
-    start = df.sparkSession.createDataFrame([(float("inf"), 0.0, 0.0)], "threshold double, tpr double, fpr double")
+    start = literal(df.sparkSession, [(float("inf"), 0.0, 0.0)], "threshold double, tpr double, fpr double")
     return start.unionByName(points)
 
 
@@ -164,14 +165,43 @@ def split_performance(
     return long.groupBy("metric").pivot("split", list(splits)).agg(F.avg("v"))
 
 
+def _ends_upto(x: Column, n: Column, k: Column) -> Column:
+    """How many of ``k`` near-equal runs of ``n`` rows end at or before row ``x``."""
+    size, longer = F.floor(n / k), n % k
+    head = longer * (size + 1)
+    return F.when(x <= head, F.floor(x / (size + 1))).otherwise(longer + F.floor((x - head) / size))
+
+
 def evaluation(
-    df: DataFrame, label: str, score: str, pred: str | None = None, by: str | None = None, n_bin: int = KS_BINS
+    df: DataFrame, label: str, score: str, pred: str | None = None, by: str | None = None, n_bin: int = KS_BINS,
+    true_value=1, **options,
 ) -> DataFrame:
-    """AUC, KS and (with predictions) accuracy, per ``by`` value or overall."""
+    """AUC, KS and (with predictions) accuracy, per ``by`` value or overall.
+
+    AUC needs the running totals over the ordered scores, and those also hold
+    the rates at the KS thresholds: one pass gives all measures.
+    """
     subset = F.lit(ALL) if by is None else F.col(by).cast("string")
-    rows = df.withColumn("_subset", subset)
-    result = auc(rows, label, score, by="_subset").join(ks(rows, label, score, n_bin, by="_subset"), "_subset")
-    if pred is not None:
-        acc = accuracy(rows, label, pred, ["_subset"]).withColumnRenamed("accuracy", "acc")
-        result = result.join(acc, "_subset")
-    return result.withColumnRenamed("_subset", by or "subset")
+    right = F.lit(None).cast("bigint") if pred is None else (F.col(label) == F.col(pred)).cast("int")
+    rows = df.select(subset.alias("subset"), F.col(label).alias("_l"), number(score).alias("score"), right.alias("right"))
+    rows = rows.where("_l is not null and score is not null and subset is not null")
+    rows = rows.select("subset", "score", "right", flag("_l", true_value).alias("y"))
+    sums = {"p": F.sum("y"), "n": F.sum(1 - F.col("y")), "r": F.sum("right"), "judged": F.count("right")}
+    totals = running_totals(rows, "score", sums, ["subset"], **options)
+    sizes = totals.groupBy("subset").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    # one row per subset
+    points = totals.join(F.broadcast(sizes), "subset")
+    last, own, size = F.col("cum_p") + F.col("cum_n"), F.col("p") + F.col("n"), F.col("_p") + F.col("_n")
+    k = F.least(F.lit(n_bin), size)
+    is_threshold = _ends_upto(last, size, k) > _ends_upto(last - own, size, k)
+    tpr = ratio(F.col("_p") - F.col("cum_p") + F.col("p"), F.col("_p"))
+    fpr = ratio(F.col("_n") - F.col("cum_n") + F.col("n"), F.col("_n"))
+    wins = F.col("p") * (F.col("cum_n") - F.col("n") + F.col("n") / 2)
+    result = points.groupBy("subset").agg(
+        ratio(F.sum(wins), F.max("_p").cast("double") * F.max("_n")).alias("auc"),
+        F.abs(F.max(F.when(is_threshold, tpr - fpr))).alias("ks"),
+        ratio(F.sum("r"), F.sum("judged")).alias("acc"),
+    )
+    if pred is None:
+        result = result.drop("acc")
+    return result.withColumnRenamed("subset", by or "subset")

@@ -12,6 +12,7 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import ratio
+from ..session import literal
 from .response import smoothed_groups
 
 
@@ -48,7 +49,7 @@ def text_to_pairs(df: DataFrame, text: str, words: Sequence[str], keep: Sequence
 
 
 def _word_list(df: DataFrame, words: Sequence[str]) -> DataFrame:
-    return df.sparkSession.createDataFrame([(w, i) for i, w in enumerate(words)], "keyword string, position int")
+    return literal(df.sparkSession, [(w, i) for i, w in enumerate(words)], "keyword string, position int")
 
 
 def _present_counts(
@@ -155,4 +156,4 @@ def principal_variance(df: DataFrame, columns: Sequence[str] | str, k: int) -> D
         vectors = VectorAssembler(inputCols=list(columns), outputCol="x").transform(df).select("x")
     model = PCA(k=k, inputCol="x", outputCol="z").fit(vectors)
     rows = [(i + 1, float(v)) for i, v in enumerate(model.explainedVariance.toArray())]
-    return df.sparkSession.createDataFrame(rows, "component int, variance_ratio double")
+    return literal(df.sparkSession, rows, "component int, variance_ratio double")

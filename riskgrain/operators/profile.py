@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import number, ratio
 from ..plans.order_stats import quantiles
+from ..session import literal
 
 FENCE = 1.5
 MAX_LABELS = 1_000
@@ -83,8 +84,8 @@ def box_summary(
         for (f, v), (q1, q2, q3) in zip(keys, quartiles.values()) if q1 is not None
     ]
     label_type = df.schema[label].dataType.simpleString()
-    known = spark.createDataFrame(
-        rows, f"feature string, label {label_type}, q1 double, median double, q3 double, lower double, upper double"
+    known = literal(
+        spark, rows, f"feature string, label {label_type}, q1 double, median double, q3 double, lower double, upper double"
     )
     long = df.select(F.col(label).alias("label"), *[number(f).alias(f) for f in features]).unpivot(
         "label", list(features), "feature", "v"
@@ -117,7 +118,7 @@ def step_distribution(
         F.coalesce(F.lit(end).cast("double"), F.max(v)).alias("b"),
     ).select("a", "b", F.floor(F.col("b") - F.col("a")).alias("steps")).first()
     if limits["a"] is None or limits["steps"] < 0:
-        return df.sparkSession.createDataFrame([], "p double, n bigint, cumulative bigint")
+        return literal(df.sparkSession, [], "p double, n bigint, cumulative bigint")
     if limits["steps"] >= MAX_HISTOGRAM_BINS:
         raise ValueError(f"{limits['steps']} steps; give a narrower range")
     step = F.greatest(F.ceil(v - F.lit(limits["a"])), F.lit(0)).cast("bigint")

@@ -6,6 +6,8 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import literal
+
 # Mappings up to this many members are sent as one literal per task; larger ones
 # are joined and left to the optimiser's own size check.
 LITERAL_MAPPING = 2_000
@@ -23,7 +25,7 @@ def invert(groups: Mapping[str, Sequence[str]]) -> dict[str, str]:
 
 
 def mapping_frame(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
-    return df.sparkSession.createDataFrame(list(mapping.items()), "member string, grp string")
+    return literal(df.sparkSession, list(mapping.items()), "member string, grp string")
 
 
 def check_mapping(df: DataFrame, col: str, mapping: Mapping[str, str]) -> None:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import hash_halves, hash_text, hash_unit
 from ..plans.hash_rank import hash_ranked
+from ..session import literal
 
 NEIGHBOURS = 5
 BLOCK_ROWS = 4_096
@@ -101,7 +102,7 @@ def nearest_neighbours(
     blocked = placed.withColumn("part", (first % F.element_at(parts, F.col("cell"))).cast("int"))
     blocks = blocked.groupBy("cell", "part").agg(F.collect_list(F.struct("key", "x")).alias("members"))
     pairs = (
-        blocks.join(F.broadcast(spark.createDataFrame(near, "cell int, other_cell int")), "cell")
+        blocks.join(F.broadcast(literal(spark, near, "cell int, other_cell int")), "cell")
         .join(
             blocks.select(F.col("cell").alias("other_cell"), F.col("part").alias("other_part"),
                           F.col("members").alias("others")),
@@ -188,9 +189,9 @@ class Resampler:
             return undersample(df, key, label, self.ratio, self.seed, **self.options)
         new = synthetic_minority(df, key, vector, label, self.ratio, seed=self.seed, **self.options)
         pos = self.options.get("pos", 1)
-        kind = df.schema[vector].dataType
+        kind = df.schema[vector].dataType.elementType
         rows = new.select(
-            F.lit(None).cast(df.schema[key].dataType).alias(key), F.col(vector).cast(kind).alias(vector),
+            F.lit(None).cast(df.schema[key].dataType).alias(key), F.transform(vector, lambda v: v.cast(kind)).alias(vector),
             F.lit(pos).cast(df.schema[label].dataType).alias(label),
         )
         return df.select(key, vector, label).unionByName(rows)

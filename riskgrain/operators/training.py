@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
+from functools import partial
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier,
 )
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..plans.prefix import MAX_GROUPS
-from ..session import materialise, scratch_path
+from ..session import literal, materialise, scratch_path
 from .evaluate import auc, evaluation, metric_summary
 from .sampling import stratified_folds, stratified_split
 
@@ -78,8 +81,6 @@ def importances(model: Model, names: Sequence[str]) -> DataFrame:
     Weight counts the splits, gain and cover are means over them; they are
     aggregated from the stored node table of the model.
     """
-    from pyspark.sql import SparkSession
-
     spark = SparkSession.active()
     path = scratch_path(spark, "trees")
     model.write().save(path)
@@ -87,7 +88,7 @@ def importances(model: Model, names: Sequence[str]) -> DataFrame:
     used = nodes.groupBy(F.col("split.featureIndex").alias("i")).agg(
         F.avg("gain").alias("gain"), F.avg("rawCount").alias("cover"), F.count("*").alias("weight")
     )
-    listed = spark.createDataFrame(list(enumerate(names)), "i int, feature string")
+    listed = literal(spark, list(enumerate(names)), "i int, feature string")
     zero = F.lit(0.0)
     return listed.join(used, "i", "left").select(
         "feature", F.coalesce("gain", zero).alias("gain"), F.coalesce("cover", zero).alias("cover"),
@@ -132,12 +133,55 @@ def run_model(
             results.append((run, r["split"], r["auc"], r["ks"], r["acc"], seconds))
             if r["split"] == "test" and (r["auc"] or 0.0) > best[1]:
                 best = (model, r["auc"] or 0.0)
-    table = spark.createDataFrame(
-        results, "run int, split string, auc double, ks double, acc double, fit_seconds double"
+    table = literal(
+        spark, results, "run int, split string, auc double, ks double, acc double, fit_seconds double"
     )
     return table, best[0]
 
 
+def _in_parallel(jobs: Sequence[Callable], parallelism: int) -> list:
+    """Run driver-side jobs side by side; each is a sequence of Spark jobs."""
+    if parallelism <= 1 or len(jobs) <= 1:
+        return [job() for job in jobs]
+    pool = ThreadPool(min(parallelism, len(jobs)))
+    try:
+        return pool.map(lambda run: run(), [inheritable_thread_target(SparkSession.active())(j) for j in jobs])
+    finally:
+        pool.close()
+
+
+def _fold_scores(
+    folded: DataFrame, key: str, label: str, features: str, estimator: Estimator, fold: int, name: str,
+    resampler: Callable[[DataFrame, str, str, str], DataFrame] | None = None,
+) -> DataFrame:
+    """Fit on all folds but one and score both sides, as rows ``(part, label, score)``."""
+    train = folded.where(F.col("fold") != fold).select(key, features, label)
+    test = folded.where(F.col("fold") == fold).select(key, features, label)
+    if resampler is not None:
+        arrays = train.withColumn(features, vector_to_array(F.col(features)))
+        train = materialise(resampler(arrays, key, features, label), "resampled").withColumn(
+            features, array_to_vector(F.col(features))
+        )
+    model = estimator.copy({estimator.featuresCol: features}).fit(train)
+    sides = [
+        with_score(model.transform(rows)).select(F.lit(f"{name}:{fold}:{side}").alias("part"), label, "score")
+        for side, rows in (("train", train), ("test", test))
+    ]
+    return sides[0].unionByName(sides[1])
+
+
+def _measured(parts: Sequence[DataFrame], label: str) -> dict[str, dict[int, dict[str, tuple[float, float]]]]:
+    """AUC and KS of scored parts as name -> fold -> side, from one evaluation."""
+    joined = parts[0]
+    for p in parts[1:]:
+        joined = joined.unionByName(p)
+    found: dict = {}
+    for m in evaluation(materialise(joined, "scored"), label, "score", by="part", n_bin=CV_KS_BINS).collect():
+        name, fold, side = m["part"].rsplit(":", 2)
+        found.setdefault(name, {}).setdefault(int(fold), {})[side] = (m["auc"], m["ks"])
+    return found
+
+
 def cross_validation(
     df: DataFrame,
     key: str,
@@ -147,6 +191,7 @@ def cross_validation(
     n_round: int = 10,
     resampler: Callable[[DataFrame, str, str, str], DataFrame] | None = None,
     seed: int = 7,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Repeated stratified cross-validation: one row per round and fold.
 
@@ -155,36 +200,19 @@ def cross_validation(
     training part only; training measures are taken on what it returns.
     """
     features = estimator.getFeaturesCol()
-    spark = df.sparkSession
-    results = []
+    rows = []
     for r in range(n_round):
         folded = materialise(
             stratified_folds(df.select(key, features, label), key, label, n_fold, seed + r), "folds"
         )
-        parts = []
-        for f in range(n_fold):
-            train = folded.where(F.col("fold") != f).drop("fold")
-            test = folded.where(F.col("fold") == f).drop("fold")
-            if resampler is not None:
-                arrays = train.withColumn(features, vector_to_array(F.col(features)))
-                train = materialise(resampler(arrays, key, features, label), "resampled").withColumn(
-                    features, array_to_vector(F.col(features))
-                )
-            model = estimator.fit(train)
-            for part, rows in (("train", train), ("test", test)):
-                scored = with_score(model.transform(rows))
-                parts.append(scored.select(F.lit(f"{f}:{part}").alias("part"), label, "score"))
-        joined = parts[0]
-        for p in parts[1:]:
-            joined = joined.unionByName(p)
-        measured = evaluation(materialise(joined, "scored"), label, "score", by="part", n_bin=CV_KS_BINS)
-        results += [(r, *m["part"].split(":"), m["auc"], m["ks"]) for m in measured.collect()]
-    rows = {}
-    for r, f, part, a, k in results:
-        rows.setdefault((r, int(f)), {})[part] = (a, k)
-    data = [(r, f, v["train"][0], v["test"][0], v["train"][1], v["test"][1]) for (r, f), v in sorted(rows.items())]
-    return spark.createDataFrame(
-        data, "round int, fold int, auc_train double, auc_test double, ks_train double, ks_test double"
+        jobs = [
+            partial(_fold_scores, folded, key, label, features, estimator, f, str(r), resampler) for f in range(n_fold)
+        ]
+        for f, m in sorted(_measured(_in_parallel(jobs, parallelism), label)[str(r)].items()):
+            rows.append((r, f, m["train"][0], m["test"][0], m["train"][1], m["test"][1]))
+    return literal(
+        df.sparkSession, rows,
+        "round int, fold int, auc_train double, auc_test double, ks_train double, ks_test double",
     )
 
 
@@ -239,42 +267,60 @@ def boosting_rounds(
         best, since = (row["auc_test"], 0) if row["auc_test"] > best else (best, since + 1)
         if since >= early_stop:
             break
-    return df.sparkSession.createDataFrame(kept, "rounds int, auc_train double, auc_test double")
+    return literal(df.sparkSession, kept, "rounds int, auc_train double, auc_test double")
 
 
 def rank_features(
     df: DataFrame, key: str, label: str, numerical: Sequence[str], categorical: Sequence[str] = (),
-    name: str = "lr", n_fold: int = 10, n_round: int = 10, seed: int = 7, **params,
+    name: str = "lr", n_fold: int = 10, n_round: int = 10, seed: int = 7, parallelism: int = 4, **params,
 ) -> DataFrame:
     """Backward elimination: drop the feature whose removal keeps the best test AUC, until one is left.
 
     One row per step: features left, mean AUCs, and the feature removed next (the
-    last row names the survivor).
+    last row names the survivor).  Every feature is encoded once and every
+    round's folds are drawn once; a step fits all its candidates on them and
+    evaluates them together.
     """
-    def measure(names: Sequence[str]) -> tuple[float, float]:
-        chosen = [c for c in numerical if c in names], [c for c in categorical if c in names]
-        prepared, _ = prepare_vars(df, *chosen)
-        cv = cross_validation(prepared, key, label, classifier(name, label, **params), n_fold, n_round, seed=seed)
-        row = cv.agg(F.avg("auc_train"), F.avg("auc_test")).first()
-        return row[0], row[1]
-
-    pool = [*numerical, *categorical]
-    steps = [(len(pool), *measure(pool))]
+    encoded = {f: f"_enc_{i}" for i, f in enumerate([*numerical, *categorical])}
+    rows = df
+    for f, out in encoded.items():
+        numbers, names = ([f], []) if f in numerical else ([], [f])
+        rows, _ = prepare_vars(rows, numbers, names, out=out)
+        rows = rows.select(*df.columns, *[c for c in rows.columns if c.startswith("_enc_")])
+    rows = materialise(rows.select(key, label, *encoded.values()), "encoded")
+    rounds = [
+        materialise(stratified_folds(rows, key, label, n_fold, seed + r), "folds") for r in range(n_round)
+    ]
+    estimator = classifier(name, label, **params)
+
+    def measure(candidates: dict[str, Sequence[str]]) -> dict[str, tuple[float, float]]:
+        jobs = []
+        for c, names in candidates.items():
+            assembler = VectorAssembler(inputCols=[encoded[f] for f in names], outputCol=FEATURES)
+            for r, folded in enumerate(rounds):
+                assembled = assembler.transform(folded)
+                jobs += [
+                    partial(_fold_scores, assembled, key, label, FEATURES, estimator, f, f"{c}:{r}")
+                    for f in range(n_fold)
+                ]
+        found: dict[str, list] = {}
+        for part, folds in _measured(_in_parallel(jobs, parallelism), label).items():
+            found.setdefault(part.rsplit(":", 1)[0], []).extend(folds.values())
+        return {
+            c: tuple(sum(m[side][0] for m in ms) / len(ms) for side in ("train", "test")) for c, ms in found.items()
+        }
+
+    pool = list(encoded)
+    steps = [(len(pool), *measure({"all": pool})["all"])]
     removed = []
     while len(pool) > 1:
-        trials = [(*measure([p for p in pool if p != f]), f) for f in pool]
-        train, test, dropped = max(trials, key=lambda t: t[1])
+        trials = measure({f: [p for p in pool if p != f] for f in pool})
+        dropped = max(pool, key=lambda f: trials[f][1])
         pool = [p for p in pool if p != dropped]
-        steps.append((len(pool), train, test))
+        steps.append((len(pool), *trials[dropped]))
         removed.append(dropped)
     removed.append(pool[0])
-    return df.sparkSession.createDataFrame(
-        [(*s, r) for s, r in zip(steps, removed)], "num_var int, auc_train double, auc_test double, removed string"
+    return literal(
+        df.sparkSession, [(*s, r) for s, r in zip(steps, removed)],
+        "num_var int, auc_train double, auc_test double, removed string",
     )
-
-
-def best_model_path(spark, model: Model) -> str:
-    """Store a fitted model and return where."""
-    path = scratch_path(spark, "model")
-    (model if isinstance(model, PipelineModel) else PipelineModel([model])).write().overwrite().save(path)
-    return path

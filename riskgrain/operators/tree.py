@@ -172,8 +172,7 @@ def grow_tree(
     frontier = pin(_roots(hist), len(features))
     sizes = [r["size"] for r in frontier.select("size").collect()]
     if not sizes:
-        return frontier.selectExpr(*[c if c in frontier.columns else f"cast(null as {t}) {c}" for c, t in
-                                     zip(NODE_COLUMNS, [None] * 10 + ["double", "boolean"])])
+        return frontier.withColumns({"bp": F.lit(None).cast("double"), "is_leaf": F.lit(True)}).select(*NODE_COLUMNS)
     leaf = {s: _smallest(min_leaf_size, s, "min_leaf_size") for s in sizes}
     least = {s: max(_smallest(min_split_size, s, "min_split_size"), leaf[s]) for s in sizes}
     if len(set(zip(leaf.values(), least.values()))) > 1:

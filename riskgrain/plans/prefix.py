@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from ..session import literal
+
 BUCKET_ROWS = 500_000
 MAX_BUCKETS = 1024
 MAX_GROUPS = 10_000
@@ -37,7 +39,7 @@ def bucket_boundaries(
         return k, [float(v) for v in rows[0]["_cuts"] or []]
     schema = df.select(*groups).schema.add("_cuts", T.ArrayType(T.DoubleType()))
     data = [tuple(r[g] for g in groups) + ([float(v) for v in r["_cuts"] or []],) for r in rows]
-    return k, df.sparkSession.createDataFrame(data, schema)
+    return k, literal(df.sparkSession, data, schema)
 
 
 def running_totals(

@@ -5,8 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_scratch: dict[str, str] = {}
@@ -75,6 +79,13 @@ def materialise(df: DataFrame, stem: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def literal(spark: SparkSession, rows: Sequence[Sequence], schema: StructType | str) -> DataFrame:
+    """A few driver rows as a literal relation, whose size the optimiser knows."""
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    data = [dict(zip(kind.names, r)) for r in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(data, schema=to_arrow_schema(kind)), schema=kind)
+
+
 def pin(df: DataFrame, max_rows: int, stem: str = "small", limit: int = 20_000) -> DataFrame:
     """Fix the rows of a table whose size is bounded by ``max_rows``.
 
@@ -82,7 +93,7 @@ def pin(df: DataFrame, max_rows: int, stem: str = "small", limit: int = 20_000)
     materialised in the shared folder.
     """
     if max_rows <= limit:
-        return df.sparkSession.createDataFrame(df.collect(), df.schema)
+        return literal(df.sparkSession, df.collect(), df.schema)
     return materialise(df, stem)
 
 

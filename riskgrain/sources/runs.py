@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.ml import Model, PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.enrich import stored_results
+from ..session import literal
 
 # One log row per run: fixed column names.
 RUN_LOG = (
@@ -22,12 +24,12 @@ def clock(seconds: float) -> str:
 
 def append_run(spark: SparkSession, path: str, **fields) -> None:
     """Append one row to the run log; fields not given stay null."""
-    schema = spark.createDataFrame([], RUN_LOG).schema
+    schema = StructType.fromDDL(RUN_LOG)
     unknown = set(fields) - set(schema.names)
     if unknown:
         raise ValueError(f"unknown log fields {sorted(unknown)}")
     row = tuple(fields.get(n) for n in schema.names)
-    spark.createDataFrame([row], schema).write.mode("append").parquet(path)
+    literal(spark, [row], schema).write.mode("append").parquet(path)
 
 
 def next_run_id(spark: SparkSession, path: str, classifier: str) -> str:

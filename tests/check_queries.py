@@ -47,7 +47,7 @@ def main() -> int:
         except Exception as error:  # report and go on
             problem, state = error, "ERROR " + "".join(traceback.format_exception_only(error))[:1500]
         failed += problem is not None
-        print(f"{name:34s} {time.time() - started:6.2f}s {state}", flush=True)
+        print(f"{name:34s} {time.time() - started:6.2f}s {state[:600]}", flush=True)
     print(f"{failed} failed")
     return 1 if failed else 0
 
