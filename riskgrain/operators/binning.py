@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import number
-from ..plans.order_stats import bucket_ends, bucket_of, cutoffs, quantiles
+from ..plans.order_stats import ONLY, bucket_ends, bucket_of, cutoffs, quantiles
 from ..session import literal
 from .edges import Edges, breakpoints, explicit
 from .recode import invert, recode
@@ -16,7 +16,7 @@ from .recode import invert, recode
 def assign_bins(df: DataFrame, col: str, edges: Edges | Sequence[float], out: str = "bin_id") -> DataFrame:
     """Add the bin of every row: a pure expression, no shuffle."""
     e = edges if isinstance(edges, Edges) else explicit(edges)
-    return df.withColumn(out, e.bin_of(col))
+    return e.assign(df, col, out)
 
 
 def bin_numeric(
@@ -52,7 +52,8 @@ def even_buckets(df: DataFrame, value: str, key: str, n: int, out: str = "bucket
     if n > total:
         raise ValueError(f"{n} buckets need at least {n} rows, found {total}")
     ends = bucket_ends(total, n)[:-1]
-    found = cutoffs(df, {"v": (v, F.col(key).cast("bigint"))}, {"v": ends}, counts={"v": total}, **search)["v"]
+    rows = df.select(F.lit(ONLY).alias("k"), v.alias("v"), F.col(key).cast("bigint").alias("tie")).where("v is not null")
+    found = cutoffs(rows, {ONLY: ends}, {ONLY: total}, **search)[ONLY]
     bucket = bucket_of(v, F.col(key), found) + 1
     return df.withColumn(out, F.when(v.isNotNull(), bucket).cast("int"))
 
@@ -79,7 +80,7 @@ def monotone_bins(df: DataFrame, col: str, y: str, n: int = 20, exact: bool = Tr
     fine = Edges(tuple(points), closed_low=True)
 
     cells = (
-        filled.groupBy(fine.bin_of("x").alias("cell"))
+        fine.assign(filled, "x", "cell").groupBy("cell")
         .agg(
             F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("x").alias("sx"),
             F.sum("y").alias("sy"), F.count("y").alias("ny"), F.count("*").alias("nx"),

@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import number
-from ..plans.order_stats import decision_tree, quantiles
+from ..plans.order_stats import TREE_TESTS, quantiles, slot_of, with_slot
 from ..session import literal
 
 INF = float("inf")
@@ -45,9 +45,19 @@ class Edges:
         x = number(c)
         low, high = F.lit(self.points[0]), F.lit(self.points[-1])
         inside = (x >= low if self.closed_low else x > low) & (x <= high)
-        which = decision_tree([x <= F.lit(p) for p in self.points[1:-1]])
+        which = slot_of(x, self.points[1:-1])
         return F.when(inside, which).otherwise(F.lit(-1)).cast("int")
 
+    def assign(self, df: DataFrame, c: str | Column, out: str) -> DataFrame:
+        """Add the bin of a value; the route for many bins."""
+        if self.n_bins - 1 <= TREE_TESTS:
+            return df.withColumn(out, self.bin_of(c))
+        low, high = F.lit(self.points[0]), F.lit(self.points[-1])
+        x = F.col("_x")
+        inside = (x >= low if self.closed_low else x > low) & (x <= high)
+        found = with_slot(df.withColumn("_x", number(c)), "_x", self.points[1:-1], out="_slot")
+        return found.withColumn(out, F.when(inside, F.col("_slot")).otherwise(F.lit(-1)).cast("int")).drop("_x", "_slot")
+
     def ends_of(self, bin_id: Column) -> tuple[Column, Column]:
         """Lower and upper end of a bin; null for the missing bin."""
         points = F.array(*[F.lit(float(p)) for p in self.points])
@@ -122,8 +132,7 @@ def even_depth(
 
 def drop_empty(df: DataFrame, col: str, edges: Edges) -> Edges:
     """Merge every bin without rows into its upper neighbour."""
-    bin_id = edges.bin_of(col).alias("b")
-    used = {r["b"] for r in df.select(bin_id).where("b >= 0").distinct().collect()}
+    used = {r["b"] for r in edges.assign(df.select(col), col, "b").select("b").where("b >= 0").distinct().collect()}
     inner = [edges.points[i + 1] for i in range(edges.n_bins) if i in used]
     low = edges.points[min(used)] if used else edges.points[0]
     return replace(edges, points=(low, *inner)) if inner else edges

@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import flag, number, ratio
-from ..plans.order_stats import bucket_ends, decision_tree, row_counts, values_at_ranks
+from ..plans.order_stats import bucket_ends, ranks_by_size, with_slot
 from ..plans.prefix import running_totals
 from ..session import literal
-from .profile import labels_of
 
 KS_BINS = 20
 ALL = "all"
@@ -31,14 +30,18 @@ def _threshold_table(rows: DataFrame, thresholds: dict[str, Sequence[float]]) ->
     sums over the few slots do the rest.
     """
     spark = rows.sparkSession
-    slot = F.lit(None).cast("int")
-    known = []
-    for subset, ths in thresholds.items():
-        distinct = sorted(set(ths))
-        at_least = decision_tree([F.col("score") < F.lit(t) for t in distinct])
-        slot = F.when(F.col("subset") == subset, at_least).otherwise(slot)
-        known += [(subset, i + 1, t) for i, t in enumerate(distinct)]
-    cells = rows.groupBy("subset", slot.alias("slot")).agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
+    descending = {s: sorted(set(ths), reverse=True) for s, ths in thresholds.items()}
+    known = [(s, len(ths) - i, t) for s, ths in descending.items() for i, t in enumerate(ths)]
+    negated = F.create_map(
+        *[c for s, ths in descending.items() for c in (F.lit(s), F.array(*[F.lit(-t) for t in ths]))]
+    )
+    placed = rows.select(
+        "subset", "y", (-F.col("score")).alias("_x"), F.try_element_at(negated, F.col("subset")).alias("_edges")
+    )
+    most = max(len(ths) for ths in descending.values())
+    placed = with_slot(placed, "_x", F.col("_edges"), F.size("_edges"), most, "_above")
+    placed = placed.select("subset", "y", (F.size("_edges") - F.col("_above")).alias("slot"))
+    cells = placed.groupBy("subset", "slot").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
     grid = literal(spark, known, "subset string, slot int, threshold double")
     # one row per slot: the number of thresholds, plus one, per subset
     above = W.partitionBy("subset").orderBy(F.col("slot").desc()).rowsBetween(W.unboundedPreceding, 0)
@@ -67,18 +70,17 @@ def threshold_rates(
     return _threshold_table(rows, {ALL: [float(t) for t in thresholds]}).drop("subset")
 
 
-def _ks_points(rows: DataFrame, n_bin: int, subsets: Sequence[str]) -> DataFrame:
-    columns = {f"s{i}": F.when(F.col("subset") == s, F.col("score")) for i, s in enumerate(subsets)}
-    counts = row_counts(rows, columns)
-    ranks = {k: bucket_ends(c, min(n_bin, c)) for k, c in counts.items() if c}
-    found = values_at_ranks(rows, columns, ranks, counts=counts)
-    thresholds = {subsets[int(k[1:])]: [v.value for v in at.values()] for k, at in found.items() if at}
-    return _threshold_table(rows, thresholds)
+def _ks_points(rows: DataFrame, n_bin: int) -> DataFrame:
+    _, found = ranks_by_size(
+        rows.select(F.col("subset").alias("k"), F.col("score").alias("v")),
+        lambda n: bucket_ends(n, min(n_bin, n)), [(i + 1) / n_bin for i in range(n_bin)],
+    )
+    return _threshold_table(rows, {k: [v.value for v in at.values()] for k, at in found.items()})
 
 
 def ks_points(df: DataFrame, label: str, score: str, n_bin: int = KS_BINS, true_value=1) -> DataFrame:
     """TPR and FPR at the last score of each of ``n_bin`` equal-count buckets."""
-    return _ks_points(scored(df, label, score, true_value), n_bin, [ALL]).drop("subset")
+    return _ks_points(scored(df, label, score, true_value), n_bin).drop("subset")
 
 
 def ks(
@@ -86,8 +88,7 @@ def ks(
 ) -> DataFrame:
     """Largest TPR - FPR over the bucket thresholds; one row, or one per ``by``."""
     rows = scored(df, label, score, true_value, by)
-    subsets = [ALL] if by is None else labels_of(rows, "subset")
-    points = _ks_points(rows, n_bin, subsets)
+    points = _ks_points(rows, n_bin)
     result = points.groupBy("subset").agg(F.abs(F.max(F.col("tpr") - F.col("fpr"))).alias("ks"))
     return result.select("ks") if by is None else result.withColumnRenamed("subset", by)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import number, ratio
-from ..plans.order_stats import quantiles
+from ..plans.order_stats import quantiles, quantiles_by_key
 from ..session import literal
 
 FENCE = 1.5
@@ -73,27 +73,21 @@ def box_summary(
 
     Whiskers are the outermost values inside the fences.
     """
-    keys = [(f, v) for f in features for v in labels_of(df, label)]
-    columns = {
-        f"k{i}": F.when(F.col(label) == F.lit(v), number(f)) for i, (f, v) in enumerate(keys)
-    }
-    quartiles = quantiles(df, columns, [0.25, 0.5, 0.75], exact=exact)
     spark = df.sparkSession
-    rows = [
-        (f, v, q1, q2, q3, *fences(q1, q3))
-        for (f, v), (q1, q2, q3) in zip(keys, quartiles.values()) if q1 is not None
-    ]
     label_type = df.schema[label].dataType.simpleString()
-    known = literal(
-        spark, rows, f"feature string, label {label_type}, q1 double, median double, q3 double, lower double, upper double"
-    )
     long = df.select(F.col(label).alias("label"), *[number(f).alias(f) for f in features]).unpivot(
         "label", list(features), "feature", "v"
+    ).where("v is not null and label is not null")
+    keyed = {f"{f}\u0001{v}": (f, v) for f in features for v in labels_of(df, label)}
+    rows = long.select(F.concat_ws("\u0001", "feature", F.col("label").cast("string")).alias("k"), "v")
+    quartiles = quantiles_by_key(rows, [0.25, 0.5, 0.75], exact=exact)
+    known = literal(
+        spark, [(*keyed[k], q1, q2, q3, *fences(q1, q3)) for k, (q1, q2, q3) in quartiles.items()],
+        f"feature string, label {label_type}, q1 double, median double, q3 double, lower double, upper double",
     )
     # at most MAX_LABELS rows per feature
     return (
-        long.where("v is not null")
-        .join(F.broadcast(known), ["feature", "label"])
+        long.join(F.broadcast(known), ["feature", "label"])
         .groupBy("feature", "label")
         .agg(
             F.count("*").alias("n"),

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import hash_halves, hash_text
-from ..plans.order_stats import Cutoff, bucket_ends, bucket_of, cutoffs
+from ..plans.order_stats import bucket_ends, bucket_of, cutoffs
 from .profile import labels_of
 
 
@@ -23,12 +23,11 @@ def _place(
 ) -> Column:
     """Name of the run a row falls into, per stratum."""
     h1, h2 = hash_halves(hash_text(key, seed))
-    columns = {s: (F.when(test, h1), h2) for s, test in strata}
-    found: dict[str, list[Cutoff]] = cutoffs(df, columns, last, counts=counts)
+    stratum = F.coalesce(*[F.when(test, F.lit(s)) for s, test in strata])
+    rows = df.select(stratum.alias("k"), h1.alias("v"), h2.alias("tie")).where("k is not null")
+    found = cutoffs(rows, last, counts)
     place = F.lit(None)
     for s, test in strata:
-        if not found[s]:
-            continue
         run = bucket_of(h1, h2, found[s])
         named = F.element_at(F.array(*[F.lit(n) for n in names[s]]), run + 1)
         place = F.when(test, named).otherwise(place)

@@ -10,22 +10,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..plans.order_stats import decision_tree
+from ..plans.order_stats import with_slot
 
 CHUNK_ROWS = 2_000_000
 MAX_CHUNKS = 512
 
 
-def _chunk_of(df: DataFrame, order: str, chunk_rows: int) -> Column:
-    """Chunk number of a row: constant for small tables, else by order-column quantiles."""
+def _with_chunk(df: DataFrame, chunk_rows: int) -> DataFrame:
+    """Add the chunk of column ``at``: constant for small tables, else by its quantiles."""
     n = df.count()
     k = min(MAX_CHUNKS, -(-n // chunk_rows))
     if k <= 1:
-        return F.lit(0)
-    kind = df.schema[order].dataType.typeName()
-    axis = F.unix_micros(F.col(order).cast("timestamp")) if kind in ("timestamp", "timestamp_ntz", "date") else F.col(order)
+        return df.withColumn("chunk", F.lit(0))
+    kind = df.schema["at"].dataType.typeName()
+    axis = F.unix_micros(F.col("at").cast("timestamp")) if kind in ("timestamp", "timestamp_ntz", "date") else F.col("at")
     cuts = df.agg(F.percentile_approx(axis, [i / k for i in range(1, k)], max(10_000, 20 * k))).first()[0] or []
-    return decision_tree([axis <= F.lit(c) for c in sorted(set(cuts))])
+    return with_slot(df.withColumn("_axis", axis), "_axis", sorted(set(cuts)), out="chunk").drop("_axis")
 
 
 def streaks(
@@ -38,8 +38,8 @@ def streaks(
     rows = df.select(
         F.col(entity).alias("entity"), F.col(order).alias("at"),
         F.coalesce(matches, F.lit(False)).alias("hit"),
-        _chunk_of(df, order, chunk_rows).alias("chunk"),
     )
+    rows = _with_chunk(rows, chunk_rows)
     inside = W.partitionBy("entity", "chunk").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
     islands = rows.withColumn("island", F.sum((~F.col("hit")).cast("int")).over(inside))
     runs = islands.groupBy("entity", "chunk", "island").agg(F.count_if("hit").alias("run"))

@@ -1,24 +1,29 @@
 """Exact order statistics without a global sort.
 
-A rank is found by narrowing a value bracket: approximate quantiles propose a
-bracket around the wanted rank, exact counts confirm it, and the loop repeats
-until few rows are left inside.  Only those rows are then ordered.  Data of any
-size needs a few column-pruned scans, no full shuffle, and no task ever holds
-more than the rows of one bracket.  A value that fills a large share of the rows
-closes its bracket on itself at once, so heavy ties cost nothing.
+A rank is found by narrowing a value interval: approximate quantiles propose
+narrow intervals around the wanted ranks, and one more pass counts everything
+outside them in bulk and every distinct value inside.  Running sums over those
+few counts give the exact values.  Data of any size needs a few column-pruned
+scans, no full shuffle, and no task holds more than the values of the intervals.
+A value that fills a large share of the rows is an interval of its own and
+collapses to one counted row, so heavy ties cost nothing.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-SMALL_BRACKET = 200_000
+SMALL = 200_000
 ACCURACY = 10_000
+MAX_KEYS = 10_000
+TREE_TESTS = 24
+ONLY = "v"
+
+Ranks = dict[str, Sequence[int]]
 
 
 class RankValue(NamedTuple):
@@ -29,136 +34,244 @@ class RankValue(NamedTuple):
     n_equal: int
 
 
-@dataclass
-class _Search:
-    name: str
-    rank: int
-    lo: float | None
-    hi: float | None
-    below: int
-    inside: int
-    spread: float
-    stuck: bool = False
-
-    def settled(self, small: int) -> bool:
-        return self.stuck or self.inside <= small or (self.lo is not None and self.lo == self.hi)
-
-
-def row_counts(df: DataFrame, columns: dict[str, Column]) -> dict[str, int]:
-    """Non-null rows of every column, in one job."""
-    row = df.agg(*[F.count(c).alias(n) for n, c in columns.items()]).first()
-    return {n: int(row[n]) for n in columns}
-
-
-def _within(c: Column, lo, hi) -> Column:
-    if lo is None:
-        return c.isNotNull()
-    return (c >= F.lit(lo)) & (c <= F.lit(hi))
-
-
-def _propose(df: DataFrame, columns: dict[str, Column], todo: list[_Search], accuracy: int) -> list[tuple]:
-    brackets: dict[tuple, list[_Search]] = {}
-    for s in todo:
-        brackets.setdefault((s.name, s.lo, s.hi), []).append(s)
-    aggs = []
-    for i, ((name, lo, hi), members) in enumerate(brackets.items()):
-        fractions = []
-        for s in members:
-            middle = (s.rank - s.below + 0.5) / s.inside
-            fractions += [max(0.0, middle - s.spread), min(1.0, middle + s.spread)]
-        inner = F.when(_within(columns[name], lo, hi), columns[name])
-        aggs.append(F.percentile_approx(inner, fractions, accuracy).alias(f"b{i}"))
-    row = df.agg(*aggs).first()
-    proposals = []
-    for i, members in enumerate(brackets.values()):
-        for j, s in enumerate(members):
-            proposals.append((s, row[i][2 * j], row[i][2 * j + 1]))
-    return proposals
-
-
-def _confirm(df: DataFrame, columns: dict[str, Column], proposals: list[tuple]) -> None:
-    wanted: dict[tuple, str] = {}
-    for s, lo, hi in proposals:
-        wanted.setdefault((s.name, "<", lo), f"c{len(wanted)}")
-        wanted.setdefault((s.name, "<=", hi), f"c{len(wanted)}")
-    aggs = []
-    for (name, op, value), alias in wanted.items():
-        c = columns[name]
-        test = c < F.lit(value) if op == "<" else c <= F.lit(value)
-        aggs.append(F.count_if(test).alias(alias))
-    row = df.agg(*aggs).first()
-    for s, lo, hi in proposals:
-        below = int(row[wanted[(s.name, "<", lo)]])
-        inside = int(row[wanted[(s.name, "<=", hi)]]) - below
-        if not below <= s.rank < below + inside:
-            s.spread *= 8
-            s.stuck = s.spread > 8
-        elif inside >= s.inside:
-            s.stuck = True
-        else:
-            s.lo, s.hi, s.below, s.inside = lo, hi, below, inside
+def decision_tree(tests: Sequence[Column], first: int = 0) -> Column:
+    """Index of the first true test among tests that turn true once and stay true.
+
+    Built as a balanced tree, so a row evaluates about log2(n) of them.
+    """
+    if not tests:
+        return F.lit(first)
+    middle = len(tests) // 2
+    return F.when(tests[middle], decision_tree(tests[:middle], first)).otherwise(
+        decision_tree(tests[middle + 1:], first + middle + 1)
+    )
+
+
+def count_below(x: Column, edges: Column, n: int | Column, most: int) -> Column:
+    """How many of the ascending array's first ``n`` entries are smaller than ``x``, by binary search."""
+    steps = [1 << i for i in range(max(1, most).bit_length() - 1, -1, -1)]
+
+    def move(at: Column, step: Column) -> Column:
+        return F.when((at + step <= n) & (F.get(edges, at + step - 1) < x), at + step).otherwise(at)
 
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), move)
 
-def _finish(df: DataFrame, columns: dict[str, Column], searches: list[_Search]) -> dict[str, dict[int, RankValue]]:
-    found: dict[str, dict[int, RankValue]] = {n: {} for n in columns}
-    brackets: dict[tuple, list[_Search]] = {}
-    for s in searches:
-        if s.lo is not None and s.lo == s.hi:
-            found[s.name][s.rank] = RankValue(s.lo, s.below, s.inside)
+
+def slot_of(x: Column, edges: Sequence[float]) -> Column:
+    """Number of ascending edges smaller than ``x``: compiled tests for few edges, a search for many."""
+    if len(edges) <= TREE_TESTS:
+        return decision_tree([x <= F.lit(e) for e in edges])
+    return count_below(x, F.array(*[F.lit(e) for e in edges]), len(edges), len(edges))
+
+
+def with_slot(df: DataFrame, x: str, edges: Column | Sequence, n: Column | int | None = None, most: int = 0, out: str = "slot") -> DataFrame:
+    """Add the number of ascending edges smaller than column ``x``.
+
+    A binary search written as one small projection per step: every step is
+    compiled, whereas one expression over many edges grows too large for that.
+    """
+    if not isinstance(edges, Column):
+        n = most = len(edges)
+        edges = F.array(*[F.lit(e) for e in edges]) if most else F.array(F.lit(None).cast("double"))
+    df = df.withColumn(out, F.lit(0))
+    step = 1 << max(1, most).bit_length() - 1
+    while step:
+        further = (F.col(out) + step <= n) & (F.get(edges, F.col(out) + (step - 1)) < F.col(x))
+        df = df.withColumn(out, F.when(further, F.col(out) + step).otherwise(F.col(out)))
+        step //= 2
+    return df
+
+
+def long_rows(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Rows ``(k, v)`` of one or several columns of the same type, nulls dropped."""
+    if len(columns) == 1:
+        ((name, c),) = columns.items()
+        rows = df.select(F.lit(name).alias("k"), c.alias("v"))
+    else:
+        rows = df.select(*[c.alias(n) for n, c in columns.items()]).unpivot([], list(columns), "k", "v")
+    return rows.where("v is not null")
+
+
+def key_counts(rows: DataFrame) -> dict[str, int]:
+    """Rows per key."""
+    found = rows.groupBy("k").agg(F.count("*").alias("n")).limit(MAX_KEYS + 1).collect()
+    if len(found) > MAX_KEYS:
+        raise ValueError(f"order statistics serve at most {MAX_KEYS} keys")
+    return {r["k"]: r["n"] for r in found}
+
+
+def _just_below(v):
+    return v - 1 if isinstance(v, int) else math.nextafter(v, -math.inf)
+
+
+def _around(fractions: Sequence[float], spread: float) -> list[float]:
+    return sorted({min(1.0, max(0.0, f + d)) for f in fractions for d in (-spread, spread)})
+
+
+def _propose(rows: DataFrame, fractions: Sequence[float], accuracy: int) -> tuple[dict[str, int], dict[str, dict[float, float]]]:
+    """Row counts and approximate quantiles per key, in one pass."""
+    found = (
+        rows.groupBy("k")
+        .agg(F.count("*").alias("n"), F.percentile_approx("v", fractions, accuracy).alias("q"))
+        .limit(MAX_KEYS + 1).collect()
+    )
+    if len(found) > MAX_KEYS:
+        raise ValueError(f"order statistics serve at most {MAX_KEYS} keys")
+    return {r["k"]: r["n"] for r in found}, {r["k"]: dict(zip(fractions, r["q"])) for r in found}
+
+
+def _intervals(wanted: Sequence[float], quantile: dict[float, float], spread: float) -> list[tuple]:
+    """Disjoint closed intervals around the wanted fractions, ascending."""
+    at = sorted(quantile)
+    spans = []
+    for f in wanted:
+        lo = max((a for a in at if a <= f - spread), default=at[0])
+        hi = min((a for a in at if a >= f + spread), default=at[-1])
+        spans.append((quantile[lo], quantile[hi]))
+    merged: list[list] = []
+    for lo, hi in sorted(spans):
+        if merged and lo <= merged[-1][1]:
+            merged[-1][1] = max(hi, merged[-1][1])
         else:
-            brackets.setdefault((s.name, s.lo, s.hi), []).append(s)
-    if not brackets:
-        return found
-    entries = []
-    local_ranks = []
-    for i, ((name, lo, hi), members) in enumerate(brackets.items()):
-        c = columns[name]
-        entries.append(F.when(_within(c, lo, hi), F.struct(F.lit(i).alias("b"), c.alias("v"))))
-        local_ranks += [F.lit(i), F.array(*[F.lit(s.rank - s.below).cast("bigint") for s in members])]
-    if len(entries) == 1:
-        rows = df.select(entries[0].alias("e")).where("e is not null").select("e.b", "e.v")
+            merged.append([lo, hi])
+    return [tuple(m) for m in merged]
+
+
+def _with_cells(rows: DataFrame, intervals: dict[str, list[tuple]]) -> DataFrame:
+    """Add the cell of each row: odd inside an interval, even in the gap before it."""
+    bounds = {k: [e for lo, hi in spans for e in (_just_below(lo), hi)] for k, spans in intervals.items()}
+    if len(bounds) == 1:
+        ((_, edges),) = bounds.items()
+        return with_slot(rows, "v", edges, out="cell")
+    arrays = F.create_map(*[c for k, es in bounds.items() for c in (F.lit(k), F.array(*[F.lit(e) for e in es]))])
+    edges = F.try_element_at(arrays, F.col("k"))
+    known = rows.where(F.col("k").isin(list(bounds))).withColumn("_edges", edges)
+    most = max(len(e) for e in bounds.values())
+    return with_slot(known, "v", F.col("_edges"), F.size("_edges"), most, "cell").drop("_edges")
+
+
+def _count_cells(rows: DataFrame, ranks: Ranks, inner: bool) -> dict[str, dict[int, RankValue]]:
+    """Exact values at ranks from rows ``(k, v[, cell])``; ranks that fall into a gap are left out."""
+    if inner:
+        value = F.when(F.col("cell") % 2 == 1, F.col("v"))
+        sizes = rows.groupBy("k", "cell", value.alias("v")).agg(F.count("*").alias("n"))
+        order = W.partitionBy("k").orderBy("cell", "v")
     else:
-        rows = df.select(F.inline(F.array_compact(F.array(*entries))))
-    sizes = rows.groupBy("b", "v").agg(F.count("*").alias("n"))
-    order = W.partitionBy("b").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = sizes.withColumn("upto", F.sum("n").over(order))
-    ranks = F.element_at(F.create_map(*local_ranks), F.col("b"))
-    hits = ranked.where(F.exists(ranks, lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))).collect()
-    members_of = list(brackets.values())
+        sizes = rows.groupBy("k", "v").agg(F.count("*").alias("n"))
+        order = W.partitionBy("k").orderBy("v")
+    ranked = sizes.withColumn("upto", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    wanted = {k: sorted(set(rs)) for k, rs in ranks.items() if rs}
+    lists = F.create_map(*[c for k, rs in wanted.items() for c in (F.lit(k), F.array(*[F.lit(r).cast("bigint") for r in rs]))])
+    mine = F.try_element_at(lists, F.col("k"))
+    most = max(len(rs) for rs in wanted.values())
+    # a rank r lies in this row if upto - n <= r < upto
+    upto = count_below(F.col("upto"), mine, F.size(mine), most)
+    before = count_below(F.col("upto") - F.col("n"), mine, F.size(mine), most)
+    hits = ranked.where(F.col("v").isNotNull() & mine.isNotNull() & (upto > before)).collect()
+    found: dict[str, dict[int, RankValue]] = {k: {} for k in ranks}
     for row in hits:
         first = row["upto"] - row["n"]
-        for s in members_of[row["b"]]:
-            if first <= s.rank - s.below < row["upto"]:
-                found[s.name][s.rank] = RankValue(row["v"], s.below + first, row["n"])
+        for r in wanted[row["k"]]:
+            if first <= r < row["upto"]:
+                found[row["k"]][r] = RankValue(row["v"], first, row["n"])
     return found
 
 
-def values_at_ranks(
-    df: DataFrame,
-    columns: dict[str, Column],
-    ranks: dict[str, Sequence[int]],
+def rank_search(
+    rows: DataFrame,
+    ranks: Ranks,
+    counts: dict[str, int],
     *,
-    counts: dict[str, int] | None = None,
-    small: int = SMALL_BRACKET,
+    small: int = SMALL,
     accuracy: int = ACCURACY,
+    proposal: dict[str, dict[float, float]] | None = None,
 ) -> dict[str, dict[int, RankValue]]:
-    """Exact values at 0-based ranks of several columns at once.
+    """Exact values at 0-based ranks per key of rows ``(k, v)``; ``v`` is double or bigint without NaN.
+
+    ``rows`` is scanned several times; hand in a stored table if it is costly.
+    """
+    ranks = {k: rs for k, rs in ranks.items() if rs}
+    for k, rs in ranks.items():
+        if min(rs) < 0 or max(rs) >= counts[k]:
+            raise ValueError(f"ranks of {k} must lie in 0..{counts[k] - 1}")
+    if not ranks:
+        return {}
+    if max(counts[k] for k in ranks) <= small:
+        return _count_cells(rows.where(F.col("k").isin(list(ranks))) if len(counts) > len(ranks) else rows, ranks, False)
+
+    spread = 2.0 / accuracy
+    fractions = {k: [(r + 0.5) / counts[k] for r in sorted(set(rs))] for k, rs in ranks.items()}
+    if proposal is None:
+        everything = sorted({f for fs in fractions.values() for f in fs})
+        _, proposal = _propose(rows, _around(everything, spread), accuracy)
+    intervals = {k: _intervals(fs, proposal[k], spread) for k, fs in fractions.items()}
+    celled = _with_cells(rows, intervals)
+    widest = max(counts[k] * 4 * spread * len(intervals[k]) for k in ranks)
+    if widest <= small:
+        found = _count_cells(celled, ranks, True)
+    else:
+        found = _narrow(celled, ranks, counts, small, accuracy)
+    # an approximate quantile may have missed its rank; the whole column then decides
+    missed = {k: [r for r in rs if r not in found.get(k, {})] for k, rs in ranks.items()}
+    if any(missed.values()):
+        again = {k: rs for k, rs in missed.items() if rs}
+        if accuracy < 100 * ACCURACY:
+            extra = rank_search(rows, again, counts, small=small, accuracy=accuracy * 8)
+        else:
+            extra = _count_cells(rows.where(F.col("k").isin(list(again))), again, False)
+        for k, values in extra.items():
+            found.setdefault(k, {}).update(values)
+    return found
+
+
+def _narrow(celled: DataFrame, ranks: Ranks, counts: dict[str, int], small: int, accuracy: int) -> dict[str, dict[int, RankValue]]:
+    """Search again inside the intervals, each as a key of its own."""
+    sizes: dict[str, dict[int, int]] = {}
+    for r in celled.groupBy("k", "cell").agg(F.count("*").alias("n")).collect():
+        sizes.setdefault(r["k"], {})[r["cell"]] = r["n"]
+    inner_ranks: dict[str, list[int]] = {}
+    inner_counts: dict[str, int] = {}
+    origin: dict[str, tuple[str, int]] = {}
+    for k, rs in ranks.items():
+        below = 0
+        for cell in sorted(sizes.get(k, {})):
+            n = sizes[k][cell]
+            if cell % 2 == 1:
+                key = f"{k}\u0001{cell}"
+                inside = [r - below for r in rs if below <= r < below + n]
+                if inside:
+                    inner_ranks[key], inner_counts[key], origin[key] = inside, n, (k, below)
+            below += n
+    inner = celled.where("cell % 2 = 1").select(F.concat_ws("\u0001", "k", "cell").alias("k"), "v")
+    shrunk = max(inner_counts.values(), default=0) < max(counts[k] for k in ranks) / 2
+    if shrunk:
+        local = rank_search(inner, inner_ranks, inner_counts, small=small, accuracy=accuracy)
+    else:
+        local = _count_cells(inner.where(F.col("k").isin(list(inner_ranks))), inner_ranks, False)
+    found: dict[str, dict[int, RankValue]] = {k: {} for k in ranks}
+    for key, values in local.items():
+        k, below = origin[key]
+        for r, at in values.items():
+            found[k][r + below] = RankValue(at.value, at.n_less + below, at.n_equal)
+    return found
+
+
+def ranks_by_size(
+    rows: DataFrame,
+    wanted: Callable[[int], Sequence[int]],
+    hints: Sequence[float],
+    *,
+    small: int = SMALL,
+    accuracy: int = ACCURACY,
+) -> tuple[dict[str, int], dict[str, dict[int, RankValue]]]:
+    """Values at ranks that depend on each key's size, near the fractions ``hints``.
 
-    All columns must share one type (double or bigint) and hold no NaN.
-    ``df`` is scanned several times; hand in a stored table if it is costly.
+    Counting and proposing share one pass.  Returns the sizes and the values.
     """
-    counts = counts or row_counts(df, columns)
-    searches = []
-    for name, wanted in ranks.items():
-        for r in sorted(set(wanted)):
-            if not 0 <= r < counts[name]:
-                raise ValueError(f"rank {r} outside 0..{counts[name] - 1} for {name}")
-            searches.append(_Search(name, r, None, None, 0, counts[name], 2.0 / accuracy))
-    if not searches:
-        return {n: {} for n in columns}
-    while todo := [s for s in searches if not s.settled(small)]:
-        _confirm(df, columns, _propose(df, columns, todo, accuracy))
-    return _finish(df, columns, searches)
+    spread = 2.0 / accuracy
+    counts, proposal = _propose(rows, _around(hints, 2 * spread), accuracy)
+    ranks = {k: list(wanted(n)) for k, n in counts.items()}
+    return counts, rank_search(rows, ranks, counts, small=small, accuracy=accuracy, proposal=proposal)
 
 
 def quantiles(
@@ -167,7 +280,7 @@ def quantiles(
     fractions: Sequence[float],
     *,
     exact: bool = True,
-    small: int = SMALL_BRACKET,
+    small: int = SMALL,
     accuracy: int = ACCURACY,
 ) -> dict[str, list[float | None]]:
     """Quantiles with linear interpolation between neighbouring order statistics.
@@ -175,19 +288,31 @@ def quantiles(
     ``exact=False`` answers from one ``percentile_approx`` scan instead.
     A column without values gives nulls.
     """
+    found = quantiles_by_key(long_rows(df, columns), fractions, exact=exact, small=small, accuracy=accuracy)
+    return {n: found.get(n, [None] * len(fractions)) for n in columns}
+
+
+def quantiles_by_key(
+    rows: DataFrame, fractions: Sequence[float], *, exact: bool = True, small: int = SMALL, accuracy: int = ACCURACY
+) -> dict[str, list[float]]:
+    """The same per key of rows ``(k, v)``."""
     if not exact:
-        row = df.agg(*[F.percentile_approx(c, list(fractions), accuracy).alias(n) for n, c in columns.items()]).first()
-        return {n: [float(v) for v in row[n]] if row[n] is not None else [None] * len(fractions) for n in columns}
-    counts = row_counts(df, columns)
-    positions = {n: [p * (counts[n] - 1) for p in fractions] if counts[n] else [] for n in columns}
-    ranks = {n: {k for x in xs for k in (math.floor(x), math.ceil(x))} for n, xs in positions.items()}
-    found = values_at_ranks(df, columns, ranks, counts=counts, small=small, accuracy=accuracy)
-    result: dict[str, list[float | None]] = {}
-    for n, xs in positions.items():
-        at = found[n]
-        result[n] = [
-            at[math.floor(x)].value + (at[math.ceil(x)].value - at[math.floor(x)].value) * (x - math.floor(x)) for x in xs
-        ] or [None] * len(fractions)
+        _, found = _propose(rows, list(fractions), accuracy)
+        return {k: [float(q[f]) for f in fractions] for k, q in found.items()}
+
+    def ranks(n: int) -> list[int]:
+        return sorted({k for p in fractions for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
+
+    counts, found = ranks_by_size(rows, ranks, fractions, small=small, accuracy=accuracy)
+    result = {}
+    for k, n in counts.items():
+        at = found[k]
+        values = []
+        for p in fractions:
+            x = p * (n - 1)
+            lo, hi = at[math.floor(x)].value, at[math.ceil(x)].value
+            values.append(lo + (hi - lo) * (x - math.floor(x)))
+        result[k] = values
     return result
 
 
@@ -199,43 +324,39 @@ class Cutoff(NamedTuple):
 
 
 def cutoffs(
-    df: DataFrame,
-    columns: dict[str, tuple[Column, Column]],
-    last_ranks: dict[str, Sequence[int]],
-    *,
-    counts: dict[str, int] | None = None,
-    small: int = SMALL_BRACKET,
+    rows: DataFrame, last_ranks: Ranks, counts: dict[str, int], *, small: int = SMALL
 ) -> dict[str, list[Cutoff]]:
-    """Rows at the given 0-based ranks of the order ``(value, tie)``.
+    """Rows at the given 0-based ranks of the order ``(v, tie)`` per key of rows ``(k, v, tie)``.
 
     With these cut-offs every row finds its bucket by comparison alone, so rows
     are ranked into buckets without moving them.  Equal values that straddle a
     cut-off are separated by the tie column.
     """
-    values = {n: v for n, (v, _) in columns.items()}
-    found = values_at_ranks(df, values, last_ranks, counts=counts, small=small)
-    tie_columns: dict[str, Column] = {}
+    found = rank_search(rows.select("k", "v"), last_ranks, counts, small=small)
     tie_ranks: dict[str, list[int]] = {}
     tie_counts: dict[str, int] = {}
-    keys: dict[tuple, str] = {}
-    for n, (value, tie) in columns.items():
-        for r in set(last_ranks[n]):
-            at = found[n][r]
+    tie_keys: dict[tuple, str] = {}
+    for k, rs in last_ranks.items():
+        for r in sorted(set(rs)):
+            at = found[k][r]
             if r < at.n_less + at.n_equal - 1:
-                key = keys.setdefault((n, at.value), f"t{len(keys)}")
-                tie_columns[key] = F.when(value == F.lit(at.value), tie)
+                key = tie_keys.setdefault((k, at.value), f"t{len(tie_keys)}")
                 tie_ranks.setdefault(key, []).append(r - at.n_less)
                 tie_counts[key] = at.n_equal
-    ties = values_at_ranks(df, tie_columns, tie_ranks, counts=tie_counts, small=small) if tie_columns else {}
+    ties: dict[str, dict[int, RankValue]] = {}
+    if tie_keys:
+        name = F.coalesce(
+            *[F.when((F.col("k") == k) & (F.col("v") == F.lit(v)), F.lit(t)) for (k, v), t in tie_keys.items()]
+        )
+        tied = rows.select(name.alias("k"), F.col("tie").alias("v")).where("k is not null")
+        ties = rank_search(tied, tie_ranks, tie_counts, small=small)
     result: dict[str, list[Cutoff]] = {}
-    for n in columns:
-        rows = []
-        for r in last_ranks[n]:
-            at = found[n][r]
-            key = keys.get((n, at.value))
-            split = key is not None and r < at.n_less + at.n_equal - 1
-            rows.append(Cutoff(at.value, ties[key][r - at.n_less].value if split else None))
-        result[n] = rows
+    for k, rs in last_ranks.items():
+        result[k] = []
+        for r in rs:
+            at = found[k][r]
+            split = r < at.n_less + at.n_equal - 1
+            result[k].append(Cutoff(at.value, ties[tie_keys[k, at.value]][r - at.n_less].value if split else None))
     return result
 
 
@@ -250,19 +371,6 @@ def bucket_ends(n: int, k: int) -> list[int]:
     return ends
 
 
-def decision_tree(tests: Sequence[Column], first: int = 0) -> Column:
-    """Index of the first true test among tests that turn true once and stay true.
-
-    Built as a balanced tree, so a row evaluates about log2(n) of them.
-    """
-    if not tests:
-        return F.lit(first)
-    middle = len(tests) // 2
-    return F.when(tests[middle], decision_tree(tests[:middle], first)).otherwise(
-        decision_tree(tests[middle + 1:], first + middle + 1)
-    )
-
-
 def bucket_of(value: Column, tie: Column, ends: Sequence[Cutoff]) -> Column:
     """0-based bucket of a row, given the last row of every bucket but the final one."""
 
@@ -271,4 +379,8 @@ def bucket_of(value: Column, tie: Column, ends: Sequence[Cutoff]) -> Column:
             return value <= F.lit(c.value)
         return (value < F.lit(c.value)) | ((value == F.lit(c.value)) & (tie <= F.lit(c.tie)))
 
-    return decision_tree([upto(c) for c in ends])
+    if len(ends) <= TREE_TESTS:
+        return decision_tree([upto(c) for c in ends])
+    most = (1 << 62) - 1
+    edges = F.array(*[F.struct(F.lit(c.value), F.lit(most if c.tie is None else c.tie).cast("bigint")) for c in ends])
+    return count_below(F.struct(value, tie.cast("bigint")), edges, len(ends), len(ends))

@@ -9,79 +9,88 @@ membership is a pure function of the row and survives any recomputation.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..session import literal
+from .order_stats import with_slot
 
-BUCKET_ROWS = 500_000
-MAX_BUCKETS = 1024
+BUCKET_ROWS = 100_000
+MAX_BUCKETS = 16_384
+MAX_OFFSETS = 1_000_000
 MAX_GROUPS = 10_000
+SAMPLE = 0.05
+FIRST_GRID = 64
 
 
-def bucket_boundaries(
-    df: DataFrame, value: Column, groups: Sequence[str], bucket_rows: int
-) -> tuple[int, DataFrame | list[float]]:
-    """Number of buckets and their boundaries, as literals."""
-    probe = df.groupBy(*groups).agg(F.approx_count_distinct(value).alias("d"))
-    sizes = probe.limit(MAX_GROUPS + 1).collect()
-    if len(sizes) > MAX_GROUPS:
+def _cuts(sample: DataFrame, value: str, groups: Sequence[str], k: int) -> list:
+    cut = F.percentile_approx(F.col(value).cast("double"), [i / k for i in range(1, k)], max(1_000, 4 * k))
+    seen = F.approx_count_distinct(value).alias("_seen")
+    rows = sample.groupBy(*groups).agg(seen, cut.alias("_cuts")).limit(MAX_GROUPS + 1).collect()
+    if len(rows) > MAX_GROUPS:
         raise ValueError(f"running totals serve at most {MAX_GROUPS} groups")
-    largest = max((r["d"] for r in sizes), default=0)
-    k = min(MAX_BUCKETS, -(-largest // bucket_rows))
+    return rows
+
+
+def bucket_boundaries(rows: DataFrame, value: str, groups: Sequence[str], bucket_rows: int) -> tuple[int, DataFrame | None]:
+    """Number of buckets and their boundaries per group, as literals.
+
+    A sample is enough: boundaries only balance the work.  A value seen in the
+    sample stands for at most 1 / SAMPLE distinct values on average, which bounds
+    the size of the buckets.
+    """
+    sample = rows.select(*groups, value).sample(SAMPLE, seed=1)
+    found = _cuts(sample, value, groups, FIRST_GRID)
+    largest = max((r["_seen"] for r in found), default=0) / SAMPLE
+    k = min(MAX_BUCKETS, MAX_OFFSETS // max(1, len(found)), math.ceil(largest / bucket_rows))
     if k <= 1:
-        return 1, []
-    fractions = [i / k for i in range(1, k)]
-    cut = F.array_distinct(F.percentile_approx(value, fractions, max(10_000, 20 * k)))
-    rows = df.groupBy(*groups).agg(cut.alias("_cuts")).collect()
-    if not groups:
-        return k, [float(v) for v in rows[0]["_cuts"] or []]
-    schema = df.select(*groups).schema.add("_cuts", T.ArrayType(T.DoubleType()))
-    data = [tuple(r[g] for g in groups) + ([float(v) for v in r["_cuts"] or []],) for r in rows]
-    return k, literal(df.sparkSession, data, schema)
+        return 1, None
+    if k > FIRST_GRID:
+        found = _cuts(sample, value, groups, k)
+    schema = rows.select(*groups).schema.add("_cuts", T.ArrayType(T.DoubleType()))
+    thin = max(1, FIRST_GRID // k)
+    data = []
+    for r in found:
+        cuts = sorted(set(r["_cuts"] or []))
+        data.append(tuple(r[g] for g in groups) + ([float(v) for v in (cuts[thin - 1::thin] if k <= FIRST_GRID else cuts)],))
+    return max(len(d[-1]) for d in data) + 1, literal(rows.sparkSession, data, schema)
 
 
 def running_totals(
     df: DataFrame,
     value: str,
     sums: dict[str, Column],
-    groups: Sequence[str] = (),
+    groups: Sequence[str],
     *,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """One row per (groups, distinct value) with each sum and its running total.
 
     ``cum_<name>`` includes the row's own value.  Nulls of ``value`` are dropped.
-    ``groups`` must be few and non-null (features, folds, splits), not entities.
+    ``groups`` must be few (features, folds, splits), not entities.
     """
     groups = list(groups)
-    rows = df.where(F.col(value).isNotNull())
-    k, cuts = bucket_boundaries(rows, F.col(value).cast("double"), groups, bucket_rows)
+    rows = df.dropna(subset=[*groups, value])
+    k, cuts = bucket_boundaries(rows, value, groups, bucket_rows)
     hist = rows.groupBy(*groups, value).agg(*[c.alias(n) for n, c in sums.items()])
     if k == 1:
         order = W.partitionBy(*groups).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
         return hist.select("*", *[F.sum(n).over(order).alias(f"cum_{n}") for n in sums])
 
-    x = F.col(value).cast("double")
-    if groups:
-        # one row of at most MAX_BUCKETS doubles per group, at most MAX_GROUPS groups
-        hist = hist.join(F.broadcast(cuts), groups, "left")
-    else:
-        hist = hist.withColumn("_cuts", F.array(*[F.lit(v) for v in cuts]).cast("array<double>"))
-    bucket = F.size(F.filter("_cuts", lambda b: b < x))
-    hist = hist.withColumn("_bucket", bucket).drop("_cuts")
-    totals = hist.groupBy(*groups, "_bucket").agg(*[F.sum(n).alias(f"_t_{n}") for n in sums])
+    # one row per group; the sample may have missed a tiny group, which is one bucket then
+    placed = hist.join(F.broadcast(cuts), groups, "left").withColumn("_x", F.col(value).cast("double"))
+    placed = with_slot(placed, "_x", F.col("_cuts"), F.coalesce(F.size("_cuts"), F.lit(0)), k, "_bucket")
+    placed = placed.select(*groups, value, "_bucket", *sums)
+    totals = placed.groupBy(*groups, "_bucket").agg(*[F.sum(n).alias(f"_t_{n}") for n in sums])
     before = W.partitionBy(*groups).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         *groups, "_bucket", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums]
     )
-    # at most MAX_BUCKETS rows per group
-    joined = hist.join(F.broadcast(offsets), [*groups, "_bucket"])
     inside = W.partitionBy(*groups, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    return joined.select(
-        *groups,
-        value,
-        *sums,
-        *[(F.col(f"_o_{n}") + F.sum(n).over(inside)).alias(f"cum_{n}") for n in sums],
+    summed = placed.select("*", *[F.sum(n).over(inside).alias(f"_i_{n}") for n in sums])
+    # at most MAX_OFFSETS rows
+    return summed.join(F.broadcast(offsets), [*groups, "_bucket"]).select(
+        *groups, value, *sums, *[(F.col(f"_o_{n}") + F.col(f"_i_{n}")).alias(f"cum_{n}") for n in sums]
     )
