@@ -73,13 +73,16 @@ def with_slot(df: DataFrame, x: str, edges: Column | Sequence, n: Column | int |
     if not isinstance(edges, Column):
         n = most = len(edges)
         edges = F.array(*[F.lit(e) for e in edges]) if most else F.array(F.lit(None).cast("double"))
-    df = df.withColumn(out, F.lit(0))
+    kept = df.columns
+    df = df.withColumn("_at", F.lit(0))
     step = 1 << max(1, most).bit_length() - 1
     while step:
-        further = (F.col(out) + step <= n) & (F.get(edges, F.col(out) + (step - 1)) < F.col(x))
-        df = df.withColumn(out, F.when(further, F.col(out) + step).otherwise(F.col(out)))
+        further = (F.col("_at") + step <= n) & (F.get(edges, F.col("_at") + (step - 1)) < F.col(x))
+        df = df.withColumn("_at", F.when(further, F.col("_at") + step).otherwise(F.col("_at")))
         step //= 2
-    return df
+    # a one-element generator keeps later filters on the slot from being rewritten
+    # into the steps, where every step would be expanded three times
+    return df.select(*kept, F.explode(F.array("_at")).alias(out))
 
 
 def long_rows(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
