@@ -101,6 +101,17 @@ HEADLINE = {
 }
 
 
+# as many rows as distinct values, which a user would write out and not collect
+WRITTEN = {"value_histograms"}
+
+
+def finish(df, name: str) -> None:
+    if name in WRITTEN:
+        df.write.format("noop").mode("overwrite").save()
+    else:
+        df.collect()
+
+
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -112,11 +123,11 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}
     for name, run in HEADLINE.items():
-        run(spark, sf).collect()
+        finish(run(spark, sf), name)
         times = []
         for _ in range(runs):
             started = time.perf_counter()
-            run(spark, sf).collect()
+            finish(run(spark, sf), name)
             times.append(time.perf_counter() - started)
         seconds[name] = round(statistics.median(times), 4)
     release(spark)

@@ -21,6 +21,7 @@ from .edges import INF, Edges
 METRICS = ("woe", "iv", "entropy", "gini")
 SMALLEST_NODE = 4
 REWRITE_EVERY = 4  # levels between rewrites of the collapsed table
+FEW_NODES = 20_000
 SCORE_DIGITS = 12
 
 NODE_COLUMNS = [
@@ -64,9 +65,20 @@ def _score(metric: str, allow_pure: bool) -> tuple[Column, Column, Column, Colum
     raise ValueError(f"metric must be one of {METRICS}")
 
 
-def _best_splits(hist: DataFrame, nodes: DataFrame, metric: str, min_split: int, allow_pure: bool) -> DataFrame:
-    """The best allowed split of every node; ties go to the smallest value."""
-    sides = hist.join(nodes, ["feature", "node_id"]).select(
+def _few(df: DataFrame, rows: float) -> DataFrame:
+    """Ask for a broadcast where the number of rows is bounded; else leave it to the optimiser."""
+    return F.broadcast(df) if rows <= FEW_NODES else df
+
+
+def _best_splits(
+    hist: DataFrame, nodes: DataFrame, n_nodes: float, metric: str, min_split: int, allow_pure: bool
+) -> DataFrame:
+    """The best allowed split of every node; ties go to the smallest value.
+
+    The best score is found first, on plain numbers, which aggregates by hash;
+    only the rows that reach it carry the split's details.
+    """
+    sides = hist.join(_few(nodes, n_nodes), ["feature", "node_id"]).select(
         "feature", "node_id", "v", "tot_pos", "tot_neg",
         (F.col("cum_p") - F.col("base_p")).alias("lp"),
         (F.col("cum_n") - F.col("base_n")).alias("ln"),
@@ -77,10 +89,13 @@ def _best_splits(hist: DataFrame, nodes: DataFrame, metric: str, min_split: int,
     )
     score, left, right, allowed = _score(metric, allow_pure)
     candidates = sides.where((F.col("lc") >= min_split) & (F.col("rc") >= min_split)).where(allowed)
-    candidates = candidates.select("*", F.round(score, SCORE_DIGITS).alias("score"), left.alias("lv"), right.alias("rv"))
-    payload = F.struct("v", "score", "lp", "ln", "lc", "rp", "rn", "rc", "lv", "rv")
-    best = F.max_by(payload, F.struct(F.col("score"), -F.col("v"))).alias("s")
-    return candidates.groupBy("feature", "node_id").agg(best).select("feature", "node_id", "s.*")
+    # the one-element generator keeps the score from being recomputed in every filter on it
+    candidates = candidates.select("*", F.explode(F.array(F.round(score, SCORE_DIGITS))).alias("score"))
+    best = candidates.groupBy("feature", "node_id").agg(F.max("score").alias("top"))
+    reached = candidates.join(_few(best, n_nodes), ["feature", "node_id"]).where("score = top")
+    payload = F.struct("v", "score", "lp", "ln", "lc", "rp", "rn", "rc", left.alias("lv"), right.alias("rv"))
+    first = F.min_by(payload, "v").alias("s")
+    return reached.groupBy("feature", "node_id").agg(first).select("feature", "node_id", "s.*")
 
 
 def split_feature(
@@ -91,7 +106,7 @@ def split_feature(
     hist = value_counts(df, features, label, pos, neg, **options).withColumn("node_id", F.lit(1).cast("bigint"))
     roots = _roots(hist)
     able = roots.where((F.col("size") >= SMALLEST_NODE) & (F.col("positive") > 0) & (F.col("negative") > 0))
-    best = _best_splits(hist, able, metric, min_split_size, allow_pure)
+    best = _best_splits(hist, able, len(list(features)), metric, min_split_size, allow_pure)
     sign = -1.0 if metric == "gini" else 1.0
     return best.select(
         "feature", F.col("v").alias("bp"), (F.col("score") * F.lit(sign)).alias("score"),
@@ -193,10 +208,10 @@ def grow_tree(
         able = frontier.where(
             (F.col("size") >= max(min_leaf, SMALLEST_NODE)) & (F.col("positive") > 0) & (F.col("negative") > 0)
         )
-        splits = _best_splits(hist, able, metric, min_split, allow_pure)
-        keep = frontier.select("feature", "node_id", "depth", "lo", "hi", "base_p", "base_n", "base_c", "tot_pos", "tot_neg")
         widest = len(features) * 2 ** (depth - 1)
-        splits = pin(splits.join(keep, ["feature", "node_id"]), widest, "tree-splits")
+        splits = _best_splits(hist, able, widest, metric, min_split, allow_pure)
+        keep = frontier.select("feature", "node_id", "depth", "lo", "hi", "base_p", "base_n", "base_c", "tot_pos", "tot_neg")
+        splits = pin(splits.join(_few(keep, widest), ["feature", "node_id"]), widest, "tree-splits")
         cut = splits.select("feature", "node_id", F.col("v").alias("bp"))
         levels.append(
             frontier.join(cut, ["feature", "node_id"], "left")
@@ -213,7 +228,7 @@ def grow_tree(
             )
             break
         # leaves' rows leave the table here, so each level works on less
-        hist = hist.join(cut, ["feature", "node_id"]).withColumn(
+        hist = hist.join(_few(cut, widest), ["feature", "node_id"]).withColumn(
             "node_id", F.col("node_id") * 2 + (F.col("v") > F.col("bp")).cast("bigint")
         ).drop("bp")
         if depth % REWRITE_EVERY == 0:

@@ -165,12 +165,14 @@ def _count_cells(rows: DataFrame, ranks: Ranks, inner: bool) -> dict[str, dict[i
     ranked = sizes.withColumn("upto", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)))
     wanted = {k: sorted(set(rs)) for k, rs in ranks.items() if rs}
     lists = F.create_map(*[c for k, rs in wanted.items() for c in (F.lit(k), F.array(*[F.lit(r).cast("bigint") for r in rs]))])
-    mine = F.try_element_at(lists, F.col("k"))
     most = max(len(rs) for rs in wanted.values())
-    # a rank r lies in this row if upto - n <= r < upto
-    upto = count_below(F.col("upto"), mine, F.size(mine), most)
-    before = count_below(F.col("upto") - F.col("n"), mine, F.size(mine), most)
-    hits = ranked.where(F.col("v").isNotNull() & mine.isNotNull() & (upto > before)).collect()
+    listed = ranked.where(F.col("v").isNotNull() & F.col("k").isin(list(wanted))).select(
+        "k", "v", "n", "upto", (F.col("upto") - F.col("n")).alias("first"), F.try_element_at(lists, F.col("k")).alias("_ranks")
+    )
+    # a rank r lies in this row if first <= r < upto
+    for edge in ("first", "upto"):
+        listed = with_slot(listed, edge, F.col("_ranks"), F.size("_ranks"), most, f"_{edge}")
+    hits = listed.where("_upto > _first").select("k", "v", "n", "upto").collect()
     found: dict[str, dict[int, RankValue]] = {k: {} for k in ranks}
     for row in hits:
         first = row["upto"] - row["n"]

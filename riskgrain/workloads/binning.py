@@ -286,7 +286,11 @@ def tree_many_values(spark, sf):
     return rounded(grow_tree(orders, ["o_totalprice"], "y", "iv", max_depth=3, min_leaf_size=0.05, min_split_size=0.05))
 
 
-@query("B10_tree_unlimited")
+# at least a tenth of the rows per leaf: ten leaves at most, so nine levels of splits
+@query(
+    "B10_tree_unlimited",
+    tree_sql("orders", "entropy", 9, "(SELECT floor(count(*) * 0.1) FROM orders)") + nodes_sql(9),
+)
 def tree_unlimited(spark, sf):
     orders = table(spark, sf, "orders").select("o_totalprice", flag("o_orderstatus", "F").alias("y"))
     return rounded(grow_tree(orders, ["o_totalprice"], "y", "entropy", min_split_size=0.1))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions import flag
@@ -111,11 +112,20 @@ def eliminated(spark, sf):
     return rounded(rank_features(rows, "doc_id", "label", INPUTS[:3], name="lr", n_fold=2, n_round=1, maxIter=5))
 
 
-@query("M7_prepare_inputs")
+PREPARED_SQL = """WITH s AS (SELECT (o_totalprice - avg(o_totalprice) OVER ()) / stddev(o_totalprice) OVER () AS v0, o_orderpriority AS p, o_orderstatus AS t FROM orders),
+   pc AS (SELECT p, row_number() OVER (ORDER BY p) AS i FROM (SELECT DISTINCT p FROM s)),
+   tc AS (SELECT t, row_number() OVER (ORDER BY t) AS i FROM (SELECT DISTINCT t FROM s)),
+   np AS (SELECT count(*) AS n FROM pc), nt AS (SELECT count(*) AS n FROM tc),
+   v AS (SELECT 0 AS position, v0 AS v FROM s
+         UNION ALL SELECT pc.i, CAST(s.p = pc.p AS INTEGER) FROM s, pc UNION ALL SELECT n + 1, 0 FROM s, np
+         UNION ALL SELECT np.n + 1 + tc.i, CAST(s.t = tc.t AS INTEGER) FROM s, tc, np
+         UNION ALL SELECT np.n + nt.n + 2, 0 FROM s, np, nt)
+   SELECT CAST(position AS INTEGER) AS position, round(avg(v), 6) + 0.0 AS mean, round(stddev(v), 6) AS std FROM v GROUP BY position"""
+
+
+@query("M7_prepare_inputs", PREPARED_SQL)
 def prepared(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
     encoded, _ = prepare_vars(orders, ["o_totalprice"], ["o_orderpriority", "o_orderstatus"])
-    from pyspark.ml.functions import vector_to_array
-
     values = encoded.select(F.posexplode(vector_to_array("features")).alias("position", "v"))
     return rounded(values.groupBy("position").agg(F.avg("v").alias("mean"), F.stddev("v").alias("std")))
