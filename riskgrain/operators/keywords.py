@@ -123,7 +123,7 @@ def _iv_per_word(counts: DataFrame, smooth: float) -> DataFrame:
     )
     # a bin that no row falls into is not part of the table
     bins = bins.where("positive + negative > 0")
-    table = smoothed_groups(bins, smooth, by=["position", "keyword"])
+    table = smoothed_groups(bins, smooth, by=["position", "keyword"], few=True)
     return table.groupBy("position", "keyword").agg(F.max("iv_total").alias("iv")).orderBy("position")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import MISSING, evidence, number, percent_text, ratio
 from .edges import Edges
@@ -21,12 +21,18 @@ GROUP_NAMES = {"sum": "总人数", "p": "坏客户", "n": "好客户", "pr": "
 SMOOTHING = ("auto", "always", "never")
 
 
-def with_totals(groups: DataFrame, totals: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
+def with_totals(
+    groups: DataFrame, totals: dict[str, Column], by: Sequence[str] = (), few: bool = False
+) -> DataFrame:
     """Attach aggregates of ``groups`` to each of its rows.
 
-    Without ``by`` the totals are a scalar subquery over the already grouped
-    rows; with ``by`` they are joined on it.  The exchange below is shared.
+    ``few`` says that each ``by`` value has few groups, as numeric bins are: a
+    window over them is enough.  Otherwise the totals are a scalar subquery over
+    the already grouped rows, or joined on ``by``; the exchange below is shared.
     """
+    if few:
+        whole = W.partitionBy(*by)
+        return groups.select("*", *[c.over(whole).alias(n) for n, c in totals.items()])
     if not by:
         pack = F.struct(*[c.alias(n) for n, c in totals.items()]).alias("t")
         packed = groups.select("*", groups.agg(pack).scalar().alias("_t"))
@@ -101,9 +107,10 @@ def woe_table(
     by = list(by)
     groups = df.groupBy(*by, group.alias("bin")).agg(*_counters(label, pos, neg, bad))
     totals = {"tot_positive": F.sum("positive"), "tot_negative": F.sum("negative")}
-    scored = _with_evidence(with_totals(groups, totals, by), smoothing)
-    finite = F.coalesce(F.sum(F.when(F.col("iv") < INF, F.col("iv"))), F.lit(0.0))
-    result = with_totals(scored, {"iv_total": F.sum("iv"), "iv_finite": finite}, by)
+    few = kind in ("n", "numerical")
+    scored = _with_evidence(with_totals(groups, totals, by, few), smoothing)
+    finite = F.sum(F.when(F.col("iv") < INF, F.col("iv")).otherwise(F.lit(0.0)))
+    result = with_totals(scored, {"iv_total": F.sum("iv"), "iv_finite": finite}, by, few)
     columns = [
         *by, "bin", "count", "tot_distr", "negative", "neg_distr", "positive", "pos_distr",
         "bad_rate", "woe", "iv", "iv_total", "iv_finite",
@@ -187,15 +194,15 @@ def smoothed_woe(
     return smoothed_groups(groups, smooth, by)
 
 
-def smoothed_groups(groups: DataFrame, smooth: float = 1.0, by: Sequence[str] = ()) -> DataFrame:
+def smoothed_groups(groups: DataFrame, smooth: float = 1.0, by: Sequence[str] = (), few: bool = False) -> DataFrame:
     """The same from counts ``positive`` and ``negative`` per bin."""
-    joined = with_totals(groups, {"_tp": F.sum("positive"), "_tn": F.sum("negative")}, by)
+    joined = with_totals(groups, {"_tp": F.sum("positive"), "_tn": F.sum("negative")}, by, few)
     woe, iv = evidence(
         F.col("positive") + F.lit(smooth), F.col("negative") + F.lit(smooth),
         F.col("_tp") + F.lit(2.0 * smooth), F.col("_tn") + F.lit(2.0 * smooth),
     )
     scored = joined.select(*groups.columns, woe.alias("woe"), iv.alias("iv"))
-    return with_totals(scored, {"iv_total": F.sum("iv")}, by)
+    return with_totals(scored, {"iv_total": F.sum("iv")}, by, few)
 
 
 def iv_from_groups(
@@ -209,8 +216,8 @@ def iv_from_groups(
     return joined.select(*by, iv.alias("_iv")).groupBy(*by).agg(F.sum("_iv").alias("iv"))
 
 
-def _rates(groups: DataFrame, by: Sequence[str]) -> DataFrame:
-    joined = with_totals(groups, {"_p": F.sum("p"), "_s": F.sum("sum")}, by)
+def _rates(groups: DataFrame, by: Sequence[str], few: bool = False) -> DataFrame:
+    joined = with_totals(groups, {"_p": F.sum("p"), "_s": F.sum("sum")}, by, few)
     return joined.withColumns(
         {
             "pr": ratio(F.col("p"), F.col("sum")),
@@ -226,7 +233,7 @@ def interval_response(df: DataFrame, y: str, edges: Edges, bin_col: str = "bin_i
         F.count("*").alias("sum"), F.sum(y).alias("p"), F.sum(1 - F.col(y)).alias("n")
     )
     lo, hi = edges.ends_of(F.col("bin"))
-    table = _rates(groups, ()).withColumns({"min": lo, "max": hi})
+    table = _rates(groups, (), few=True).withColumns({"min": lo, "max": hi})
     return table.select("bin", "min", "max", "sum", "p", "n", "pr", "nr", "overall_pr").orderBy(
         F.col("min").asc_nulls_first()
     )
