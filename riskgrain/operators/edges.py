@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import number
@@ -86,8 +87,9 @@ def value_range(df: DataFrame, col: str) -> tuple[float, float] | None:
 
 
 def _rounded(points: list[float], digits: int) -> tuple[float, ...]:
+    """Half-even rounding, with more digits where edges would coincide."""
     while True:
-        short = [round(p, digits) for p in points]
+        short = [float(p) for p in np.round(points, digits)]
         if len(set(short)) == len(points) or digits > 16:
             return tuple(short)
         digits += 1

@@ -39,7 +39,7 @@ def equal_width(spark, sf):
     """WITH r AS (SELECT min(s_acctbal) AS a, max(s_acctbal) AS b FROM supplier),
        p AS (SELECT i, CASE WHEN i = 0 THEN a - (b - a) * 0.001 WHEN i = 4 THEN b ELSE a + (b - a) * i / 4 END AS v
              FROM r, range(5) t(i)),
-       e AS (SELECT CAST(x.i AS INTEGER) AS bin, round(x.v, 3) AS lo, round(y.v, 3) AS hi
+       e AS (SELECT CAST(x.i AS INTEGER) AS bin, round_even(x.v, 3) AS lo, round_even(y.v, 3) AS hi
              FROM p x JOIN p y ON y.i = x.i + 1)
        SELECT bin, lo, hi, count(*) AS n FROM e JOIN supplier ON s_acctbal > lo AND s_acctbal <= hi GROUP BY ALL""",
 )
