@@ -95,14 +95,6 @@ def long_rows(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return rows.where("v is not null")
 
 
-def key_counts(rows: DataFrame) -> dict[str, int]:
-    """Rows per key."""
-    found = rows.groupBy("k").agg(F.count("*").alias("n")).limit(MAX_KEYS + 1).collect()
-    if len(found) > MAX_KEYS:
-        raise ValueError(f"order statistics serve at most {MAX_KEYS} keys")
-    return {r["k"]: r["n"] for r in found}
-
-
 def _just_below(v):
     return v - 1 if isinstance(v, int) else math.nextafter(v, -math.inf)
 

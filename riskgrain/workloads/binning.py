@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import flag, number
+from ..functions import flag
 from ..operators.binning import assign_bins, bin_categorical, bin_numeric, even_buckets, monotone_bins
 from ..operators.edges import Edges, even_depth, even_width, explicit, outer, value_range
-from ..operators.response import interval_response, with_empty_bins, with_ends, woe_table
+from ..operators.response import with_ends
 from ..operators.tree import breakpoints_by_depth, grow_tree, split_feature, tree_breakpoints
 from ..operators.variable import VariableAnalysis, analyse_features, feature_iv
 from .projection import PRIORITY_GROUPS

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import glob
-import os
-
 from pyspark.sql import functions as F
 
-from ..functions import flag
-from ..operators.binning import assign_bins
 from ..operators.calendar import daily_counts, daily_cumulative, monthly_counts, monthly_cumulative
 from ..operators.edges import explicit
 from ..operators.profile import histograms, step_distribution

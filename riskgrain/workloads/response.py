@@ -12,7 +12,6 @@ from ..operators.response import (
     category_profiles, category_response, class_measures, group_woe, interval_response, information_value,
     iv_from_groups, plot_series, smoothed_woe, with_empty_bins, with_ends, woe_table,
 )
-from ..operators.variable import feature_iv
 from .registry import query, rounded, table
 
 FLAGSHIP_SQL = """
