@@ -242,7 +242,8 @@ def similarity_classes(
         F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum("size") / TILE_GRAMS)).cast("int").alias("blocks"))
     bundles = max(1, math.ceil((grouped.agg(F.sum("size")).first()[0] or 0) / BUNDLE_GRAMS))
     members = (
-        source.join(grouped.join(wanted, "root").withColumnRenamed("rep", "id"), "id")
+        # by sort and merge at every size: the members grow with the documents, so a broadcast would not last
+        source.join(grouped.join(wanted, "root").withColumnRenamed("rep", "id").hint("merge"), "id")
         .select(F.col("id").alias("rep"), "root", "weight", "blocks", "text")
         .mapInArrow(_sets(n), "rep long, root long, weight long, blocks int, grams binary, signature binary")
         .withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
