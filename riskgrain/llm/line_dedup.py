@@ -126,7 +126,7 @@ def deduplicate_lines(
 
     kept = F.filter(lines_of(F.col(text)), lambda line: ~(
         (F.length(line_key(line)) >= min_chars) & F.array_contains(F.col("_drops"), key_hash(line_key(line)))))
-    joined = docs.drop("n_lines", "n_dropped").join(drops.withColumnRenamed("doc", "_doc"), F.col(id) == F.col("_doc"), "left")
+    joined = docs.drop("n_lines", "n_dropped").join(drops.withColumnRenamed("doc", "_doc").hint("merge"), F.col(id) == F.col("_doc"), "left")
     some = F.col("_drops").isNotNull()
     counted = joined.withColumn("n_lines", F.size(lines_of(F.col(text))).cast("long")).withColumn(
         "_kept", F.when(some, kept))
