@@ -227,7 +227,9 @@ def similarity_classes(
     sketch = materialise(
         source.where("id IS NOT NULL").mapInArrow(
             _sketch(n), "id long, size long, set_a long, set_b long, bands array<long>"), "sketch")
-    sets = sketch.where("size > 0").groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
+    # written first, so that the join shuffles both sides anew and the rows of a set with very many copies can be split
+    sets = materialise(sketch.where("size > 0").groupBy("set_a", "set_b").agg(
+        F.min("id").alias("rep"), F.count("*").alias("weight")), "sets")
     classed = materialise(
         sketch.where("size > 0").join(sets, ["set_a", "set_b"])
         .select("id", "rep", "weight", "size", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "classed")
