@@ -119,7 +119,8 @@ def deduplicate_lines(
     runs = LineRuns(spark, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
     for k in range(len(cuts) + 1):
         runs.add(lines.where(F.col("batch") == k))
-    frequent = runs.merged().where(F.col("n") >= min_docs).select(*KEY, "owner")
+    # written first, so that the join shuffles both sides anew and the documents of a very common line can be split
+    frequent = materialise(runs.merged().where(F.col("n") >= min_docs).select(*KEY, "owner"), "frequent")
     drops = (
         lines.join(frequent, KEY).where(F.col("doc") != F.col("owner"))
         .groupBy("doc").agg(F.collect_set(F.struct(*KEY)).alias("_drops")))
