@@ -272,5 +272,5 @@ def similarity_classes(
 def without_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents whose id is that of their class, one row each; rows with a null id stay."""
     kept = similarity_classes(docs, id, text, **options).where(F.col(id) == F.col("class_id")).select(id).distinct()
-    named = docs.where(F.col(id).isNotNull()).dropDuplicates([id, text]).join(kept, id, "left_semi")
+    named = docs.where(F.col(id).isNotNull()).join(kept, id, "left_semi").dropDuplicates([id, text])
     return named.unionByName(docs.where(F.col(id).isNull()))
