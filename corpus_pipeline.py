@@ -16,7 +16,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that a later one repeats."""
-    kept = line_dedup.deduplicate_lines(docs)
+    kept = line_dedup.deduplicate_lines(docs, counts=tuple(line_dedup.fresh(docs, "_lines", "_dropped")))
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

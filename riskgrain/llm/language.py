@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .ftrl import Ftrl, logits, softmax, temperature
+from .line_dedup import fresh
 
 FEATURES = 1 << 13
 SAMPLE = 4000
@@ -164,7 +165,7 @@ def accepted(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str
     model = fit(docs.where(~is_held_out(id)), id, text, lang, **options)
     rest = [c for c in docs.columns if c != lang]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    known = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_known")
+    known = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(fresh(docs, "_known")[0])
 
     def run(batches):
         letters = _letters()

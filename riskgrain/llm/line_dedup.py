@@ -48,6 +48,12 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (stem + "_" * k for k in range(len(taken) + 1)) if n.lower() not in taken) for stem in stems]
+
+
 class LineRuns:
     """Runs ``(h, g, n, owner)`` by level; ``add`` takes the ids of each batch below those of the batches before."""
 
@@ -101,9 +107,9 @@ class LineRuns:
 
 def deduplicate_lines(
     docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = BATCHES,
-    fanout: int = FANOUT,
+    fanout: int = FANOUT, counts: tuple[str, str] = ("n_lines", "n_dropped"),
 ) -> DataFrame:
-    """``docs`` with the kept lines in ``text`` and with columns ``n_lines`` (before) and ``n_dropped``."""
+    """``docs`` with the kept lines in ``text`` and with two counts: lines before, and dropped ones."""
     spark = docs.sparkSession
     hashes = F.array_distinct(F.transform(
         F.filter(F.transform(lines_of(F.col(text)), line_key), lambda k: F.length(k) >= min_chars), key_hash))
@@ -125,11 +131,13 @@ def deduplicate_lines(
         lines.join(frequent, KEY).where(F.col("doc") != F.col("owner"))
         .groupBy("doc").agg(F.collect_set(F.struct(*KEY)).alias("_drops")))
 
+    n_lines, n_dropped = counts
+    source = docs.drop(*counts)
+    doc, gone, rest = fresh(source, "_doc", "_drops", "_kept")
     kept = F.filter(lines_of(F.col(text)), lambda line: ~(
-        (F.length(line_key(line)) >= min_chars) & F.array_contains(F.col("_drops"), key_hash(line_key(line)))))
-    joined = docs.drop("n_lines", "n_dropped").join(drops.withColumnRenamed("doc", "_doc").hint("merge"), F.col(id) == F.col("_doc"), "left")
-    some = F.col("_drops").isNotNull()
-    counted = joined.withColumn("n_lines", F.size(lines_of(F.col(text))).cast("long")).withColumn(
-        "_kept", F.when(some, kept))
-    return counted.withColumn("n_dropped", F.when(some, F.col("n_lines") - F.size("_kept")).otherwise(0).cast("long")).withColumn(
-        text, F.when(some, F.array_join("_kept", "\n")).otherwise(F.coalesce(F.col(text), F.lit("")))).drop("_doc", "_drops", "_kept")
+        (F.length(line_key(line)) >= min_chars) & F.array_contains(F.col(gone), key_hash(line_key(line)))))
+    some = F.col(gone).isNotNull()
+    joined = source.join(drops.withColumnsRenamed({"doc": doc, "_drops": gone}).hint("merge"), F.col(id) == F.col(doc), "left")
+    counted = joined.withColumn(n_lines, F.size(lines_of(F.col(text))).cast("long")).withColumn(rest, F.when(some, kept))
+    return counted.withColumn(n_dropped, F.when(some, F.col(n_lines) - F.size(rest)).otherwise(0).cast("long")).withColumn(
+        text, F.when(some, F.array_join(rest, "\n")).otherwise(F.coalesce(F.col(text), F.lit("")))).drop(doc, gone, rest)
