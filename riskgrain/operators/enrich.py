@@ -12,6 +12,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import haversine_km
+from ..plans.prefix import running_totals
 from ..session import literal
 
 
@@ -29,29 +30,42 @@ def pending(df: DataFrame, done: DataFrame, key: str, retry_failed: Sequence[str
 
 
 def next_batch(df: DataFrame, key: str, amount: int) -> DataFrame:
-    """The first ``amount`` rows by key."""
-    return df.orderBy(key).limit(amount)
+    """The first ``amount`` rows by key; null keys come last and are never taken.
+
+    Running counts over the keys find the last one, so a batch of any size is a
+    filter and never passes through one task.  Of rows that share the last key
+    only as many are taken as fit.
+    """
+    totals = running_totals(df.select(key), key, {"c": F.count("*")}, [])
+    last = totals.where(F.col("cum_c") >= amount).orderBy(key).limit(1).collect()
+    if not last:
+        return df.where(F.col(key).isNotNull())
+    end, spare = last[0][key], last[0]["cum_c"] - amount
+    if not spare:
+        return df.where(F.col(key) <= F.lit(end))
+    ties = df.where(F.col(key) == F.lit(end)).limit(last[0]["c"] - spare)
+    return df.where(F.col(key) < F.lit(end)).unionByName(ties)
+
+
+def one_place(gazetteer: DataFrame) -> DataFrame:
+    """One row per address: of several the one with the smallest latitude, then longitude; both coordinates of one row."""
+    place = F.min(F.struct("lat", "lon"))
+    return gazetteer.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy("address").agg(place.alias("at")).select(
+        "address", "at.lat", "at.lon")
 
 
 def resolve(df: DataFrame, key: str, fields: Sequence[str], gazetteer: DataFrame) -> DataFrame:
     """Add ``<field>_lat`` and ``<field>_lon`` per address field; unknown addresses give null.
 
-    Each distinct address is looked up once, so a very frequent address costs one
-    lookup; how the join runs is left to the optimiser's size estimates.
+    One join per field with one row per address; how it runs is left to the
+    optimiser's size estimates, and the rows of a very frequent address are split
+    by its handling of skewed joins.
     """
-    long = df.select(key, *fields).unpivot(key, list(fields), "_field", "address").where("address is not null")
-    known = long.select("address").distinct().join(gazetteer.select("address", "lat", "lon"), "address")
-    wide = (
-        long.join(known, "address")
-        .groupBy(key)
-        .agg(
-            *[
-                F.max(F.when(F.col("_field") == f, F.col(c))).alias(f"{f}_{c}")
-                for f in fields for c in ("lat", "lon")
-            ]
-        )
-    )
-    return df.join(wide, key, "left")
+    places = one_place(gazetteer)
+    for f in fields:
+        named = places.select(F.col("address").alias("_address"), F.col("lat").alias(f"{f}_lat"), F.col("lon").alias(f"{f}_lon"))
+        df = df.join(named, F.col(f) == F.col("_address"), "left").drop("_address")
+    return df
 
 
 def attach_label(df: DataFrame, labels: DataFrame, key: str, label: str = "label") -> DataFrame:

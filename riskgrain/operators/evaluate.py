@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import flag, number, ratio
-from ..plans.order_stats import bucket_ends, ranks_by_size, with_slot
+from ..plans.order_stats import bucket_ends, filled_buckets, ranks_by_size, with_slot
 from ..plans.prefix import running_totals
 from ..session import literal
 
@@ -88,9 +88,26 @@ def ks(
 ) -> DataFrame:
     """Largest TPR - FPR over the bucket thresholds; one row, or one per ``by``."""
     rows = scored(df, label, score, true_value, by)
+    if by is not None:
+        return _ks_by(rows, n_bin).withColumnRenamed("subset", by)
     points = _ks_points(rows, n_bin)
     result = points.groupBy("subset").agg(F.abs(F.max(F.col("tpr") - F.col("fpr"))).alias("ks"))
-    return result.select("ks") if by is None else result.withColumnRenamed("subset", by)
+    return result.select("ks")
+
+
+def _ks_by(rows: DataFrame, n_bin: int) -> DataFrame:
+    """KS of any number of subsets: running totals tell which scores end a bucket and the rates from there on."""
+    totals = running_totals(
+        rows, "score", {"p": F.sum("y"), "n": F.sum(1 - F.col("y"))}, ["subset"])
+    sizes = totals.groupBy(F.col("subset").alias("_s")).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    placed = totals.join(sizes, F.col("subset") == F.col("_s"))
+    size = F.col("all_p") + F.col("all_n")
+    upto = F.col("cum_p") + F.col("cum_n")
+    k = F.least(F.lit(n_bin), size)
+    ends = filled_buckets(upto, size, k) > filled_buckets(upto - F.col("p") - F.col("n"), size, k)
+    tpr = ratio(F.col("all_p") - F.col("cum_p") + F.col("p"), F.col("all_p"))
+    fpr = ratio(F.col("all_n") - F.col("cum_n") + F.col("n"), F.col("all_n"))
+    return placed.where(ends).groupBy("subset").agg(F.abs(F.max(tpr - fpr)).alias("ks"))
 
 
 def _score_totals(rows: DataFrame, **options) -> DataFrame:

@@ -7,12 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import number, ratio
-from ..plans.order_stats import quantiles, quantiles_by_key
+from ..plans.order_stats import LITERAL_KEYS, quantile_table, quantiles, quantiles_by_key
 from ..session import literal
 
 FENCE = 1.5
-MAX_LABELS = 1_000
-MAX_HISTOGRAM_BINS = 10_000_000
+STEP_BLOCK = 100_000
 
 
 def ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -58,12 +57,10 @@ def flag_outliers(df: DataFrame, col: str, out: str = "is_outlier", exact: bool
     return df.withColumn(out, (v < F.lit(low)) | (v > F.lit(high)))
 
 
-def labels_of(df: DataFrame, label: str) -> list:
-    """The few distinct non-null labels of a table, sorted."""
-    rows = df.select(label).where(F.col(label).isNotNull()).distinct().limit(MAX_LABELS + 1).collect()
-    if len(rows) > MAX_LABELS:
-        raise ValueError(f"{label} has more than {MAX_LABELS} values")
-    return sorted(r[0] for r in rows)
+def labels_of(df: DataFrame, label: str, most: int = LITERAL_KEYS) -> list | None:
+    """The distinct non-null labels of a table, sorted; None if there are more than ``most``."""
+    rows = df.select(label).where(F.col(label).isNotNull()).distinct().limit(most + 1).collect()
+    return sorted(r[0] for r in rows) if len(rows) <= most else None
 
 
 def box_summary(
@@ -71,23 +68,31 @@ def box_summary(
 ) -> DataFrame:
     """Quartiles, whiskers and outlier count per feature and label.
 
-    Whiskers are the outermost values inside the fences.
+    Whiskers are the outermost values inside the fences.  The cut-offs of few
+    labels are searched for; those of many are a table made by running counts.
     """
     spark = df.sparkSession
     label_type = df.schema[label].dataType.simpleString()
     long = df.select(F.col(label).alias("label"), *[number(f).alias(f) for f in features]).unpivot(
         "label", list(features), "feature", "v"
     ).where("v is not null and label is not null")
-    keyed = {f"{f}\u0001{v}": (f, v) for f in features for v in labels_of(df, label)}
-    rows = long.select(F.concat_ws("\u0001", "feature", F.col("label").cast("string")).alias("k"), "v")
-    quartiles = quantiles_by_key(rows, [0.25, 0.5, 0.75], exact=exact)
-    known = literal(
-        spark, [(*keyed[k], q1, q2, q3, *fences(q1, q3)) for k, (q1, q2, q3) in quartiles.items()],
-        f"feature string, label {label_type}, q1 double, median double, q3 double, lower double, upper double",
-    )
-    # at most MAX_LABELS rows per feature
+    labels = labels_of(df, label)
+    if labels is None:
+        cut = quantile_table(long.select(F.struct("feature", "label").alias("k"), "v"), [0.25, 0.5, 0.75])
+        q1, q3 = F.col("q")[0], F.col("q")[2]
+        known = cut.select(
+            "k.feature", "k.label", q1.alias("q1"), F.col("q")[1].alias("median"), q3.alias("q3"),
+            (q1 - FENCE * (q3 - q1)).alias("lower"), (q3 + FENCE * (q3 - q1)).alias("upper"))
+    else:
+        keyed = {f"{f}\u0001{v}": (f, v) for f in features for v in labels}
+        rows = long.select(F.concat_ws("\u0001", "feature", F.col("label").cast("string")).alias("k"), "v")
+        quartiles = quantiles_by_key(rows, [0.25, 0.5, 0.75], exact=exact)
+        known = literal(
+            spark, [(*keyed[k], q1, q2, q3, *fences(q1, q3)) for k, (q1, q2, q3) in quartiles.items()],
+            f"feature string, label {label_type}, q1 double, median double, q3 double, lower double, upper double",
+        )
     return (
-        long.join(F.broadcast(known), ["feature", "label"])
+        long.join(known, ["feature", "label"])
         .groupBy("feature", "label")
         .agg(
             F.count("*").alias("n"),
@@ -113,15 +118,18 @@ def step_distribution(
     ).select("a", "b", F.floor(F.col("b") - F.col("a")).alias("steps")).first()
     if limits["a"] is None or limits["steps"] < 0:
         return literal(df.sparkSession, [], "p double, n bigint, cumulative bigint")
-    if limits["steps"] >= MAX_HISTOGRAM_BINS:
-        raise ValueError(f"{limits['steps']} steps; give a narrower range")
     step = F.greatest(F.ceil(v - F.lit(limits["a"])), F.lit(0)).cast("bigint")
     counts = df.where(v <= F.lit(limits["b"])).groupBy(step.alias("k")).agg(F.count("*").alias("n"))
     spine = df.sparkSession.range(limits["steps"] + 1).withColumnRenamed("id", "k")
     dense = spine.join(counts, "k", "left").select("k", F.coalesce("n", F.lit(0)).alias("n"))
-    # the spine has at most MAX_HISTOGRAM_BINS rows
-    running = W.orderBy("k").rowsBetween(W.unboundedPreceding, 0)
-    return dense.select((F.lit(limits["a"]) + F.col("k")).alias("p"), "n", F.sum("n").over(running).alias("cumulative"))
+    # blocks of steps are summed on their own, then shifted by the blocks before them
+    blocks = dense.withColumn("block", F.floor(F.col("k") / STEP_BLOCK))
+    before = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    shifts = blocks.groupBy("block").agg(F.sum("n").alias("t")).select("block", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("shift"))
+    inside = W.partitionBy("block").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    summed = blocks.withColumn("upto", F.sum("n").over(inside)).join(shifts, "block")
+    return summed.select(
+        (F.lit(limits["a"]) + F.col("k")).alias("p"), "n", (F.col("upto") + F.col("shift")).cast("bigint").alias("cumulative"))
 
 
 def histograms(df: DataFrame, features: Sequence[str], bins: int = 20, density: bool = False) -> DataFrame:

@@ -13,7 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import hash_halves, hash_text
-from ..plans.order_stats import bucket_ends, bucket_of, cutoffs
+from ..plans.hash_rank import hash_ranked
+from ..plans.order_stats import bucket_ends, bucket_of, cutoffs, filled_buckets
 from .profile import labels_of
 
 
@@ -122,9 +123,21 @@ def stratified_split(
     return df.withColumn(out, _place(df, key, seed, strata, last, counts, names))
 
 
+def _many_label_folds(df: DataFrame, key: str, label: str, k: int, seed: int, out: str) -> DataFrame:
+    """The same folds from ranks in hash order, for more labels than a plan should name."""
+    sizes = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_size"))
+    if short := sizes.where(F.col("_size") < k).limit(10).collect():
+        raise ValueError(f"labels {[r[0] for r in short]} have fewer than {k} rows")
+    ranked = hash_ranked(df, key, seed, [label], "_rank").join(sizes, F.col(label) == F.col("_label"), "left")
+    return ranked.withColumn(
+        out, filled_buckets(F.col("_rank") - 1, F.col("_size"), F.lit(k)).cast("int")).drop("_rank", "_label", "_size")
+
+
 def stratified_folds(df: DataFrame, key: str, label: str, k: int, seed: int = 7, out: str = "fold") -> DataFrame:
     """0-based fold per row; within each label the folds differ by at most one row."""
     labels = labels_of(df, label)
+    if labels is None:
+        return _many_label_folds(df, key, label, k, seed, out)
     tests = {f"l{i}": F.col(label) == F.lit(v) for i, v in enumerate(labels)}
     row = df.agg(*[F.count_if(t).alias(s) for s, t in tests.items()]).first()
     counts = {s: int(row[s]) for s in tests}

@@ -13,13 +13,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..plans.order_stats import with_slot
 
 CHUNK_ROWS = 2_000_000
-MAX_CHUNKS = 512
 
 
 def _with_chunk(df: DataFrame, chunk_rows: int) -> DataFrame:
     """Add the chunk of column ``at``: constant for small tables, else by its quantiles."""
     n = df.count()
-    k = min(MAX_CHUNKS, -(-n // chunk_rows))
+    k = -(-n // chunk_rows)
     if k <= 1:
         return df.withColumn("chunk", F.lit(0))
     kind = df.schema["at"].dataType.typeName()

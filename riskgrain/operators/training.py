@@ -16,7 +16,6 @@ from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..plans.prefix import MAX_GROUPS
 from ..session import literal, materialise, scratch_path
 from .evaluate import auc, evaluation, metric_summary
 from .sampling import stratified_folds, stratified_split
@@ -231,8 +230,6 @@ def boosting_rounds(
     the last row is the stopping point.  Every fold is boosted once and its
     partial sums of trees give the score after each round.
     """
-    if 2 * n_fold * max_rounds > MAX_GROUPS:
-        raise ValueError("too many folds and rounds")
     folded = materialise(stratified_folds(df.select(key, FEATURES, label), key, label, n_fold, seed), "folds")
     parts = []
     for f in range(n_fold):

@@ -8,24 +8,27 @@ earlier buckets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import hash_text
 
-PREFIX_DIGITS = 3  # 4,096 buckets
+BUCKET_ROWS = 1_000_000
 
 
 def hash_ranked(
-    df: DataFrame, key: str | Sequence[str], seed: int, by: Sequence[str] = (), rank_col: str = "rank"
+    df: DataFrame, key: str | Sequence[str], seed: int, by: Sequence[str] = (), rank_col: str = "rank",
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Add the 1-based rank of every row by ``md5(key:seed)``, within ``by``.
 
-    ``key`` must be unique and ``by`` must take few values.
+    ``key`` must be unique.  The number of buckets follows the number of rows.
     """
     by = list(by)
-    rows = df.withColumn("_hash", hash_text(key, seed)).withColumn("_prefix", F.substring("_hash", 1, PREFIX_DIGITS))
+    digits = max(1, math.ceil(math.log(max(1, df.count() / bucket_rows), 16)))
+    rows = df.withColumn("_hash", hash_text(key, seed)).withColumn("_prefix", F.substring("_hash", 1, digits))
     sizes = rows.groupBy(*by, "_prefix").agg(F.count("*").alias("_n"))
     before = W.partitionBy(*by).orderBy("_prefix").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*by, "_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
@@ -40,6 +43,5 @@ def hash_ranked(
         match = F.col("_prefix") == F.col("_p")
     inside = W.partitionBy(*by, "_prefix").orderBy("_hash")
     ranked = rows.withColumn("_pos", F.row_number().over(inside))
-    # 4,096 rows per value of ``by``
-    joined = ranked.join(F.broadcast(offsets), match)
+    joined = ranked.join(offsets, match)
     return joined.select(*df.columns, (F.col("_pos") + F.col("_offset")).cast("bigint").alias(rank_col))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 SMALL = 200_000
 ACCURACY = 10_000
-MAX_KEYS = 10_000
+LITERAL_KEYS = 1_000
 TREE_TESTS = 24
 ONLY = "v"
 
@@ -104,14 +104,12 @@ def _around(fractions: Sequence[float], spread: float) -> list[float]:
 
 
 def _propose(rows: DataFrame, fractions: Sequence[float], accuracy: int) -> tuple[dict[str, int], dict[str, dict[float, float]]]:
-    """Row counts and approximate quantiles per key, in one pass."""
+    """Row counts and approximate quantiles per key, in one pass; for few keys (``quantile_table`` serves many)."""
     found = (
         rows.groupBy("k")
         .agg(F.count("*").alias("n"), F.percentile_approx("v", fractions, accuracy).alias("q"))
-        .limit(MAX_KEYS + 1).collect()
+        .collect()
     )
-    if len(found) > MAX_KEYS:
-        raise ValueError(f"order statistics serve at most {MAX_KEYS} keys")
     return {r["k"]: r["n"] for r in found}, {r["k"]: dict(zip(fractions, r["q"])) for r in found}
 
 
@@ -313,6 +311,35 @@ def quantiles_by_key(
     return result
 
 
+def filled_buckets(rows: Column, size: Column, k: Column) -> Column:
+    """How many of the ``k`` near-equal runs of ``size`` rows the first ``rows`` rows fill (see ``bucket_ends``)."""
+    short, longer = F.floor(size / k), size % k
+    first = longer * (short + 1)
+    return F.when(rows <= first, F.floor(rows / (short + 1))).otherwise(
+        longer + F.floor((rows - first) / F.greatest(short, F.lit(1)))).cast("bigint")
+
+
+def quantile_table(rows: DataFrame, fractions: Sequence[float], **options) -> DataFrame:
+    """``(k, n, q)`` for rows ``(k, v)``: the exact quantiles of every key, however many keys there are.
+
+    Nothing reaches the driver: running counts over the distinct values tell
+    which value holds which rank.
+    """
+    from .prefix import running_totals
+
+    totals = running_totals(rows, "v", {"c": F.count("*")}, ["k"], **options)
+    sizes = totals.groupBy("k").agg(F.max("cum_c").alias("n")).withColumnRenamed("k", "_k")
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(fractions)])
+    at = F.col("w.p") * (F.col("n") - 1)
+    listed = totals.join(sizes, F.col("k") == F.col("_k")).select("k", "v", "n", "c", "cum_c", F.explode(wanted).alias("w"))
+    first, last = F.floor(at), F.ceil(at)
+    holds = lambda r: (r >= F.col("cum_c") - F.col("c")) & (r < F.col("cum_c"))
+    ends = listed.where(holds(first) | holds(last)).groupBy("k", "n", "w").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    values = ends.select("k", "n", "w.i", (F.col("lo") + (F.col("hi") - F.col("lo")) * (at - first)).alias("q"))
+    return values.groupBy("k", "n").agg(F.sort_array(F.collect_list(F.struct("i", "q"))).alias("q")).select(
+        "k", "n", F.transform("q", lambda x: x["q"]).alias("q"))
+
+
 class Cutoff(NamedTuple):
     """Last row of a bucket in ``(value, tie)`` order; no tie means all equal rows belong."""
 

@@ -1,10 +1,12 @@
 """Distributed running totals over an ordered value.
 
 Rows are first collapsed to one per distinct value (map-side combined, so a hot
-value never travels as many rows).  The distinct values are then cut into
-buckets by boundaries fixed beforehand, each bucket is summed on its own, and
-the total of all earlier buckets is added.  Boundaries are literals: bucket
-membership is a pure function of the row and survives any recomputation.
+value never travels as many rows).  The collapsed table is written and, if it is
+large, dealt by range over (groups, value) into buckets of about ``bucket_rows``
+distinct values, whatever their counts and whatever the number of groups.  Each
+bucket is summed on its own and the total of its group's earlier buckets is
+added.  Bucket numbers are written with the rows, so a lost executor changes
+nothing.
 """
 
 from __future__ import annotations
@@ -12,50 +14,20 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..session import literal
-from .order_stats import with_slot
+from ..session import materialise
 
 BUCKET_ROWS = 100_000
-MAX_BUCKETS = 16_384
-MAX_OFFSETS = 1_000_000
-MAX_GROUPS = 10_000
-SAMPLE = 0.05
-FIRST_GRID = 64
 
 
-def _cuts(sample: DataFrame, value: str, groups: Sequence[str], k: int) -> list:
-    cut = F.percentile_approx(F.col(value).cast("double"), [i / k for i in range(1, k)], max(1_000, 4 * k))
-    seen = F.approx_count_distinct(value).alias("_seen")
-    rows = sample.groupBy(*groups).agg(seen, cut.alias("_cuts")).limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"running totals serve at most {MAX_GROUPS} groups")
-    return rows
-
-
-def bucket_boundaries(rows: DataFrame, value: str, groups: Sequence[str], bucket_rows: int) -> tuple[int, DataFrame | None]:
-    """Number of buckets and their boundaries per group, as literals.
-
-    A sample is enough: boundaries only balance the work.  A value seen in the
-    sample stands for at most 1 / SAMPLE distinct values on average, which bounds
-    the size of the buckets.
-    """
-    sample = rows.select(*groups, value).sample(SAMPLE, seed=1)
-    found = _cuts(sample, value, groups, FIRST_GRID)
-    largest = max((r["_seen"] for r in found), default=0) / SAMPLE
-    k = min(MAX_BUCKETS, MAX_OFFSETS // max(1, len(found)), math.ceil(largest / bucket_rows))
-    if k <= 1:
-        return 1, None
-    if k > FIRST_GRID:
-        found = _cuts(sample, value, groups, k)
-    schema = rows.select(*groups).schema.add("_cuts", T.ArrayType(T.DoubleType()))
-    thin = max(1, FIRST_GRID // k)
-    data = []
-    for r in found:
-        cuts = sorted(set(r["_cuts"] or []))
-        data.append(tuple(r[g] for g in groups) + ([float(v) for v in (cuts[thin - 1::thin] if k <= FIRST_GRID else cuts)],))
-    return max(len(d[-1]) for d in data) + 1, literal(rows.sparkSession, data, schema)
+def bucketed(hist: DataFrame, value: str, groups: Sequence[str], bucket_rows: int) -> DataFrame | None:
+    """The distinct values with a column ``_bucket`` that ascends with (groups, value); None if one bucket holds them."""
+    buckets = math.ceil(hist.count() / bucket_rows)
+    if buckets <= 1:
+        return None
+    dealt = hist.repartitionByRange(buckets, *groups, value).withColumn("_bucket", F.spark_partition_id())
+    return materialise(dealt, "buckets")
 
 
 def running_totals(
@@ -68,29 +40,25 @@ def running_totals(
 ) -> DataFrame:
     """One row per (groups, distinct value) with each sum and its running total.
 
-    ``cum_<name>`` includes the row's own value.  Nulls of ``value`` are dropped.
-    ``groups`` must be few (features, folds, splits), not entities.
+    ``cum_<name>`` includes the row's own value.  Nulls of ``value`` and of the
+    groups are dropped.  There may be any number of groups, of any size.
     """
     groups = list(groups)
-    rows = df.dropna(subset=[*groups, value])
-    k, cuts = bucket_boundaries(rows, value, groups, bucket_rows)
-    hist = rows.groupBy(*groups, value).agg(*[c.alias(n) for n, c in sums.items()])
-    if k == 1:
+    hist = materialise(
+        df.dropna(subset=[*groups, value]).groupBy(*groups, value).agg(*[c.alias(n) for n, c in sums.items()]), "values")
+    placed = bucketed(hist, value, groups, bucket_rows)
+    if placed is None:
         order = W.partitionBy(*groups).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
         return hist.select("*", *[F.sum(n).over(order).alias(f"cum_{n}") for n in sums])
 
-    # one row per group; the sample may have missed a tiny group, which is one bucket then
-    placed = hist.join(F.broadcast(cuts), groups, "left").withColumn("_x", F.col(value).cast("double"))
-    placed = with_slot(placed, "_x", F.col("_cuts"), F.coalesce(F.size("_cuts"), F.lit(0)), k, "_bucket")
-    placed = placed.select(*groups, value, "_bucket", *sums)
     totals = placed.groupBy(*groups, "_bucket").agg(*[F.sum(n).alias(f"_t_{n}") for n in sums])
+    # a row for each bucket that a group reaches
     before = W.partitionBy(*groups).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         *groups, "_bucket", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums]
     )
     inside = W.partitionBy(*groups, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     summed = placed.select("*", *[F.sum(n).over(inside).alias(f"_i_{n}") for n in sums])
-    # at most MAX_OFFSETS rows
-    return summed.join(F.broadcast(offsets), [*groups, "_bucket"]).select(
+    return summed.join(offsets, [*groups, "_bucket"]).select(
         *groups, value, *sums, *[(F.col(f"_o_{n}") + F.col(f"_i_{n}")).alias(f"cum_{n}") for n in sums]
     )

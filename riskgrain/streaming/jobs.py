@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.enrich import attach_label
+from ..operators.enrich import attach_label, one_place
 
 
 def enrich_stream(
@@ -25,7 +25,7 @@ def enrich_stream(
     continues there.  Stops when all present files are done.
     """
     rows = spark.readStream.schema(schema).parquet(source)
-    places = gazetteer.select(
+    places = one_place(gazetteer).select(
         F.col("address").alias(address), F.col("lat").alias(f"{address}_lat"), F.col("lon").alias(f"{address}_lon")
     )
     resolved = rows.join(places, address, "left")

@@ -107,9 +107,9 @@ def gains(spark, sf):
 
 @query("M6_backward_elimination")
 def eliminated(spark, sf):
-    rows = study_rows(spark, sf).select("doc_id", "label", *INPUTS[:3])
+    rows = study_rows(spark, sf).select("doc_id", "label", *INPUTS)
     rows = materialise(rows, "elimination")
-    return rounded(rank_features(rows, "doc_id", "label", INPUTS[:3], name="lr", n_fold=2, n_round=1, maxIter=5))
+    return rounded(rank_features(rows, "doc_id", "label", INPUTS, name="lr", n_fold=2, n_round=1, maxIter=5))
 
 
 PREPARED_SQL = """WITH s AS (SELECT (o_totalprice - avg(o_totalprice) OVER ()) / stddev(o_totalprice) OVER () AS v0, o_orderpriority AS p, o_orderstatus AS t FROM orders),

@@ -92,12 +92,11 @@ PAIR_SQL = """m AS (SELECT vec_id, embedding AS x FROM embeddings WHERE label =
 
 @query(
     "S5_nearest_neighbours",
-    "WITH " + PAIR_SQL.format(label=3)
+    "WITH " + PAIR_SQL.replace("WHERE label = {label}", "")
     + " SELECT key, CAST(rank AS INTEGER) AS rank, neighbour, round(distance, 6) AS distance FROM k WHERE rank <= 5",
 )
 def neighbours(spark, sf):
-    vectors = table(spark, sf, "embeddings").where("label = 3")
-    return rounded(nearest_neighbours(vectors, "vec_id", "embedding", 5))
+    return rounded(nearest_neighbours(table(spark, sf, "embeddings"), "vec_id", "embedding", 5))
 
 
 @query(

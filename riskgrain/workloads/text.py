@@ -39,10 +39,10 @@ def pairs(spark, sf):
 
 @query(
     "K2_join_response",
-    f"SELECT m.*, quality AS label FROM ({matrix_sql(WORDS[:4])}) m LEFT JOIN labels USING (doc_id)",
+    f"SELECT m.*, quality AS label FROM ({matrix_sql(WORDS)}) m LEFT JOIN labels USING (doc_id)",
 )
 def joined(spark, sf):
-    wide = presence_matrix(table(spark, sf, "documents"), "doc_id", "text", WORDS[:4], prefix="has_")
+    wide = presence_matrix(table(spark, sf, "documents"), "doc_id", "text", WORDS, prefix="has_")
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
     return join_response(wide, labels, "doc_id")
 
