@@ -17,19 +17,20 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import literal, materialise, scratch_path
+from .adaboost import AdaBoost
 from .evaluate import auc, evaluation, metric_summary
 from .sampling import stratified_folds, stratified_split
 
 FEATURES = "features"
 CV_KS_BINS = 50
 
-# Both boosting names train Spark's gradient-boosted trees; the support vector
+# gbc and xgboost both train Spark's gradient-boosted trees; the support vector
 # machine is linear and is scored by its margin.
 CLASSIFIERS: dict[str, Callable[..., Estimator]] = {
     "lr": LogisticRegression,
     "rf": RandomForestClassifier,
     "gbc": GBTClassifier,
-    "adaboost": GBTClassifier,
+    "adaboost": AdaBoost,
     "xgboost": GBTClassifier,
     "bnb": lambda **p: NaiveBayes(modelType="bernoulli", **p),
     "svm": LinearSVC,

@@ -47,12 +47,17 @@ def read_with_fallback(
 ) -> tuple[DataFrame, str]:
     """Read with the first charset that decodes every row, and say which it was.
 
-    Bad bytes do not raise in Spark: they turn into the replacement character,
-    which one scan per rejected charset looks for.
+    UTF-8 is tested on the bytes of all lines, so a replacement character that
+    stands in the text is no sign of a failed decode.  In other charsets bad
+    bytes turn into that character, which one scan per rejected charset looks for.
     """
     for charset in charsets[:-1]:
         df = read_delimited(spark, path, schema, sep, header, charset, **options)
-        if df.where(garbled(df)).isEmpty():
+        if charset.upper() in ("UTF-8", "UTF8"):
+            bad = spark.read.option("lineSep", "\n").text(path).where(~F.is_valid_utf8("value"))
+        else:
+            bad = df.where(garbled(df))
+        if bad.isEmpty():
             return df, charset
     last = charsets[-1]
     return read_delimited(spark, path, schema, sep, header, last, **options), last
@@ -129,20 +134,32 @@ def transcode(
 
     Files are split at line feeds before decoding, which is safe for UTF-8,
     GB18030 and every single-byte charset, where no other character contains
-    that byte.  Lines keep their text, blank ones included.
+    that byte.  UTF-16 and UTF-32 files are decoded whole, a file to a task, and
+    split then; as targets without a byte order they are written big-endian,
+    without a mark.  Lines keep their text, blank ones included.
     """
     for charset in (source_charset, target_charset):
-        if charset.upper().startswith(("UTF-16", "UTF-32", "UTF16", "UTF32")):
-            raise ValueError(f"{charset} cannot be split at line feeds")
         allow_charset(spark, charset)
     target = target or default_target(source, target_charset)
-    raw = spark.read.option("lineSep", "\n").text(source).select(F.col("value").cast("binary").alias("value"))
-    text = F.decode("value", source_charset)
+    if wide(source_charset):
+        whole = spark.read.format("binaryFile").load(source).select(F.decode("content", source_charset).alias("t")).where("t <> ''")
+        lines = whole.select(F.explode(F.split(F.regexp_replace("t", r"\n\z", ""), "\n")).alias("value"))
+    else:
+        raw = spark.read.option("lineSep", "\n").text(source).select(F.col("value").cast("binary").alias("value"))
+        lines = raw.select(F.decode("value", source_charset).alias("value"))
+    if target_charset.upper() in ("UTF-16", "UTF-32"):
+        target_charset = allow_charset(spark, f"{target_charset}BE")
     # the text sink writes a string's bytes as they are
-    raw.select(F.encode(text, target_charset).cast("string").alias("value")).write.option("lineSep", "\n").text(target)
+    lines.select(F.encode("value", target_charset).cast("string").alias("value")).write.options(
+        lineSep="\n", encoding=target_charset).text(target)
     return target
 
 
+def wide(charset: str) -> bool:
+    """Whether the charset's characters have several bytes each, any of which may look like a line feed."""
+    return charset.upper().replace("-", "").startswith(("UTF16", "UTF32"))
+
+
 def read_lines(spark: SparkSession, path: str, charset: str = UTF8) -> DataFrame:
     """Whole lines of a text data set as column ``line``."""
     allow_charset(spark, charset)

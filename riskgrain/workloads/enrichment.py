@@ -70,6 +70,22 @@ def coordinates(spark, sf):
     return resolve(addressed(spark, sf), "c_custkey", ["home", "work"], gazetteer(spark, sf))
 
 
+@query(
+    "G3_duplicate_places",
+    """WITH places AS (SELECT n_name AS address, s_acctbal AS lat, s_suppkey AS lon, row_number() OVER (PARTITION BY n_name ORDER BY s_acctbal, s_suppkey) AS i
+                       FROM supplier JOIN nation ON n_nationkey = s_nationkey)
+       SELECT c_custkey, n_name AS home, CAST(lat AS DOUBLE) AS home_lat, CAST(lon AS DOUBLE) AS home_lon
+       FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN places ON address = n_name AND i = 1""",
+)
+def duplicate_places(spark, sf):
+    nation = table(spark, sf, "nation")
+    places = table(spark, sf, "supplier").join(nation, F.col("n_nationkey") == F.col("s_nationkey")).select(
+        F.col("n_name").alias("address"), F.col("s_acctbal").cast("double").alias("lat"), F.col("s_suppkey").cast("double").alias("lon"))
+    homes = table(spark, sf, "customer").join(nation, F.col("n_nationkey") == F.col("c_nationkey")).select(
+        "c_custkey", F.col("n_name").alias("home"))
+    return resolve(homes, "c_custkey", ["home"], places)
+
+
 @query("G4_attach_label", "SELECT d.doc_id, lang, quality AS label FROM documents d LEFT JOIN labels USING (doc_id)")
 def labelled(spark, sf):
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))

@@ -109,6 +109,16 @@ def auc_groups(spark, sf):
     return rounded(auc(orders, "y", "o_totalprice", by="o_orderpriority"))
 
 
+@query(
+    "E4_auc_many_groups",
+    f"""WITH x AS (SELECT l_partkey AS g, l_returnflag = 'R' AS y, l_extendedprice AS s FROM lineitem), {AUC_CTES}
+        SELECT CAST(g AS VARCHAR) AS l_partkey, round(auc, 6) AS auc FROM aucv""",
+)
+def auc_many_groups(spark, sf):
+    rows = table(spark, sf, "lineitem").withColumn("y", flag("l_returnflag", "R"))
+    return rounded(auc(rows, "y", "l_extendedprice", by="l_partkey", bucket_rows=5_000))
+
+
 CONFUSION_SQL = """WITH x AS (SELECT event_type = 'purchase' AS y, value >= 10 AS q FROM events),
    k AS (SELECT count(*) FILTER (y AND q) AS tp, count(*) FILTER (NOT y AND q) AS fp, count(*) FILTER (NOT y AND NOT q) AS tn,
                 count(*) FILTER (y AND NOT q) AS fn, count(*) AS total FROM x)"""

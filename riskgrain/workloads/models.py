@@ -22,7 +22,7 @@ from .registry import query, rounded, table
 MODEL_WORDS = "th la en on de que le er tion und is".split()
 INPUTS = [f"has_{w}" for w in MODEL_WORDS]
 SMALL = {"lr": {"maxIter": 10}, "rf": {"numTrees": 10, "maxDepth": 4, "seed": 7}, "gbc": {"maxIter": 5, "maxDepth": 3, "seed": 7},
-         "adaboost": {"maxIter": 5, "seed": 7}, "xgboost": {"maxIter": 5, "maxDepth": 3, "seed": 7},
+         "adaboost": {"maxIter": 8, "maxDepth": 2, "seed": 7}, "xgboost": {"maxIter": 5, "maxDepth": 3, "seed": 7},
          "bnb": {}, "svm": {"maxIter": 10}}
 
 

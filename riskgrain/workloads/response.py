@@ -280,17 +280,27 @@ def outlier_limits(spark, sf):
         F.lit(lower).alias("lower"), F.lit(upper).alias("upper"), "n_outliers"))
 
 
-@query(
-    "A13_box_summary",
-    """WITH x AS (SELECT 'value' AS feature, event_type AS label, value AS v FROM events
-                  UNION ALL SELECT 'squared', event_type, value * value FROM events),
-       q AS (SELECT feature, label, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3
+BOX_SQL = """q AS (SELECT feature, label, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3
              FROM x GROUP BY ALL),
        f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lower, q3 + 1.5 * (q3 - q1) AS upper FROM q)
        SELECT feature, label, count(*) AS n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
               round(min(v) FILTER (v >= lower), 6) AS whisker_low, round(max(v) FILTER (v <= upper), 6) AS whisker_high,
               count(*) FILTER (v < lower OR v > upper) AS n_outliers
-       FROM x JOIN f USING (feature, label) GROUP BY feature, label, q1, median, q3""",
+       FROM x JOIN f USING (feature, label) GROUP BY feature, label, q1, median, q3"""
+
+
+@query(
+    "A13_box_many_labels",
+    "WITH x AS (SELECT 'l_quantity' AS feature, l_partkey AS label, CAST(l_quantity AS DOUBLE) AS v FROM lineitem), " + BOX_SQL,
+)
+def boxes_many(spark, sf):
+    return rounded(box_summary(table(spark, sf, "lineitem"), ["l_quantity"], "l_partkey"))
+
+
+@query(
+    "A13_box_summary",
+    """WITH x AS (SELECT 'value' AS feature, event_type AS label, value AS v FROM events
+                  UNION ALL SELECT 'squared', event_type, value * value FROM events), """ + BOX_SQL,
 )
 def boxes(spark, sf):
     ev = table(spark, sf, "events").select("event_type", "value", (F.col("value") * F.col("value")).alias("squared"))

@@ -53,6 +53,17 @@ def folds(spark, sf):
     return stratified_folds(ev, "event_id", "event_type", 10, seed=5).drop("event_type")
 
 
+@query(
+    "S3_many_label_folds",
+    """SELECT l_orderkey, l_linenumber, CAST(ntile(3) OVER (PARTITION BY l_partkey ORDER BY md5(l_orderkey || ':' || l_linenumber || ':5')) - 1 AS INTEGER) AS fold
+       FROM lineitem""",
+)
+def many_folds(spark, sf):
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.concat_ws(":", "l_orderkey", "l_linenumber").alias("line"))
+    return stratified_folds(lines, "line", "l_partkey", 3, seed=5).drop("l_partkey", "line")
+
+
 UNDER_SQL = """WITH m AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY md5(o_orderkey || ':7')) AS n FROM orders WHERE o_orderpriority <> '5-LOW'),
    s AS (SELECT (SELECT count(*) FROM orders WHERE o_orderpriority = '5-LOW') AS p, (SELECT count(*) FROM m) AS t),"""
 
