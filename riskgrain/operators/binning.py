@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import number
-from ..plans.order_stats import ONLY, bucket_ends, bucket_of, cutoffs, quantiles
+from ..plans.order_stats import LITERAL_KEYS, ONLY, bucket_ends, bucket_of, cutoffs, filled_buckets, quantiles
+from ..plans.prefix import running_totals
 from ..session import literal
 from .edges import Edges, breakpoints, explicit
 from .recode import invert, recode
@@ -44,13 +45,16 @@ def even_buckets(df: DataFrame, value: str, key: str, n: int, out: str = "bucket
     """1-based bucket of ``n`` near-equal runs in ``(value, key)`` order, like ``ntile``.
 
     Only the last row of each bucket is searched for; rows then compare against
-    it, so nothing is sorted or moved.  ``key`` must be unique and integral; rows
-    without a value get no bucket.
+    it, so nothing is sorted or moved.  More buckets than a plan should name are
+    counted off instead: running counts rank the rows.  ``key`` must be unique and
+    integral; rows without a value get no bucket.
     """
     v = number(value)
     total = df.agg(F.count(v)).first()[0]
     if n > total:
         raise ValueError(f"{n} buckets need at least {n} rows, found {total}")
+    if n > LITERAL_KEYS:
+        return _many_buckets(df, v, key, n, total, out)
     ends = bucket_ends(total, n)[:-1]
     rows = df.select(F.lit(ONLY).alias("k"), v.alias("v"), F.col(key).cast("bigint").alias("tie")).where("v is not null")
     found = cutoffs(rows, {ONLY: ends}, {ONLY: total}, **search)[ONLY]
@@ -58,6 +62,14 @@ def even_buckets(df: DataFrame, value: str, key: str, n: int, out: str = "bucket
     return df.withColumn(out, F.when(v.isNotNull(), bucket).cast("int"))
 
 
+def _many_buckets(df: DataFrame, v: Column, key: str, n: int, total: int, out: str) -> DataFrame:
+    place = df.where(v.isNotNull()).select(F.struct(v.alias("v"), F.col(key).cast("bigint").alias("_tie")).alias("x"))
+    ranked = running_totals(place, "x", {"n": F.count("*")}, [])
+    buckets = ranked.select("x._tie", (filled_buckets(F.col("cum_n") - 1, F.lit(total), F.lit(n)) + 1).cast("int").alias("_bucket"))
+    joined = df.join(buckets, F.col(key).cast("bigint") == F.col("_tie"), "left")
+    return joined.withColumn(out, F.when(v.isNotNull(), F.col("_bucket"))).drop("_tie", "_bucket")
+
+
 def monotone_bins(df: DataFrame, col: str, y: str, n: int = 20, exact: bool = True) -> tuple[Edges, DataFrame]:
     """The most equal-depth bins, at most ``n``, whose response rate is monotone.
 

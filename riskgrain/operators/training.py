@@ -228,13 +228,30 @@ def boosting_rounds(
     """Cross-validated boosting with early stopping: mean train and test AUC per round.
 
     Rounds end when the mean test AUC has not improved for ``early_stop`` rounds;
-    the last row is the stopping point.  Every fold is boosted once and its
-    partial sums of trees give the score after each round.
+    the last row is the stopping point.  Each fold's partial sums of trees give
+    the score after each round.  Training starts with ``2 * early_stop`` rounds
+    and is doubled only if the curve has not stopped by then, so at most about
+    twice the rounds that were needed are trained (``trained`` tells how many).
     """
     folded = materialise(stratified_folds(df.select(key, FEATURES, label), key, label, n_fold, seed), "folds")
+    rounds = min(max_rounds, 2 * early_stop)
+    while True:
+        kept, best, since = [], -1.0, 0
+        for row in _boosting_curve(folded, label, n_fold, rounds, seed, params):
+            kept.append((*row, rounds))
+            best, since = (row["auc_test"], 0) if row["auc_test"] > best else (best, since + 1)
+            if since >= early_stop:
+                break
+        if since >= early_stop or rounds >= max_rounds:
+            return literal(df.sparkSession, kept, "rounds int, auc_train double, auc_test double, trained int")
+        rounds = min(max_rounds, 2 * rounds)
+
+
+def _boosting_curve(folded: DataFrame, label: str, n_fold: int, rounds: int, seed: int, params: dict) -> list:
+    """Mean train and test AUC after each round, from one boosted model per fold."""
     parts = []
     for f in range(n_fold):
-        model = GBTClassifier(labelCol=label, featuresCol=FEATURES, maxIter=max_rounds, seed=seed, **params).fit(
+        model = GBTClassifier(labelCol=label, featuresCol=FEATURES, maxIter=rounds, seed=seed, **params).fit(
             folded.where(F.col("fold") != f)
         )
         side = F.when(F.col("fold") == f, F.lit("test")).otherwise(F.lit("train"))
@@ -253,19 +270,12 @@ def boosting_rounds(
         joined = joined.unionByName(p)
     per_fold = auc(materialise(joined, "rounds"), label, "score", by="subset")
     bits = F.split("subset", ":")
-    curve = (
+    return (
         per_fold.select(bits[1].alias("part"), bits[2].cast("int").alias("rounds"), "auc")
         .groupBy("rounds").pivot("part", ["train", "test"]).agg(F.avg("auc"))
         .select("rounds", F.col("train").alias("auc_train"), F.col("test").alias("auc_test"))
         .orderBy("rounds").collect()
     )
-    kept, best, since = [], -1.0, 0
-    for row in curve:
-        kept.append(tuple(row))
-        best, since = (row["auc_test"], 0) if row["auc_test"] > best else (best, since + 1)
-        if since >= early_stop:
-            break
-    return literal(df.sparkSession, kept, "rounds int, auc_train double, auc_test double")
 
 
 def rank_features(

@@ -3,8 +3,10 @@
 A rank is found by narrowing a value interval: approximate quantiles propose
 narrow intervals around the wanted ranks, and one more pass counts everything
 outside them in bulk and every distinct value inside.  Running sums over those
-few counts give the exact values.  Data of any size needs a few column-pruned
-scans, no full shuffle, and no task holds more than the values of the intervals.
+few counts give the exact values.  A few ranks of data of any size need a few
+column-pruned scans and no full shuffle.  Where the wanted ranks are so many that
+their intervals cover much of the table, the distinct values are counted in
+buckets instead, so no task holds more than a set number of them.
 A value that fills a large share of the rows is an interval of its own and
 collapses to one counted row, so heavy ties cost nothing.
 """
@@ -143,16 +145,28 @@ def _with_cells(rows: DataFrame, intervals: dict[str, list[tuple]]) -> DataFrame
     return with_slot(known, "v", F.col("_edges"), F.size("_edges"), most, "cell").drop("_edges")
 
 
-def _count_cells(rows: DataFrame, ranks: Ranks, inner: bool) -> dict[str, dict[int, RankValue]]:
-    """Exact values at ranks from rows ``(k, v[, cell])``; ranks that fall into a gap are left out."""
-    if inner:
+def _count_cells(rows: DataFrame, ranks: Ranks, inner: bool, small: int | None = None) -> dict[str, dict[int, RankValue]]:
+    """Exact values at ranks from rows ``(k, v[, cell])``; ranks that fall into a gap are left out.
+
+    ``small`` is given where nothing bounds the rows of a key: they are then
+    counted in buckets of about that many distinct values.
+    """
+    if small is not None:
+        from .prefix import running_totals
+
+        value = F.when(F.col("cell") % 2 == 1, F.col("v")) if inner else F.col("v")
+        placed = rows.select("k", F.struct(F.col("cell") if inner else F.lit(0).alias("cell"), value.alias("v")).alias("x"))
+        totals = running_totals(placed, "x", {"n": F.count("*")}, ["k"], bucket_rows=small)
+        ranked = totals.select("k", "x.v", "n", F.col("cum_n").alias("upto"))
+    elif inner:
         value = F.when(F.col("cell") % 2 == 1, F.col("v"))
         sizes = rows.groupBy("k", "cell", value.alias("v")).agg(F.count("*").alias("n"))
         order = W.partitionBy("k").orderBy("cell", "v")
     else:
         sizes = rows.groupBy("k", "v").agg(F.count("*").alias("n"))
         order = W.partitionBy("k").orderBy("v")
-    ranked = sizes.withColumn("upto", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    if small is None:
+        ranked = sizes.withColumn("upto", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)))
     wanted = {k: sorted(set(rs)) for k, rs in ranks.items() if rs}
     lists = F.create_map(*[c for k, rs in wanted.items() for c in (F.lit(k), F.array(*[F.lit(r).cast("bigint") for r in rs]))])
     most = max(len(rs) for rs in wanted.values())
@@ -201,7 +215,8 @@ def rank_search(
         _, proposal = _propose(rows, _around(everything, spread), accuracy)
     intervals = {k: _intervals(fs, proposal[k], spread) for k, fs in fractions.items()}
     celled = _with_cells(rows, intervals)
-    widest = max(counts[k] * 4 * spread * len(intervals[k]) for k in ranks)
+    # by the wanted ranks: an interval merged from many of them holds the rows of all
+    widest = max(counts[k] * min(1.0, 4 * spread * len(fractions[k])) for k in ranks)
     if widest <= small:
         found = _count_cells(celled, ranks, True)
     else:
@@ -213,7 +228,7 @@ def rank_search(
         if accuracy < 100 * ACCURACY:
             extra = rank_search(rows, again, counts, small=small, accuracy=accuracy * 8)
         else:
-            extra = _count_cells(rows.where(F.col("k").isin(list(again))), again, False)
+            extra = _count_cells(rows.where(F.col("k").isin(list(again))), again, False, small)
         for k, values in extra.items():
             found.setdefault(k, {}).update(values)
     return found
@@ -242,7 +257,7 @@ def _narrow(celled: DataFrame, ranks: Ranks, counts: dict[str, int], small: int,
     if shrunk:
         local = rank_search(inner, inner_ranks, inner_counts, small=small, accuracy=accuracy)
     else:
-        local = _count_cells(inner.where(F.col("k").isin(list(inner_ranks))), inner_ranks, False)
+        local = _count_cells(inner.where(F.col("k").isin(list(inner_ranks))), inner_ranks, False, small)
     found: dict[str, dict[int, RankValue]] = {k: {} for k in ranks}
     for key, values in local.items():
         k, below = origin[key]

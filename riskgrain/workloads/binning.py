@@ -172,6 +172,16 @@ def buckets(spark, sf):
     return even_buckets(table(spark, sf, "events"), "value", "event_id", 7).select("event_id", "bucket")
 
 
+@query(
+    "B8_even_buckets_many",
+    """SELECT o_orderkey, CAST(ntile((SELECT CAST(count(*) // 10 AS BIGINT) FROM orders)) OVER (ORDER BY o_totalprice, o_orderkey) AS INTEGER) AS bucket
+       FROM orders""",
+)
+def many_buckets(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return even_buckets(orders, "o_totalprice", "o_orderkey", orders.count() // 10).select("o_orderkey", "bucket")
+
+
 @query(
     "B8_even_buckets_ties",
     """SELECT o_orderkey, CAST(ntile(11) OVER (ORDER BY year(o_orderdate), o_orderkey) AS INTEGER) AS bucket FROM orders""",

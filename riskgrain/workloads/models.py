@@ -28,9 +28,7 @@ SMALL = {"lr": {"maxIter": 10}, "rf": {"numTrees": 10, "maxDepth": 4, "seed": 7}
 
 def study_rows(spark, sf):
     docs = table(spark, sf, "documents")
-    wide = presence_matrix(docs, "doc_id", "text", MODEL_WORDS, prefix="has_")
-    labels = docs.select("doc_id", flag("lang", "fr").alias("label"))
-    return wide.join(labels, "doc_id")
+    return presence_matrix(docs.withColumn("label", flag("lang", "fr")), "doc_id", "text", MODEL_WORDS, prefix="has_", label="label")
 
 
 def vectors(spark, sf):
@@ -85,7 +83,7 @@ def crossed_smote(spark, sf):
 
 @query("M4_early_stopping")
 def stopped(spark, sf):
-    return rounded(boosting_rounds(vectors(spark, sf), "doc_id", "label", n_fold=2, max_rounds=6, early_stop=2, maxDepth=2))
+    return rounded(boosting_rounds(vectors(spark, sf), "doc_id", "label", n_fold=2, max_rounds=40, early_stop=2, maxDepth=2))
 
 
 def boosted(spark, sf):
@@ -99,6 +97,22 @@ def probabilities(spark, sf):
     return rounded(class_probabilities(model, rows).select("doc_id", "p0", "p1", "label"))
 
 
+BERNOULLI_SQL = f"""WITH x AS (SELECT doc_id, lang = 'fr' AS y, unnest({MODEL_WORDS!r}) AS w, text FROM documents),
+   h AS (SELECT doc_id, y, w, contains(text, w) AS has FROM x),
+   s AS (SELECT count(*) FILTER (lang = 'fr') AS n1, count(*) FILTER (lang <> 'fr') AS n0 FROM documents),
+   c AS (SELECT w, (count(*) FILTER (has AND y) + 1) / (n1 + 2) AS t1, (count(*) FILTER (has AND NOT y) + 1) / (n0 + 2) AS t0
+         FROM h, s GROUP BY w, n1, n0),
+   z AS (SELECT doc_id, sum(ln(CASE WHEN has THEN t1 / t0 ELSE (1 - t1) / (1 - t0) END)) AS d FROM h JOIN c USING (w) GROUP BY doc_id)
+   SELECT doc_id, round(1 / (1 + exp(-(d + ln((n1 + 1) / (n0 + 1))))), 6) AS p1 FROM z, s"""
+
+
+@query("M5_bernoulli_probabilities", BERNOULLI_SQL)
+def bernoulli(spark, sf):
+    rows = vectors(spark, sf)
+    model = classifier("bnb").fit(rows)
+    return rounded(class_probabilities(model, rows).select("doc_id", "p1"))
+
+
 @query("M5_importances")
 def gains(spark, sf):
     _, model = boosted(spark, sf)

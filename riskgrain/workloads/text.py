@@ -107,6 +107,21 @@ def components(spark, sf):
     return rounded(principal_variance(table(spark, sf, "embeddings"), "embedding", 10))
 
 
+@query(
+    "K5_variance_identities",
+    f"""WITH d AS (SELECT row_number() OVER () AS i, text FROM documents),
+       x AS (SELECT i, w, CAST(contains(text, w) AS INTEGER) AS v FROM d, (SELECT unnest({STUDY_WORDS!r}) AS w)),
+       c AS (SELECT a.w AS p, b.w AS q, covar_samp(a.v, b.v) AS c FROM x a JOIN x b USING (i) GROUP BY ALL)
+       SELECT 1.0::DOUBLE AS total, round(sum(c * c) / pow(sum(c) FILTER (p = q), 2), 6) AS squares FROM c""",
+)
+def variance_identities(spark, sf):
+    """Over all components the variance shares add up to one, and their squares to the squared norm of the covariance over its trace."""
+    wide = presence_matrix(table(spark, sf, "documents"), "doc_id", "text", STUDY_WORDS, prefix="has_")
+    shares = principal_variance(wide, [f"has_{w}" for w in STUDY_WORDS], len(STUDY_WORDS))
+    v = F.col("variance_ratio")
+    return rounded(shares.agg(F.sum(v).alias("total"), F.sum(v * v).alias("squares")))
+
+
 @query("K5_keyword_components")
 def keyword_components(spark, sf):
     wide = presence_matrix(table(spark, sf, "documents"), "doc_id", "text", STUDY_WORDS, prefix="has_")

@@ -31,22 +31,24 @@ def values(df, *names):
 
 
 def test_range(spark):
-    assert values(profile.ranges(column(spark, [4, 1, 2, 5, 6, 2, 8]), ["x"]), "min", "max") == [(1, 8)]
+    assert values(profile.ranges(column(spark, [0.5, -3, 7.5, 2]), ["x"]), "min", "max") == [(-3, 7.5)]
 
 
 def test_group_woe(spark):
-    row = response.group_woe(column(spark, [1, 0, 0, 0, 0, 0], "int", "label"), "label", 50, 50).first()
-    assert row["woe"] == pytest.approx(-1.609438, abs=1e-6)
-    assert row["iv"] == pytest.approx(0.128755, abs=1e-6)
+    # a tenth of the 20 positives against a fortieth of the 40 negatives
+    row = response.group_woe(column(spark, [1, 1, 0], "int", "label"), "label", 20, 40).first()
+    assert row["woe"] == pytest.approx(math.log(4))
+    assert row["iv"] == pytest.approx(0.075 * math.log(4))
 
 
 def test_confusion(spark):
-    label = [0, 0, 0, 0, 1, 1, 1, 1, 1, 1, 1, 1]
-    pred = [1, 1, 0, 0, 0, 0, 1, 1, 1, 1, 0, 0]
+    # five positives, three of them found; five negatives, one of them taken for positive
+    label = [1, 0, 1, 0, 1, 0, 1, 0, 1, 0]
+    pred = [1, 1, 1, 0, 1, 0, 0, 0, 0, 0]
     row = evaluate.confusion(literal(spark, list(zip(label, pred)), "label int, pred int"), "label", "pred").first()
-    assert (row["tp"], row["fp"], row["tn"], row["fn"]) == (4, 2, 2, 4)
-    assert (row["accuracy"], row["recall"], row["false_positive_rate"]) == (0.5, 0.5, 0.5)
-    assert row["precision"] == pytest.approx(2 / 3) and row["prevalence"] == pytest.approx(2 / 3)
+    assert (row["tp"], row["fp"], row["tn"], row["fn"]) == (3, 1, 4, 2)
+    assert (row["accuracy"], row["recall"], row["false_positive_rate"]) == (0.7, 0.6, 0.2)
+    assert row["precision"] == 0.75 and row["prevalence"] == 0.5
 
 
 def test_confusion_without_positives_is_null(spark):

@@ -58,6 +58,17 @@ def test_cross_validation(spark):
 def test_boosting_curve(spark):
     found = rows(spark, "M4_early_stopping")
     assert [r["rounds"] for r in found] == list(range(1, len(found) + 1)) and found[-1]["auc_train"] > 0.5
+    assert {r["trained"] for r in found} == {r["trained"] for r in found[:1]} and len(found) <= found[0]["trained"] <= 40
+
+
+def test_boosted_trees(spark):
+    assert all(r["auc"] > 0.6 and r["acc"] > 0.6 for r in rows(spark, "M1_fit_gbc"))
+
+
+@pytest.mark.parametrize("name", ["M3_cross_validation_under", "M3_cross_validation_smote"])
+def test_resampled_cross_validation(spark, name):
+    found = {r[0]: r for r in rows(spark, name)}
+    assert len(found) == 4 and all(0 <= v <= 1.0 for r in found.values() for v in r[1:] if v is not None)
 
 
 def test_probabilities_add_up(spark):
