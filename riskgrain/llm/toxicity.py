@@ -62,17 +62,17 @@ def mine(rows: DataFrame, n_pos: int, n_neg: int) -> tuple[list[str], list, list
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos + neg >= 4")
     lift = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
     error = F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    ranked = counts.withColumn("z", lift / error).orderBy(F.desc(F.abs("z")), "token").limit(VOCABULARY).collect()
+    ranked = counts.withColumn("z", lift / error).withColumn("bound", lift - 2 * error).orderBy(F.desc(F.abs("z")), "token").limit(VOCABULARY).collect()
     voters: list[str] = []
     rates = []
     sure = [r for r in ranked if r["z"] > 3 and r["pos"] > 3 * r["neg"]]
-    for r in sorted(sure, key=lambda r: (-round(r["z"], 1), len(r["token"].rstrip("*")), r["token"])):
+    for r in sorted(sure, key=lambda r: (-round(r["bound"], 1), len(r["token"].rstrip("*")), r["token"])):
         nested = any(
             v.endswith("*") and r["token"].startswith(v[:-1]) or r["token"].endswith("*") and v.startswith(r["token"][:-1])
             for v in voters)
         if len(voters) < VOTERS and not nested:
             voters.append(r["token"])
-            rates.append((r["pos"] / max(n_pos, 1), r["neg"] / max(n_neg, 1)))
+            rates.append(((r["pos"] + 0.5) / (n_pos + 1), (r["neg"] + 0.5) / (n_neg + 1)))
     return voters, rates, sorted(r["token"] for r in ranked)
 
 
@@ -147,20 +147,20 @@ class LabelModel:
         scale = np.sqrt(np.maximum(rate * (1 - rate), 1e-12))
         # only voters that fire together say something about each other: those of two languages never do
         linked = cov / np.outer(scale, scale) > 0.02
-        strength = np.zeros(size)
+        strength, few = np.zeros(size), np.ones(size, bool)
         for i in range(size):
             others = np.flatnonzero(linked[i])
             others = others[others != i]
             j, k = np.nonzero(np.triu(linked[np.ix_(others, others)], 1))
             if len(j) >= 3:
                 j, k = others[j], others[k]
-                strength[i] = np.sqrt(float(np.median(cov[i, j] * cov[i, k] / cov[j, k])))
+                strength[i], few[i] = np.sqrt(float(np.median(cov[i, j] * cov[i, k] / cov[j, k]))), False
             else:
                 strength[i] = max(0.0, seen[i, 0] - seen[i, 1]) * np.sqrt(prior * (1 - prior))
         spread = prior * (1 - prior)
         toward = strength * np.sqrt(spread)
-        self.given_toxic = np.clip(rate + toward / prior, 1e-4, 1 - 1e-4)
-        self.given_clean = np.clip(rate - toward / (1 - prior), 1e-5, self.given_toxic)
+        self.given_toxic = np.clip(np.where(few, seen[:, 0], rate + toward / prior), 1e-4, 1 - 1e-4)
+        self.given_clean = np.clip(np.where(few, seen[:, 1], rate - toward / (1 - prior)), 1e-5, self.given_toxic)
         # correlation that the common label does not explain
         rest = (cov - np.outer(strength, strength)) / np.outer(scale, scale)
         np.fill_diagonal(rest, 0)
