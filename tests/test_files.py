@@ -19,9 +19,15 @@ def test_blank_lines_survive_transcoding(spark):
     assert bytes(raw).startswith(bytes.fromhex("B4FB"))
 
 
-def test_wide_charsets_are_refused(spark):
-    with pytest.raises(ValueError):
-        delimited.transcode(spark, "x.txt", "UTF-16", None, "UTF-8")
+@pytest.mark.parametrize("charset", ["UTF-16", "UTF-16LE", "UTF-16BE", "UTF-32"])
+def test_wide_charsets_round_trip(spark, tmp_path, charset):
+    lines = ["first", "", "\u0a0a \u010a second", "客户 \U0001f600", ""]
+    (tmp_path / "in.txt").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    middle = delimited.transcode(spark, f"{tmp_path}/in.txt", "UTF-8", f"{tmp_path}/wide", charset)
+    raw = b"".join(f.read_bytes() for f in sorted((tmp_path / "wide").glob("part-*")))
+    assert raw.decode(charset if charset.endswith("E") else charset + "BE") == "\n".join(lines) + "\n"
+    final = delimited.transcode(spark, middle, charset, f"{tmp_path}/out", "UTF-8")
+    assert sorted(r["line"] for r in delimited.read_lines(spark, final).collect()) == sorted(lines)
 
 
 def test_default_target():
