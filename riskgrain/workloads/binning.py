@@ -210,6 +210,9 @@ TREE_SOURCE = {
          UNION ALL SELECT 'l_discount', l_discount + 0.0, l_returnflag = 'R' FROM lineitem
          UNION ALL SELECT 'l_tax', l_tax + 0.0, l_returnflag = 'R' FROM lineitem""",
     "orders": "SELECT 'o_totalprice' AS feature, o_totalprice AS v, o_orderstatus = 'F' AS y FROM orders",
+    "known": """SELECT 'l_quantity' AS feature, l_quantity AS v, l_returnflag = 'R' AS y FROM lineitem
+         UNION ALL SELECT 'billed_tax', l_tax + 0.0, l_returnflag = 'R' FROM lineitem WHERE l_linestatus <> 'O'
+         UNION ALL SELECT 'large_discount', l_discount + 0.0, l_returnflag = 'R' FROM lineitem WHERE l_quantity > 30""",
 }
 
 
@@ -253,7 +256,11 @@ def nodes_sql(max_depth: int) -> str:
         f"""SELECT feature, node_id, parent_id, CAST(depth AS INTEGER), lo, hi, CAST(size AS BIGINT), CAST(positive AS BIGINT),
                CAST(negative AS BIGINT), round(value, 6) + 0.0, CAST(NULL AS DOUBLE), true FROM n{max_depth + 1}"""
     )
-    return " UNION ALL ".join(parts)
+    # nodes are numbered level by level, from low to high values
+    return f""", t AS ({" UNION ALL ".join(parts)}),
+        k AS (SELECT feature, node_id, row_number() OVER (PARTITION BY feature ORDER BY depth, lo) AS i FROM t)
+        SELECT t.* REPLACE (k.i AS node_id, u.i AS parent_id) FROM t JOIN k ON k.feature = t.feature AND k.node_id = t.node_id
+        LEFT JOIN k u ON u.feature = t.feature AND u.node_id = t.parent_id"""
 
 
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
@@ -306,6 +313,18 @@ def tree_unlimited(spark, sf):
     return rounded(grow_tree(orders, ["o_totalprice"], "y", "entropy", min_split_size=0.1))
 
 
+@query(
+    "B10_tree_fractions_with_nulls",
+    tree_sql("known", "entropy", 3, "floor((tp + tn) * 0.08)") + nodes_sql(3),
+)
+def tree_fractions(spark, sf):
+    rows = table(spark, sf, "lineitem").select(
+        "l_quantity", F.when(F.col("l_linestatus") != "O", F.col("l_tax")).alias("billed_tax"),
+        F.when(F.col("l_quantity") > 30, F.col("l_discount")).alias("large_discount"), flag("l_returnflag", "R").alias("y"))
+    features = ["l_quantity", "billed_tax", "large_discount"]
+    return rounded(grow_tree(rows, features, "y", "entropy", max_depth=3, min_leaf_size=0.08, min_split_size=0.08))
+
+
 @query(
     "B11_tree_breakpoints",
     tree_sql("lineitem", "entropy", 2, "100")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskgrain.operators import enrich, evaluate, profile, sampling, streaks
+from riskgrain.operators import enrich, evaluate, profile, sampling, streaks, tree
 from riskgrain.operators.adaboost import AdaBoost
 from riskgrain.plans.hash_rank import hash_ranked
 from riskgrain.plans.order_stats import bucket_ends, filled_buckets, quantile_table, rank_search
@@ -125,3 +125,24 @@ def test_adaboost_needs_several_trees(spark):
         return out.where("prediction = label").count() / 400
 
     assert right(12) > max(0.85, right(1))
+
+
+def test_trees_of_any_depth(spark):
+    """Each split takes the lowest value off, so the tree is as deep as it has values."""
+    rows = spark.range(4 * 75).select((F.col("id") % 75).cast("double").alias("x"), (F.col("id") % 75 % 2).cast("int").alias("y"))
+    nodes = tree.grow_tree(rows, ["x"], "y", "woe", allow_pure=True).orderBy("node_id").collect()
+    assert [r["node_id"] for r in nodes] == list(range(1, 150)) and max(r["depth"] for r in nodes) == 75
+    assert [r["bp"] for r in nodes if not r["is_leaf"]] == list(range(74))
+    parents = {r["node_id"]: r for r in nodes}
+    for r in nodes[1:]:
+        up = parents[r["parent_id"]]
+        assert r["depth"] == up["depth"] + 1 and up["bp"] in (r["lo"], r["hi"])
+
+
+def test_trees_with_many_nodes_by_table(spark, monkeypatch):
+    """Levels too large for literal rows give the same tree."""
+    rng = random.Random(12)
+    rows = literal(spark, [(float(rng.randrange(80)), float(rng.randrange(9)), rng.randrange(2)) for _ in range(500)], "a double, b double, y int")
+    few = sorted(tree.grow_tree(rows, ["a", "b"], "y", "gini", max_depth=3).collect())
+    monkeypatch.setattr(tree, "FEW_NODES", 1)
+    assert sorted(tree.grow_tree(rows, ["a", "b"], "y", "gini", max_depth=3, bucket_rows=20).collect()) == few
