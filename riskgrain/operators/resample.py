@@ -7,15 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..functions import hash_halves, hash_text, hash_unit
 from ..plans.hash_rank import hash_ranked
-from ..session import literal
+from ..session import literal, materialise
 
 NEIGHBOURS = 5
-BLOCK_ROWS = 4_096
-MAX_CELLS = 256
+BLOCK_ROWS = 1_024
+STRIP = 256  # rows compared at once
+SALT_ROWS = 1_000_000
+ROUNDING = 1e-12  # of squared distances, as a share of the largest squared norm
 
 
 def _class_sizes(df: DataFrame, label: str, pos, neg) -> tuple[int, int]:
@@ -57,92 +59,155 @@ def _vectors(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype("float64")
 
 
-def nearest_neighbours(
-    df: DataFrame, key: str, vector: str, k: int, block_rows: int = BLOCK_ROWS, cells: int = MAX_CELLS
-) -> DataFrame:
-    """Exact ``k`` nearest other rows by Euclidean distance: ``(key, rank, neighbour, distance)``.
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances between the rows of two matrices, to within ``ROUNDING`` of the squared norms."""
+    return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T), 0)
+
+
+def _block(keys, flat) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.array(list(keys))
+    return keys, np.asarray(flat, dtype="float64").reshape(len(keys), -1)
 
-    Rows gather in the cell of their nearest pivot and cells are cut into blocks
-    of bounded size, so a crowded cell becomes many blocks.  A pair of cells is
-    compared only if the triangle inequality allows a neighbour there; a block
-    pair is one small matrix product whose top ``k`` alone leave the task.
-    Ties go to the smaller key.
+
+def _distinct_vectors(rows: DataFrame, copies: int, n: int) -> DataFrame:
+    """One row per distinct vector with its ``copies`` smallest keys, the first of which names it.
+
+    Copies are cut down within salted groups first, so a vector that very many
+    rows share is never gathered.
     """
-    spark = df.sparkSession
-    rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("x"))
-    n = rows.count()
-    if n <= k:
-        raise ValueError(f"{k} neighbours need more than {n} rows")
-    n_cells = max(1, min(cells, n // block_rows))
-    # at most MAX_CELLS vectors reach the driver
-    pivots = np.array([r["x"] for r in rows.orderBy(hash_text("key", 0)).limit(n_cells).collect()])
+    salt = F.pmod(F.xxhash64("key"), F.lit(max(1, n // SALT_ROWS)))
+    first = rows.withColumn("_salt", salt)
+    first = first.withColumn("_i", F.row_number().over(W.partitionBy("x", "_salt").orderBy("key"))).where(F.col("_i") <= copies)
+    return first.groupBy("x").agg(F.slice(F.array_sort(F.collect_list("key")), 1, copies).alias("keys")).select(
+        F.col("keys")[0].alias("id"), "x", "keys")
+
+
+def _nearest_vectors(reps: DataFrame, m: int, k: int, block_rows: int, cells: int | None) -> DataFrame:
+    """The ``k`` nearest other vectors of each: ``(id, hits)``, an array of (distance, other id)."""
+    spark = reps.sparkSession
+    n_cells = max(1, min(cells or math.isqrt(m), m // block_rows))
+    # at most the square root of the rows reaches the driver
+    pivots = np.array([r["x"] for r in reps.orderBy(hash_text("id", 0)).limit(n_cells).collect()], dtype="float64")
+    norm = reps.agg(F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))).first()[0]
+    slack = 4 * ROUNDING * norm
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                d = np.sqrt(((_vectors(b["x"])[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
-                nearest = d.argmin(axis=1)
-                yield b.assign(cell=nearest.astype("int32"), radius=d[np.arange(len(b)), nearest])
-
-    key_type = rows.schema["key"].dataType
-    placed_type = T.StructType(rows.schema.fields + [
-        T.StructField("cell", T.IntegerType()), T.StructField("radius", T.DoubleType())])
-    placed = rows.mapInPandas(place, placed_type)
-    summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("radius").alias("radius")).collect()
-    size = {r["cell"]: r["n"] for r in summary}
-    radius = {r["cell"]: r["radius"] for r in summary}
-    gap = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
-    near = []
-    for a in size:
-        # k + 1 rows in the cell: no neighbour is further than the cell's diameter
-        reach = 2 * radius[a] if size[a] > k else math.inf
-        near += [(a, b) for b in size if gap[a, b] - radius[a] - radius[b] <= reach * (1 + 1e-9)]
-    parts = F.create_map(*[F.lit(v) for c, m in size.items() for v in (c, -(-m // block_rows))])
-    first, _ = hash_halves(hash_text("key", 1))
-    blocked = placed.withColumn("part", (first % F.element_at(parts, F.col("cell"))).cast("int"))
-    blocks = blocked.groupBy("cell", "part").agg(F.collect_list(F.struct("key", "x")).alias("members"))
-    pairs = (
-        blocks.join(F.broadcast(literal(spark, near, "cell int, other_cell int")), "cell")
-        .join(
-            blocks.select(F.col("cell").alias("other_cell"), F.col("part").alias("other_part"),
-                          F.col("members").alias("others")),
-            "other_cell",
-        )
-        .select("members", "others")
-    )
+            for start in range(0, len(b), STRIP):
+                part = b.iloc[start:start + STRIP]
+                d = _squares(_vectors(part["x"]), pivots)
+                near = d.argmin(axis=1)
+                yield part.assign(cell=near.astype("int32"), own=np.sqrt(d[np.arange(len(part)), near] + slack))
+
+    id_type = reps.schema["id"].dataType
+    placed_type = T.StructType([
+        T.StructField("id", id_type), T.StructField("x", T.ArrayType(T.DoubleType())),
+        T.StructField("cell", T.IntegerType()), T.StructField("own", T.DoubleType())])
+    placed = materialise(reps.select("id", "x").mapInPandas(place, placed_type), "cells")
+    found = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("own").alias("radius")).collect()  # one row per cell
+    size, radius = np.zeros(n_cells, dtype="int64"), np.zeros(n_cells)
+    for r in found:
+        size[r["cell"]], radius[r["cell"]] = r["n"], r["radius"]
+    parts = literal(spark, [(r["cell"], -(-r["n"] // block_rows)) for r in found], "cell int, parts int")
+    first, _ = hash_halves(hash_text("id", 1))
+    members = F.collect_list(F.struct("id", "x", "own")).alias("m")
+    blocks = placed.join(F.broadcast(parts), "cell").groupBy("cell", (first % F.col("parts")).alias("part")).agg(members)
+    blocks = materialise(blocks.select(
+        "cell", F.col("m.id").alias("keys"), F.flatten("m.x").alias("flat"), F.col("m.own").alias("own")), "blocks")
+
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Per block and cell the rows that may have a neighbour there, with the distance none of theirs exceeds."""
+        for b in batches:
+            for all_keys, flat, all_own in zip(b["keys"], b["flat"], b["own"]):
+                keys, x = _block(all_keys, flat)
+                own, bound = np.asarray(all_own), np.full(len(x), np.inf)
+                if len(x) > k:
+                    for start in range(0, len(x), STRIP):
+                        d = _squares(x[start:start + STRIP], x)
+                        d[np.arange(len(d)), start + np.arange(len(d))] = np.inf
+                        bound[start:start + STRIP] = np.sqrt(np.partition(d, k - 1, axis=1)[:, k - 1] + slack)
+                far = _squares(x, pivots)
+                if len(x) <= k:
+                    # the nearest cells that hold enough rows, wherever in them these lie
+                    most = np.sqrt(far + slack) + radius
+                    order = np.argsort(most, axis=1)
+                    enough = (np.cumsum(size[order], axis=1) > k).argmax(axis=1)
+                    bound = most[np.arange(len(x)), order[np.arange(len(x)), enough]]
+                far = np.sqrt(np.maximum(far - slack, 0))
+                # by the triangle inequality, and as the other cell's rows are nearer to its pivot
+                least = np.maximum(far - radius, (far - own[:, None] - math.sqrt(2 * slack)) / 2)
+                wanted = (least <= bound[:, None]) & (size > 0)
+                for c in np.flatnonzero(wanted.any(axis=0)):
+                    rows = wanted[:, c]
+                    yield pd.DataFrame({
+                        "cell": [int(c)], "names": [keys[rows].tolist()], "points": [x[rows].ravel()], "bounds": [bound[rows]]})
+
+    doubles = T.ArrayType(T.DoubleType())
+    asked = blocks.mapInPandas(reach, T.StructType([
+        T.StructField("cell", T.IntegerType()), T.StructField("names", T.ArrayType(id_type)),
+        T.StructField("points", doubles), T.StructField("bounds", doubles)]))
+    pairs = asked.join(blocks.drop("own"), "cell").drop("cell")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for members, others in zip(b["members"], b["others"]):
-                left = np.array([m["x"] for m in members], dtype="float64")
-                right = np.array([o["x"] for o in others], dtype="float64")
-                left_keys = np.array([m["key"] for m in members])
-                right_keys = np.array([o["key"] for o in others])
-                order = np.argsort(right_keys, kind="stable")
-                right, right_keys = right[order], right_keys[order]
-                for start in range(0, len(left), 256):
-                    part = left[start:start + 256]
-                    names = left_keys[start:start + 256]
-                    d = np.stack([np.sqrt(((right - v) ** 2).sum(axis=1)) for v in part])
-                    d[names[:, None] == right_keys[None, :]] = np.inf
-                    top = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    found = np.take_along_axis(d, top, axis=1)
-                    keep = np.isfinite(found)
+            for names, points, bounds, keys, flat in zip(b["names"], b["points"], b["bounds"], b["keys"], b["flat"]):
+                left_keys, left = _block(names, points)
+                right_keys, right = _block(keys, flat)
+                limit = np.asarray(bounds) ** 2 + slack
+                for start in range(0, len(left), STRIP):
+                    own = slice(start, start + STRIP)
+                    d = _squares(left[own], right)
+                    d[left_keys[own][:, None] == right_keys[None, :]] = np.inf
+                    top = limit[own]
+                    if len(right) > k:
+                        top = np.minimum(top, np.partition(d, k - 1, axis=1)[:, k - 1] + slack)
+                    i, j = np.nonzero(d <= top[:, None])
+                    exact = np.sqrt(((left[own][i] - right[j]) ** 2).sum(axis=1))
+                    order = np.lexsort((right_keys[j], exact, i))
+                    i, j, exact = i[order], j[order], exact[order]
+                    rank = np.arange(len(i)) - np.searchsorted(i, i)
+                    kept = rank < k
                     yield pd.DataFrame({
-                        "key": np.repeat(names, top.shape[1])[keep.ravel()],
-                        "neighbour": right_keys[top].ravel()[keep.ravel()],
-                        "distance": found.ravel()[keep.ravel()],
-                    })
+                        "id": left_keys[own][i[kept]], "other": right_keys[j[kept]], "distance": exact[kept]})
 
     hit_type = T.StructType([
-        T.StructField("key", key_type), T.StructField("neighbour", key_type), T.StructField("distance", T.DoubleType())])
+        T.StructField("id", id_type), T.StructField("other", id_type), T.StructField("distance", T.DoubleType())])
     hits = pairs.mapInPandas(compare, hit_type)
-    best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k)
-    return (
-        hits.groupBy("key").agg(best.alias("best"))
-        .select("key", F.posexplode("best").alias("pos", "hit"))
-        .select("key", (F.col("pos") + 1).alias("rank"), "hit.neighbour", "hit.distance")
-    )
+    best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "other"))), 1, k)
+    return hits.groupBy("id").agg(best.alias("hits"))
+
+
+def nearest_neighbours(
+    df: DataFrame, key: str, vector: str, k: int, block_rows: int = BLOCK_ROWS, cells: int | None = None
+) -> DataFrame:
+    """Exact ``k`` nearest other rows by Euclidean distance: ``(key, rank, neighbour, distance)``.
+
+    Equal vectors are searched once.  Vectors gather in the cell of their nearest
+    pivot, of which there are about the square root of their number, and cells
+    are cut into blocks of bounded size.  A row's ``k``-th distance inside its
+    block bounds its search: it visits only the cells that may hold something
+    nearer, and only what lies within the bound leaves a task.  Where the data
+    has no structure (very many dimensions) the work stays quadratic, as exact
+    search is.  Ties go to the smaller key; vectors must not be null.
+    """
+    rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("x"))
+    n = rows.count()
+    if n <= k:
+        raise ValueError(f"{k} neighbours need more than {n} rows")
+    reps = materialise(_distinct_vectors(rows, k + 1, n), "vectors")
+    m = reps.count()
+    # each row's own vector and the k nearest others hold its neighbours
+    own = reps.select("id", F.lit(0.0).alias("distance"), F.explode("keys").alias("neighbour"))
+    if m > 1:
+        hits = _nearest_vectors(reps, m, min(k, m - 1), block_rows, cells)
+        others = hits.select("id", F.explode("hits").alias("h")).select("id", "h.distance", F.col("h.other").alias("other"))
+        copies = reps.select(F.col("id").alias("other"), F.explode("keys").alias("neighbour"))
+        own = own.unionByName(others.join(copies, "other").drop("other"))
+    near = own.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k + 1).alias("near"))
+    named = rows.join(reps.select("id", "x"), "x").select("key", "id").join(near, "id")
+    others = F.slice(F.filter("near", lambda h: h["neighbour"] != F.col("key")), 1, k)
+    return named.select("key", F.posexplode(others).alias("pos", "hit")).select(
+        "key", (F.col("pos") + 1).alias("rank"), "hit.neighbour", "hit.distance")
 
 
 def synthetic_minority(

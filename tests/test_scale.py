@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskgrain.operators import enrich, evaluate, profile, sampling, streaks, tree
+from riskgrain.operators import enrich, evaluate, profile, resample, sampling, streaks, tree
 from riskgrain.operators.adaboost import AdaBoost
 from riskgrain.plans.hash_rank import hash_ranked
 from riskgrain.plans.order_stats import bucket_ends, filled_buckets, quantile_table, rank_search
@@ -146,3 +146,26 @@ def test_trees_with_many_nodes_by_table(spark, monkeypatch):
     few = sorted(tree.grow_tree(rows, ["a", "b"], "y", "gini", max_depth=3).collect())
     monkeypatch.setattr(tree, "FEW_NODES", 1)
     assert sorted(tree.grow_tree(rows, ["a", "b"], "y", "gini", max_depth=3, bucket_rows=20).collect()) == few
+
+
+@pytest.mark.parametrize("block_rows", [7, 40, 10_000])
+def test_neighbours_among_copies_and_clusters(spark, block_rows):
+    """A third of the rows is one vector, others lie in clusters or far away; keys are texts."""
+    rng = random.Random(15)
+    points = [(0.0, 0.0)] * 100 + [(c * 10.0 + rng.randrange(4), float(rng.randrange(4))) for c in range(4) for _ in range(45)]
+    points += [(1000.0 * (i + 1), -5.0) for i in range(6)]
+    names = [f"k{i:03d}" for i in rng.sample(range(len(points)), len(points))]
+    rows = literal(spark, [(n, list(p)) for n, p in zip(names, points)], "name string, at array<double>")
+    got = {}
+    for r in resample.nearest_neighbours(rows, "name", "at", 6, block_rows).collect():
+        got.setdefault(r["key"], {})[r["rank"]] = (r["neighbour"], r["distance"])
+    for name, (x, y) in zip(names, points):
+        near = sorted((np.hypot(x - a, y - b), other) for other, (a, b) in zip(names, points) if other != name)[:6]
+        assert [got[name][i + 1][0] for i in range(6)] == [other for _, other in near]
+        assert [got[name][i + 1][1] for i in range(6)] == pytest.approx([d for d, _ in near])
+
+
+def test_neighbours_of_equal_vectors(spark):
+    rows = spark.range(9).select("id", F.array(F.lit(1.0)).alias("x"))
+    got = {(r["key"], r["rank"]): r["neighbour"] for r in resample.nearest_neighbours(rows, "id", "x", 2).collect()}
+    assert len(got) == 18 and got[0, 1] == 1 and got[0, 2] == 2 and got[1, 2] == 2 and got[8, 1] == 0 and got[8, 2] == 1
