@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Sequence
 from functools import partial
@@ -17,6 +18,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import literal, materialise, scratch_path
+from ..sources.runs import append_run, clock, save_model, save_results
 from .adaboost import AdaBoost
 from .evaluate import auc, evaluation, metric_summary
 from .sampling import stratified_folds, stratified_split
@@ -139,6 +141,31 @@ def run_model(
     return table, best[0]
 
 
+def logged_run(
+    df: DataFrame, key: str, label: str, name: str, n_run: int, sizes: dict[str, int], folder: str, seed: int = 7,
+    remark: str | None = None, **params,
+) -> str:
+    """``run_model`` with everything it finds stored below ``folder``; returns the run's id.
+
+    ``results`` gets the measures as a new version, ``models/<id>`` the best
+    model, ``params/<id>`` the classifier's parameters as JSON, and ``log`` one
+    line with the mean measures per split and the mean fitting time.
+    """
+    spark = df.sparkSession
+    results, model = run_model(df, key, label, name, n_run, sizes, seed, **params)
+    run_id = save_results(results, f"{folder}/results", name)
+    save_model(model, f"{folder}/models/{run_id}")
+    literal(spark, [(json.dumps(params, sort_keys=True),)], "value string").write.text(f"{folder}/params/{run_id}")
+    measures = ("auc", "ks", "acc")
+    means = results.groupBy("split").agg(*[F.avg(m).alias(m) for m in measures], F.avg("fit_seconds").alias("seconds")).collect()
+    append_run(
+        spark, f"{folder}/log", train_size=sizes["train"], classifier=run_id, time_spent=clock(means[0]["seconds"]),
+        result_path=f"{folder}/results/run_id={run_id}", params_path=f"{folder}/params/{run_id}", remark=remark,
+        **{f"{m}_{r['split']}": r[m] for r in means for m in measures},
+    )
+    return run_id
+
+
 def _in_parallel(jobs: Sequence[Callable], parallelism: int) -> list:
     """Run driver-side jobs side by side; each is a sequence of Spark jobs."""
     if parallelism <= 1 or len(jobs) <= 1:

@@ -13,9 +13,10 @@ from ..operators.resample import Resampler
 from ..operators.sampling import random_split
 from ..operators.training import (
     boosting_rounds, class_probabilities, classifier, cross_validation, cv_summary, fit_and_score, importances,
-    prepare_vars, rank_features, run_model,
+    logged_run, prepare_vars, rank_features, run_model,
 )
-from ..session import materialise
+from ..session import materialise, scratch_path
+from ..sources.runs import load_model
 from .registry import query, rounded, table
 
 # Words used as model inputs: fixed values.
@@ -58,6 +59,57 @@ def repeated(spark, sf):
     return rounded(results.drop("fit_seconds"))
 
 
+LOGGED_SQL = """SELECT run_id, CAST(n // 2 AS BIGINT) AS train_size, CAST(6 AS BIGINT) AS measured, true AS logged,
+   CAST(n AS BIGINT) AS scored FROM (SELECT count(*) AS n FROM documents), (VALUES ('bnb'), ('bnb1'), ('lr')) t(run_id)"""
+
+
+@query("M2_logged_run", LOGGED_SQL)
+def logged(spark, sf):
+    """Per run: whether the log line holds the means of the stored measures, and the rows its stored model scores."""
+    rows, folder = vectors(spark, sf), scratch_path(spark, "study")
+    n = rows.count()
+    sizes = {"test": n // 5, "train": n // 2, "val": n // 5}
+    ids = [
+        logged_run(rows, "doc_id", "label", name, 2, sizes, folder, seed, **SMALL[name])
+        for name, seed in (("bnb", 7), ("bnb", 8), ("lr", 7))
+    ]
+    means = spark.read.parquet(f"{folder}/results").groupBy(F.col("run_id").cast("string").alias("run_id")).agg(
+        F.count("*").alias("measured"), *[F.avg(F.when(F.col("split") == s, F.col("auc"))).alias(s) for s in ("train", "test")])
+    log = spark.read.parquet(f"{folder}/log").withColumnRenamed("classifier", "run_id")
+    same = (F.abs(F.col("auc_train") - F.col("train")) < 1e-9) & (F.abs(F.col("auc_test") - F.col("test")) < 1e-9)
+    scored = [
+        load_model(f"{folder}/models/{i}").transform(rows).where("prediction in (0, 1)").agg(
+            F.lit(i).alias("run_id"), F.count("*").alias("scored")) for i in ids
+    ]
+    counts = scored[0].unionByName(scored[1]).unionByName(scored[2])
+    return log.join(means, "run_id").join(counts, "run_id").select("run_id", "train_size", "measured", same.alias("logged"), "scored")
+
+
+# the default ten folds and ten rounds; equal patterns of words have equal scores, so patterns are counted
+BERNOULLI_CV_SQL = f"""WITH x AS MATERIALIZED (SELECT doc_id, CAST(coalesce(lang = 'fr', false) AS INTEGER) AS y,
+       list_transform({MODEL_WORDS!r}, lambda w: coalesce(contains(text, w), false)) AS p FROM documents),
+   k AS MATERIALIZED (SELECT r, y, p, ntile(10) OVER (PARTITION BY r, y ORDER BY md5(doc_id || ':' || (7 + r))) - 1 AS fold FROM x, range(10) t(r)),
+   a AS MATERIALIZED (SELECT r, fold, y, p, count(*) AS n FROM k GROUP BY ALL),
+   g AS MATERIALIZED (SELECT r, f, y, p, fold = f AS held, sum(n) AS n FROM a, range(10) t(f) GROUP BY ALL),
+   s AS (SELECT r, f, sum(n) FILTER (y = 1) AS n1, sum(n) FILTER (y = 0) AS n0 FROM g WHERE NOT held GROUP BY r, f),
+   c AS MATERIALIZED (SELECT r, f, i, (coalesce(sum(n) FILTER (p[i] AND y = 1), 0) + 1) / (n1 + 2) AS t1,
+         (coalesce(sum(n) FILTER (p[i] AND y = 0), 0) + 1) / (n0 + 2) AS t0
+         FROM g JOIN s USING (r, f), range(1, {len(MODEL_WORDS) + 1}) t(i) WHERE NOT held GROUP BY r, f, i, n1, n0),
+   z AS (SELECT r, f, p, round(sum(CASE WHEN p[i] THEN ln(t1 / t0) ELSE ln((1 - t1) / (1 - t0)) END), 9) AS score
+         FROM (SELECT DISTINCT r, f, p FROM g) JOIN c USING (r, f) GROUP BY r, f, p),
+   v AS (SELECT r, f, held, score, CAST(sum(n * y) AS DOUBLE) AS pos, CAST(sum(n * (1 - y)) AS DOUBLE) AS neg FROM g JOIN z USING (r, f, p) GROUP BY ALL),
+   u AS (SELECT *, sum(neg) OVER (PARTITION BY r, f, held ORDER BY score) - neg / 2 AS below FROM v),
+   m AS (SELECT r, f, held, sum(pos * below) / sum(pos) / sum(neg) AS auc FROM u GROUP BY r, f, held)
+   SELECT CAST(r AS INTEGER) AS round, CAST(f AS INTEGER) AS fold, round(max(auc) FILTER (NOT held), 6) AS auc_train,
+          round(max(auc) FILTER (held), 6) AS auc_test FROM m GROUP BY r, f"""
+
+
+@query("M3_cross_validation_bernoulli", BERNOULLI_CV_SQL)
+def crossed_bernoulli(spark, sf):
+    cv = cross_validation(vectors(spark, sf), "doc_id", "label", classifier("bnb"), parallelism=8)
+    return rounded(cv.select("round", "fold", "auc_train", "auc_test"))
+
+
 @query("M3_cross_validation")
 def crossed(spark, sf):
     cv = cross_validation(vectors(spark, sf), "doc_id", "label", classifier("lr", maxIter=5), n_fold=3, n_round=2)
