@@ -84,7 +84,45 @@ def bpe_query(spark, sf):
     return bpe.round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@query("op8_quality_rules")
+QUALITY_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS MATERIALIZED (
+  SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+again AS (
+  SELECT rid, i FROM (SELECT rid, i, words[i:i + 4] AS five FROM w, unnest(range(1, len(words) - 3)) AS u(i))
+  QUALIFY count(*) OVER (PARTITION BY rid, five) > 1),
+covered AS (
+  SELECT rid, sum(n) AS n FROM (
+    SELECT rid, least(5, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i) - i, 5)) AS n FROM again) GROUP BY rid),
+line AS MATERIALIZED (
+  SELECT rid, doc_id, source, len(lw) AS n, translate(array_to_string(lw, ' '),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT rid, doc_id, source, list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS lw
+        FROM w, unnest(lines) AS u(l))),
+host AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
+frequent AS (
+  SELECT f.source, f.key FROM (SELECT source, key, count(DISTINCT rid) AS n FROM line GROUP BY source, key) f
+  JOIN host h ON h.source IS NOT DISTINCT FROM f.source WHERE f.n > 10 AND f.n > CAST(0.01 AS DOUBLE) * docs),
+lost AS (
+  SELECT l.doc_id, sum(l.n) AS n FROM line l JOIN frequent f ON f.key = l.key AND f.source IS NOT DISTINCT FROM l.source
+  GROUP BY l.doc_id),
+base AS (
+  SELECT w.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+    sum(len(words)) OVER (PARTITION BY w.doc_id) AS total
+  FROM w LEFT JOIN covered c USING (rid)),
+judged AS (
+  SELECT base.*, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_lost, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed
+  FROM base LEFT JOIN lost ON lost.doc_id IS NOT DISTINCT FROM base.doc_id)
+SELECT * EXCLUDE (total), NOT base_failed AND total - n_lost >= 10 AND total - n_lost >= CAST(0.3 AS DOUBLE) * total AS kept
+FROM judged
+"""
+
+
+@query("op8_quality_rules", QUALITY_SQL)
 def quality_query(spark, sf):
     return quality.quality_rules(table(spark, sf, "documents"))
 
