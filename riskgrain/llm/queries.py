@@ -132,6 +132,38 @@ def pii_query(spark, sf):
     return pii.find(table(spark, sf, "documents"))
 
 
-@query("op10_jaccard_join")
+JACCARD_SQL = r"""
+WITH RECURSIVE word AS (
+  SELECT CAST(doc_id AS BIGINT) AS id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+doc AS MATERIALIZED (
+  SELECT id, list_sort(list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END)) AS grams FROM word),
+sets AS MATERIALIZED (
+  SELECT grams, min(id) AS rep, count(*) AS weight, len(grams) AS size FROM doc WHERE len(grams) > 0 GROUP BY grams),
+gram AS MATERIALIZED (SELECT rep, size, unnest(grams) AS gram FROM sets),
+often AS (SELECT gram, count(*) AS n FROM gram GROUP BY gram),
+-- similar sets share one of their rarest grams
+rare AS MATERIALIZED (
+  SELECT rep, size, gram FROM gram JOIN often USING (gram)
+  QUALIFY row_number() OVER (PARTITION BY rep ORDER BY n, gram) <= size - (4 * size + 4) // 5 + 1),
+pair AS MATERIALIZED (
+  SELECT DISTINCT a.rep AS a, b.rep AS b FROM rare a JOIN rare b ON a.gram = b.gram AND a.rep < b.rep
+    AND 5 * least(a.size, b.size) >= 4 * greatest(a.size, b.size)),
+common AS (
+  SELECT a, b, len(list_intersect(x.grams, y.grams)) AS shared, x.size + y.size AS total
+  FROM pair JOIN sets x ON x.rep = a JOIN sets y ON y.rep = b),
+near AS MATERIALIZED (SELECT a, b FROM common WHERE 5 * shared >= 4 * (total - shared)),
+edge AS MATERIALIZED (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach(id, root) AS (
+  SELECT rep, rep FROM sets UNION SELECT e.b, r.root FROM reach r JOIN edge e ON e.a = r.id WHERE e.b > r.root),
+class AS (SELECT id AS rep, min(root) AS root FROM reach GROUP BY id),
+link AS (SELECT a AS rep, sum(weight) AS n FROM edge JOIN sets ON rep = b GROUP BY a)
+SELECT doc.id AS doc_id, coalesce(root, doc.id) AS class_id, CAST(coalesce(weight - 1, 0) + coalesce(n, 0) AS BIGINT) AS n_links
+FROM doc LEFT JOIN sets USING (grams) LEFT JOIN class USING (rep) LEFT JOIN link USING (rep)
+"""
+
+
+@query("op10_jaccard_join", JACCARD_SQL)
 def jaccard_query(spark, sf):
     return jaccard.similarity_classes(table(spark, sf, "documents"))
