@@ -1,15 +1,20 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination: word-pair seeds counted by window, and Smith-Waterman alignment.
 
 The benchmark is a stated query set, read in blocks of bounded size; each block is
-held against all documents.  Of an item's distinct three-word grams the rarer half
-by document frequency over the whole corpus (ties included) are its seeds, however
-frequent they are, so a passage planted in a third of all documents is still found.  A document that holds
-a seed is aligned with the item around the seed's diagonal; the score is the local
-alignment score over the item's highest possible one: 1 for a whole copy, above one half
-for copies with up to about a third of the words replaced, inserted or left out.
+held against all documents.  The score is the local alignment score over the item's highest
+possible one: 1 for a whole copy, at least one half for copies with up to about a third of
+the words replaced, inserted or left out.
+
+Seeds lose no such alignment.  Of an item of ``m`` words an alignment with ``M`` matches and
+``E`` edits scores ``2 M - E``.  Count two for each two successive matches without an edit
+between them and one for those with a single edit: the sum is at least the score less
+two.  Both kinds are pairs of words that stand in the document next to each other or
+with one word between, as in the item, so they are looked up as such.  The quarter of an item's
+pair starts that the corpus holds most often is not looked up and taken off the sum in
+full; a document is aligned wherever a stretch as long as an alignment can be reaches the rest.
 
 Defined cases: a null or empty text has no words and matches nothing; an item of
-fewer than three words has one gram, all its words; null ids are passed through;
+fewer than three words is matched as a whole; null ids are passed through;
 repeated documents or items are each reported; words are runs of ASCII letters and digits
 (lower-cased) and non-ASCII characters.
 """
@@ -22,11 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import hash_ngrams, hash_words, text_chunks
+from .words import hash_ngrams, hash_words, mix, text_chunks
 
-SEED_WORDS = 3
+SHORT = 2
 BLOCK_BYTES = 4_000_000
 MATCH, MISS, GAP = 2, 1, 1
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
@@ -43,8 +49,9 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _item_grams(words: np.ndarray) -> np.ndarray:
-    return hash_ngrams(words, max(1, min(SEED_WORDS, len(words))))
+def _pairs(words: np.ndarray, apart: int) -> np.ndarray:
+    """Hash of each word and the one ``apart`` places after it, the same whatever the distance."""
+    return mix(words[:-apart] * _PAIR + words[apart:])
 
 
 def _words_of(text: str | None) -> np.ndarray:
@@ -69,73 +76,119 @@ class _Lookup:
         return at[hit], k[hit]
 
 
-def _hits(texts: pa.Array, lookup: _Lookup, widths: list[int]):
-    """``(row, words of the row, word positions, key positions)`` of each row with a key."""
+def _hits(texts: pa.Array, lookup: _Lookup):
+    """By chunk: ``(first row, words, first word of each row, and row, word position, key position, kind of each hit)``.
+
+    Kinds: 0 for words next to each other, 1 for those with a word between, 2 for whole items of one or two words.
+    """
     for start, stop, data, offsets in text_chunks(texts):
         words, first = hash_words(data, offsets)
         found = []
-        for n in widths:
-            at, key = lookup.find(hash_ngrams(words, n))
+        for kind, length, hashes in (
+            (0, 2, _pairs(words, 1)), (1, 3, _pairs(words, 2)), (2, 1, hash_ngrams(words, 1)), (2, 2, hash_ngrams(words, 2))):
+            at, key = lookup.find(hashes)
             row = np.searchsorted(first, at, side="right") - 1
-            inside = at + n <= first[row + 1]
-            found.append((row[inside], at[inside], key[inside]))
-        row, at, key = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((key, at, row))
-        row, at, key = row[order], at[order], key[order]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1, [len(row)]]) if len(row) else [0]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            r = int(row[a])
-            yield start + r, words[first[r]:first[r + 1]], at[a:b] - first[r], key[a:b]
-
-
-def _count(lookup: _Lookup, widths: list[int]):
+            inside = at + length <= first[row + 1]
+            found.append((row[inside], at[inside], key[inside], np.full(int(inside.sum()), kind)))
+        yield start, words, first, *(np.concatenate(x) for x in zip(*found))
+
+
+def _count(lookup: _Lookup):
     def run(batches):
         counts = np.zeros(len(lookup.keys), np.int64)
         for batch in batches:
-            for _, _, _, key in _hits(batch.column(0), lookup, widths):
-                counts[np.unique(key)] += 1
+            for _, _, _, row, _, key, _ in _hits(batch.column(0), lookup):
+                once = np.unique(row * len(counts) + key)
+                counts += np.bincount(once % len(counts), minlength=len(counts))
         at = np.flatnonzero(counts)
         yield pa.record_batch({"key": pa.array(at.astype(np.int64)), "n": pa.array(counts[at])})
     return run
 
 
-def _align_all(items, lookup: _Lookup, widths: list[int], places, least: float):
-    """places: for each seed, the ``(item, place)`` pairs it stands for."""
-    def spans(diagonals, size):
-        """Stretches of a document to align: the item's length around each group of near diagonals."""
-        pad = size // 2 + 2
-        low = high = None
-        for d in sorted(diagonals):
-            if low is not None and d - high > size:
-                yield low - pad, high + size + pad
-                low = None
-            low = d if low is None else low
-            high = d
-        yield low - pad, high + size + pad
-
+class _Seeds:
+    """What each looked-up key stands for: ``(item, kind)`` lists by key, and by item the sum that a window needs."""
+
+    def __init__(self, items, lookup: _Lookup, counts: np.ndarray, least: float):
+        keys, owners, kinds = [], [], []
+        self.needed, self.window = np.ones(len(items), np.int64), np.zeros(len(items), np.int64)
+        for k, (_, words) in enumerate(items):
+            size = len(words)
+            # an alignment that reaches the least score holds at most so many words of the document
+            self.window[k] = size + max(0, math.floor(MATCH * size * (1 - least) + 1e-9))
+            if size <= SHORT:
+                keys.append(hash_ngrams(words, size))
+                owners.append(k)
+                kinds.append(2)
+                continue
+            near, far = _pairs(words, 1), _pairs(words, 2)
+            often = counts[np.searchsorted(lookup.keys, near)]
+            often[:-1] += counts[np.searchsorted(lookup.keys, far)]
+            needed = math.ceil(MATCH * size * least - 1e-9) - 2
+            left_out = max(0, min((size - 1) // 4, (needed - 1) // 2))
+            self.needed[k] = max(1, needed - 2 * left_out)
+            looked = np.ones(size - 1, bool)
+            looked[np.argsort(-often, kind="stable")[:left_out]] = False
+            for kind, hashes in ((0, near[looked]), (1, far[looked[:-1]])):
+                keys.append(np.unique(hashes))
+                owners.append(k)
+                kinds.append(kind)
+        sizes = [len(x) for x in keys]
+        hashes = np.concatenate(keys)
+        owner, kind = np.repeat(np.array(owners, np.int64), sizes), np.repeat(np.array(kinds, np.int64), sizes)
+        order = np.argsort(hashes, kind="stable")
+        self.lookup = _Lookup(np.unique(hashes))
+        self.owner, self.kind = owner[order], kind[order]
+        self.first = np.searchsorted(hashes[order], np.append(self.lookup.keys, np.uint64(2**64 - 1)))
+        self.first[-1] = len(hashes)
+
+    def spans(self, first, row, at, key, kind):
+        """``(row, item, low, high)``: words of the chunk to align, of each item and row in order, without overlaps."""
+        many = self.first[key + 1] - self.first[key]
+        place = np.repeat(self.first[key] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        row, at, kind, item, as_kind = *(np.repeat(x, many) for x in (row, at, kind)), self.owner[place], self.kind[place]
+        fits = (kind == 2) == (as_kind == 2)
+        row, at, kind, item, as_kind = (x[fits] for x in (row, at, kind, item, as_kind))
+        weight = np.where((kind == 0) & (as_kind == 0), 2, 1)
+        base = int(first[-1]) + 1
+        place = item * base + at
+        order = np.argsort(place, kind="stable")
+        row, at, item, place = row[order], at[order], item[order], place[order]
+        sums = np.concatenate([[0], np.cumsum(weight[order])])
+        end = np.searchsorted(place, item * base + np.minimum(at + self.window[item], first[row + 1]))
+        enough = sums[end] - sums[np.searchsorted(place, place)] >= self.needed[item]
+        last = None
+        for r, k, a in zip(row[enough].tolist(), item[enough].tolist(), at[enough].tolist()):
+            low, high = max(int(first[r]), a - int(self.window[k])), min(int(first[r + 1]), a + int(self.window[k]))
+            if last is not None and last[:2] == (r, k) and low <= last[3]:
+                last = (r, k, last[2], high)
+                continue
+            if last is not None:
+                yield last
+            last = (r, k, low, high)
+        if last is not None:
+            yield last
+
+
+def _align_all(items, seeds: _Seeds, least: float):
     def run(batches):
         for batch in batches:
             known, out = {}, []
-            for row, words, at, key in _hits(batch.column(1), lookup, widths):
-                diagonals = {}
-                for a, k in zip(at.tolist(), key.tolist()):
-                    for item, place in places[k]:
-                        diagonals.setdefault(item, set()).add(a - place)
-                for item, found in diagonals.items():
-                    item_words, best = items[item][1], (0.0, 0, 0)
-                    for low, high in spans(found, len(item_words)):
-                        low = max(0, low)
-                        window = words[low:high]
-                        cached = known.get((item, window.tobytes()))
-                        if cached is None:
-                            score, end = align(item_words, window)
-                            score /= MATCH * len(item_words)
-                            begin = end - align(item_words[::-1], window[:end][::-1])[1] if score >= least else 0
-                            cached = known[item, window.tobytes()] = score, begin, end
-                        score, begin, end = cached
-                        best = max(best, (score, -(low + begin), low + end))
-                    if best[0] >= least:
-                        out.append((row, items[item][0], best[0], -best[1], best[2] - 1))
+            for start, words, first, *hits in _hits(batch.column(1), seeds.lookup):
+                found = {}
+                for row, item, low, high in seeds.spans(first, *hits):
+                    item_words, window = items[item][1], words[low:high]
+                    cached = known.get((item, window.tobytes()))
+                    if cached is None:
+                        score, end = align(item_words, window)
+                        score /= MATCH * len(item_words)
+                        begin = end - align(item_words[::-1], window[:end][::-1])[1] if score >= least else 0
+                        cached = known[item, window.tobytes()] = score, begin, end
+                    score, begin, end = cached
+                    low -= int(first[row])
+                    found[row, item] = max(found.get((row, item), (0.0, 0, 0)), (score, -(low + begin), low + end))
+                out += [
+                    (start + row, items[item][0], best[0], -best[1], best[2] - 1)
+                    for (row, item), best in found.items() if best[0] >= least]
             rows, names, scores, begins, ends = zip(*out) if out else [()] * 5
             yield pa.record_batch({
                 "doc": batch.column(0).take(pa.array(rows, pa.int64())), "item": pa.array(names, pa.int64()),
@@ -163,24 +216,13 @@ def contaminated(
         items = [(r["item"], w) for r in rows if len(w := _words_of(r["text"]))]
         if not items:
             continue
-        grams = [_item_grams(w) for _, w in items]
-        widths = sorted({min(SEED_WORDS, len(w)) for _, w in items})
-        lookup = _Lookup(np.unique(np.concatenate(grams)))
+        grams = [x for _, w in items if len(w) > SHORT for x in (_pairs(w, 1), _pairs(w, 2))]
+        lookup = _Lookup(np.unique(np.concatenate([np.zeros(1, np.uint64), *grams])))
         counts = np.zeros(len(lookup.keys), np.int64)
-        for r in source.select("text").mapInArrow(_count(lookup, widths), "key long, n long").groupBy("key").agg(
+        for r in source.select("text").mapInArrow(_count(lookup), "key long, n long").groupBy("key").agg(
                 F.sum("n").alias("n")).collect():
             counts[r["key"]] = r["n"]
-        places: dict[int, list[tuple[int, int]]] = {}
-        for k, g in enumerate(grams):
-            at = np.searchsorted(lookup.keys, g)
-            distinct = np.unique(at)
-            limit = np.sort(counts[distinct])[(len(distinct) - 1) // 2]
-            for place, key in enumerate(at.tolist()):
-                if counts[key] <= limit:
-                    places.setdefault(key, []).append((k, place))
-        seeds = np.array(sorted(places), np.int64)
-        part = source.mapInArrow(
-            _align_all(items, _Lookup(lookup.keys[seeds]), widths, [places[k] for k in seeds.tolist()], least), schema)
+        part = source.mapInArrow(_align_all(items, _Seeds(items, lookup, counts, least), least), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = source.select("doc", F.lit(None).cast("long").alias("item"), F.lit(0.0).alias("score"),

@@ -255,6 +255,39 @@ def test_benchmark_copies(spark, documents, benchmark):
     assert set(left) == set(texts_of(docs)) - {doc for doc, _ in found}
 
 
+def edited_copies(words, step):
+    """Copies with every ``step``-th word replaced, with a word put in there, and without it."""
+    return [
+        [w if k % step else f"changed{k}" for k, w in enumerate(words, 1)],
+        [x for k, w in enumerate(words, 1) for x in ([w] if k % step else [w, f"more{k}"])],
+        [w for k, w in enumerate(words, 1) if k % step]]
+
+
+@pytest.mark.parametrize("whole", [0, 3])
+def test_edited_benchmark_copies(spark, documents, benchmark, whole):
+    """Every document and item that align are found, as by aligning each of them, with and without whole copies elsewhere."""
+    items = {r["item_id"]: decontaminate._words_of(r["text"]) for r in benchmark.collect()}
+    plain = {r["item_id"]: WORD.findall(r["text"].translate(LOWER)) for r in benchmark.collect()}
+    rows, edited = [], set()
+    for item in sorted(items)[:6]:
+        for step in (5, 4, 3):
+            for k, copy in enumerate(edited_copies(plain[item], step)):
+                doc = 910_000 + 100 * item + 10 * step + k
+                rows.append((doc, f"before it {' '.join(copy)} after it"))
+                edited.add((doc, item))
+        rows += [(920_000 + 10 * item + k, f"copy {k} " + " ".join(plain[item])) for k in range(whole)]
+    docs = documents.select("doc_id", "text").limit(60).unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = {}
+    for doc, text in texts_of(docs).items():
+        words = decontaminate._words_of(text)
+        for item, own in items.items():
+            score = decontaminate.align(own, words)[0] / 2 / len(own)
+            if score >= 0.5:
+                want[doc, item] = score
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert found == want and edited <= set(found)
+
+
 # 7
 
 @pytest.fixture(scope="module")
