@@ -2,11 +2,10 @@
 
 Templates are word sequences with mandatory key phrases.  Their vocabulary is looked up
 in every document; document frequencies over the whole corpus give each word's IDF.
-Of a file's licence words the ``lookups`` of highest IDF are found in the
-file, their template postings turned into starts (place in the file less place in the
-template), and every start that two looked-up words agree on is verified: each mandatory phrase
-must stand at its place.  Short phrases with no other words are looked up by their own rarest word at
-all its places, so none is missed.
+Of each template the mandatory word of highest IDF is looked up at all its places in the file: every
+start (place in the file less place in the template) is verified, so none is missed, however many
+other notices or words the file holds.  Each mandatory phrase must stand at its place, and two of the template's
+words in all.  Short phrases with no other words are looked up by their own rarest word likewise.
 
 Defined cases: a null or empty text has no words, no labels and a score of 0; rows are scored one by one,
 whatever their id; equal IDFs are ordered by word.
@@ -21,7 +20,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .quality import bound
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-LOOKUPS = 8
 
 #: Phrases whose every place counts, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -87,44 +85,46 @@ def _stands(words: Column, phrase: Column, at: Column) -> Column:
     return F.when(at >= 0, F.slice(words, F.greatest(at, F.lit(0)) + 1, F.size(phrase)) == phrase).otherwise(False)
 
 
-def _postings(bodies) -> Column:
-    """``(w, t, k)``: word, template and place, of every template word."""
-    return F.array(*[
-        F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(k).alias("k"))
-        for t, (_, template, _) in enumerate(bodies) for k, w in enumerate(template)])
+def _postings(bodies, df: Mapping[str, int]) -> list[tuple[str, int, int]]:
+    """``(w, t, k)``: word, template and place, of each template's rarest mandatory word, or of all words if none is mandatory."""
+    found = []
+    for t, (_, template, keys) in enumerate(bodies):
+        places = [_place(template, key) + k for key in keys for k in range(len(key))]
+        rarest = [min(places, key=lambda k: (df[template[k]], template[k], k))] if places else range(len(template))
+        found += [(template[k], t, k) for k in rarest]
+    return found
+
+
+def _place(template: list[str], key: list[str]) -> int:
+    return next(i for i in range(len(template)) if template[i:i + len(key)] == key)
 
 
 def _templates(bodies) -> Column:
     """``(label, words, keys)`` of every template, ``keys`` with the place of each mandatory phrase."""
-    def place(template, key):
-        return next(i for i in range(len(template)) if template[i:i + len(key)] == key)
-
     return F.array(*[
         F.struct(F.lit(label).alias("label"), _literal(template).alias("words"), F.array(*[
-            F.struct(F.lit(place(template, key)).alias("at"), _literal(key).alias("words")) for key in keys]).alias("keys"))
+            F.struct(F.lit(_place(template, key)).alias("at"), _literal(key).alias("words")) for key in keys]).alias("keys"))
         for label, template, keys in bodies])
 
 
 def scan(
     docs: DataFrame, id: str = "doc_id", text: str = "text", phrases: Mapping[str, str] = PHRASES,
-    templates: Mapping[str, list[tuple[str, list[str]]]] = TEMPLATES, lookups: int = LOOKUPS,
+    templates: Mapping[str, list[tuple[str, list[str]]]] = TEMPLATES, lookups: int | None = None,
 ) -> DataFrame:
     """``(id, n_words, places, phrase_labels, labels, score)``; ``places``: for each phrase its starts, in order.
 
-    A start counts if two looked-up words agree on it.  The score is the largest
-    share of a labelled template's words that stand at their places, 1 for a phrase.
+    A start counts if the mandatory phrases and two of the template's words stand at their places.  The score is
+    the largest share of a labelled template's words that stand at their places, 1 for a phrase.  ``lookups``, once
+    the number of words looked up in a file, has no effect: every template is looked up.
     """
     bodies = [(label, t.split(), [p.split() for p in keys]) for label, ts in templates.items() for t, keys in ts]
     spoken = [(p.split(), label) for p, label in phrases.items()]
     vocabulary = sorted({w for _, t, _ in bodies for w in t} | {w for p, _ in spoken for w in p})
     df = document_frequencies(docs, vocabulary, text)
-    ranked = sorted(vocabulary, key=lambda w: (df[w], w))
-    words, found, rare = F.col("_words"), F.col("_found"), F.col("_rare")
+    words, found = F.col("_words"), F.col("_found")
 
     source = docs.select(F.col(id).alias(id), words_of(F.col(text)).alias("_words"))
     source = source.withColumn("_found", F.array_intersect(words, _literal(vocabulary)))
-    # the file's rarest licence words: array_intersect keeps the order of its first argument
-    source = source.withColumn("_rare", F.slice(F.array_intersect(_literal(ranked), found), 1, lookups))
 
     def spoken_places(phrase: list[str]) -> Column:
         k, anchor = min(enumerate(phrase), key=lambda x: (df[x[1]], x[0]))
@@ -133,24 +133,25 @@ def scan(
             F.size(F.array_except(_literal(phrase), found)) == 0, F.transform(starts, lambda at: at - k),
         ).otherwise(F.array().cast("array<int>"))
 
-    postings, table = _postings(bodies), _templates(bodies)
-    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(rare, h["w"]))
+    anchors = _postings(bodies, df)
+    postings, table = F.array(*[
+        F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(k).alias("k")) for w, t, k in anchors]), _templates(bodies)
+    sought = _literal(sorted({w for w, _, _ in anchors}))
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(sought, h["w"]))
     starts = F.flatten(F.transform(hits, lambda h: F.transform(
         F.filter(postings, lambda p: p["w"] == h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["k"]).alias("at")))))
-    agreed = bound(F.sort_array(starts), lambda s: F.array_distinct(F.filter(
-        s, lambda x, k: F.coalesce(F.get(s, k + 1) == x, F.lit(False)))))
 
     def judged(x: Column) -> Column:
         return bound(F.get(table, x["t"]), lambda t: F.when(
             F.forall(t["keys"], lambda key: _stands(words, key["words"], x["at"] + key["at"])),
-            F.struct(t["label"].alias("label"), (F.size(F.filter(
+            bound(F.size(F.filter(
                 F.transform(t["words"], lambda w, k: F.get(words, x["at"] + k) == w), lambda same: same,
-            )) / F.size(t["words"])).alias("share"))))
+            )), lambda n: F.when(n >= 2, F.struct(t["label"].alias("label"), (n / F.size(t["words"])).alias("share"))))))
 
     mandatory = F.array(*[_literal(sorted({w for key in keys for w in key})) for _, _, keys in bodies])
     possible = F.exists(mandatory, lambda m: F.size(F.array_except(m, found)) == 0)
     none = F.array().cast("array<struct<label:string,share:double>>")
-    matches = F.when(possible, F.array_compact(F.transform(agreed, judged))).otherwise(none)
+    matches = F.when(possible, F.array_compact(F.transform(starts, judged))).otherwise(none)
 
     result = source.select(
         id, F.size(words).cast("long").alias("n_words"), F.array(*[spoken_places(p) for p, _ in spoken]).alias("places"),

@@ -99,6 +99,34 @@ def test_license_templates_against_search(documents):
         assert want <= set(found[doc]["labels"].split(",")) | {""}, doc
 
 
+def plain_templates(text):
+    """Labels of the templates whose mandatory phrases stand at their places."""
+    words, labels = WORD.findall(text.translate(LOWER)), set()
+    for label, bodies in license_scan.TEMPLATES.items():
+        for template, keys in bodies:
+            t, keys = template.split(), [k.split() for k in keys]
+            offsets = [next(i for i in range(len(t)) if t[i:i + len(k)] == k) for k in keys]
+            if any(all(s + o >= 0 and words[s + o:s + o + len(k)] == k for o, k in zip(offsets, keys)) for s in range(-len(t), len(words))):
+                labels.add(label)
+    return labels
+
+
+def test_license_many_notices(spark, documents):
+    """Many notices in one file, and one in a long text that holds every licence word, with the default parameters."""
+    notices = {label: [t for t, _ in bodies] for label, bodies in license_scan.TEMPLATES.items()}
+    several = ["lgpl", "agpl", "mpl-2.0", "cc0", "bsd", "mit", "unlicense", "apache-2.0"]
+    every = sorted({w for ts in notices.values() for t in ts for w in t.split()})
+    rows = [
+        (930_000, " . ".join(t for ts in notices.values() for t in ts)), (930_001, " . ".join(notices[x][0] for x in several)),
+        (930_002, " filler ".join(every * 40) + " so " + notices["apache-2.0"][0] + " so " + " ".join(f"w{k}" for k in range(20_000))),
+        (930_003, " ".join(every)), (930_004, "mit license"), (930_005, "Apache License, Version 2.0, then text")]
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    found, phrases = by_id(license_scan.scan(docs)), set(license_scan.PHRASES.values())
+    for doc, text in texts_of(docs).items():
+        assert set(filter(None, found[doc]["labels"].split(","))) - phrases == plain_templates(text) - phrases, doc
+    assert set(notices) <= set(found[930_000]["labels"].split(",")) and set(several) <= set(found[930_001]["labels"].split(","))
+
+
 # 2 and 5
 
 def test_language_held_out(spark, documents):
