@@ -36,6 +36,8 @@ STEP = 16
 TILE_ROWS = 1024
 TILE_GRAMS = 1_000_000
 BUNDLE_GRAMS = 4_000_000
+#: A character of a word.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 _NUMBERS = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
 _FACTORS = (_NUMBERS[:HASHES] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -270,7 +272,15 @@ def similarity_classes(
 
 
 def without_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents whose id is that of their class, one row each; rows with a null id stay."""
-    kept = similarity_classes(docs, id, text, **options).where(F.col(id) == F.col("class_id")).select(id).distinct()
-    named = docs.where(F.col(id).isNotNull()).join(kept, id, "left_semi").dropDuplicates([id, text])
-    return named.unionByName(docs.where(F.col(id).isNull()))
+    """The documents whose id is that of their class, one row each; rows with a null id stay.
+
+    Of equal texts without words, null counting as empty, the one with the smallest id stays.
+    """
+    named, worded = docs.where(F.col(id).isNotNull()), F.coalesce(F.col(text).rlike(WORD), F.lit(False))
+    filled = named.where(worded)
+    kept = similarity_classes(filled, id, text, **options).where(F.col(id) == F.col("class_id")).select(id).distinct()
+    blank = named.where(~worded).withColumn("_blank", F.coalesce(text, F.lit("")))
+    firsts = blank.groupBy("_blank").agg(F.min(id).alias(id))
+    return filled.join(kept, id, "left_semi").dropDuplicates([id, text]).select(docs.columns).unionByName(
+        blank.join(firsts, [id, "_blank"], "left_semi").dropDuplicates([id, "_blank"]).select(docs.columns),
+    ).unionByName(docs.where(F.col(id).isNull()))

@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from conftest import clashing, texts_of
+from pyspark.sql import functions as F
 from test_operators import plain_classes, plain_lines
 
 from riskgrain.llm import decontaminate
@@ -35,3 +36,13 @@ def test_last_stage(spark, sf, messy, empty):
     name, stage = corpus_pipeline.STAGES[-1]
     assert stage(spark, empty, sf).count() == 0
     assert stage(spark, clashing(messy), sf).count() == messy.count()
+
+
+def test_copies_of_many_lines(spark, sf, documents):
+    """Of many copies whose lines are all dropped but once, one full text and one empty one stay."""
+    text = "\n".join(f"Line number {k} of a document that stands here many times over" for k in range(4))
+    copies = spark.range(950_000, 950_030).selectExpr("id AS doc_id").withColumns({
+        "text": F.lit(text), "lang": F.lit("en"), "source": F.lit("a"), "n_chars": F.lit(len(text)).cast(documents.schema["n_chars"].dataType)})
+    lines = corpus_pipeline.without_repeated_lines(spark, copies.select(documents.columns), sf)
+    assert sum(t == "" for t in texts_of(lines).values()) == 29
+    assert texts_of(corpus_pipeline.without_near_copies(spark, lines, sf)) == {950_000: "", 950_029: text}
