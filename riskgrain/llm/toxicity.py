@@ -2,8 +2,8 @@
 
 Voters are words and word beginnings that a bounded sample of labelled rows ties to the
 label, and fixed patterns (shouting, runs of exclamation marks, stretched letters).  Every learnable document,
-labelled or not, is voted on; from the voters' second moments over all of them (near
-copies once) a generative label model estimates each voter's accuracy (triplets of voters that are
+labelled or not, is voted on; from the voters' second moments over all of them (texts
+with the same five-grams and votes once, with the share of toxic ones taken over the same rows) a generative label model estimates each voter's accuracy (triplets of voters that are
 independent given the label) and finds correlated voters, whose evidence is shared.  The
 model's posterior labels train a sparse linear classifier on words and word
 beginnings, calibrated on labelled rows that neither step has seen.
@@ -15,6 +15,7 @@ contradict each other counts with each; repeated rows are scored each; rows with
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 
@@ -24,13 +25,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise
 from .ftrl import Ftrl, logits
+from .jaccard import gram_sets, similarity_classes
 from .language import is_held_out
-from .words import hash_ngrams, hash_words, mix, text_chunks
 
 SAMPLE = 16_000
 VOTERS, VOCABULARY = 120, 6_000
 PREFIXES = (4, 5, 6)
-SALTS = 4
 _WORD = re.compile(r"[^\W\d_]+")
 _PATTERNS = [re.compile(p) for p in (r"!{3,}", r"\b[A-Z]{4,} [A-Z]{4,}\b", r"([A-Za-z])\1{3,}")]
 
@@ -81,56 +81,32 @@ def _votes(text: str, voters: dict[str, int]) -> list[int]:
     return [voters[t] for t in found if t in voters] + [len(voters) + k for k in _patterns_in(text)]
 
 
-def _least_grams(texts: pa.Array, salts: int = 1) -> np.ndarray:
-    """Each text's least five-word hash under each salt, which near copies mostly share; of shorter texts that of all words."""
-    seeds = np.arange(salts, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
-    out = [np.empty((salts, 0), np.uint64)]
-    for start, stop, data, offsets in text_chunks(texts):
-        words, first = hash_words(data, offsets)
-        grams = mix(hash_ngrams(words, 5)[None, :] ^ seeds)
-        least = np.zeros((salts, stop - start), np.uint64)
-        for row, (a, b) in enumerate(zip(first[:-1], first[1:])):
-            if b - a >= 5:
-                least[:, row] = grams[:, a:b - 4].min(axis=1)
-            elif b > a:
-                least[:, row] = hash_ngrams(words[a:b], int(b - a))[0]
-        out.append(least)
-    return np.concatenate(out, axis=1).view(np.int64)
-
-
-def _sketch(columns: list[str]):
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            least = _least_grams(texts, SALTS)
-            yield pa.record_batch({
-                **{c: batch.column(k) for k, c in enumerate(columns)}, "text": texts,
-                **{f"least{k}": pa.array(least[k]) for k in range(SALTS)}})
-    return run
-
-
 def _ballots(voters: dict[str, int]):
     def run(batches):
         for batch in batches:
-            votes = [sorted(_votes(t or "", voters)) for t in batch.column(0).to_pylist()]
+            votes = [sorted(_votes(t or "", voters)) for t in batch.column(1).to_pylist()]
+            digests = np.frombuffer(b"".join(
+                hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in gram_sets(batch.column(1), 5)), np.int64).reshape(-1, 2)
             yield pa.record_batch({
-                "least": pa.array(_least_grams(batch.column(0))[0]), "votes": pa.array(votes, pa.list_(pa.int32()))})
+                "_id": batch.column(0), "set_a": pa.array(digests[:, 0]), "set_b": pa.array(digests[:, 1]),
+                "votes": pa.array(votes, pa.list_(pa.int32()))})
     return run
 
 
 def _moments(size: int):
+    """Sums of votes that fall together; the cells -1, -2 and -3 hold the rows, those labelled toxic and those labelled clean."""
     def run(batches):
-        sums, n = np.zeros((size, size), np.int64), 0
+        sums, n = np.zeros((size, size), np.int64), np.zeros(3, np.int64)
         for batch in batches:
-            n += batch.num_rows
+            n += [batch.num_rows, *(int(np.sum(batch.column(k).to_numpy(zero_copy_only=False))) for k in (1, 2))]
             for votes in batch.column(0).to_pylist():
                 if votes:
                     at = np.array(votes, np.int64)
                     sums[at[:, None], at[None, :]] += 1
         i, j = np.nonzero(sums)
         yield pa.record_batch({
-            "i": pa.array([-1, *i.tolist()], pa.int64()), "j": pa.array([-1, *j.tolist()], pa.int64()),
-            "n": pa.array([n, *sums[i, j].tolist()], pa.int64())})
+            "i": pa.array([-1, -2, -3, *i.tolist()], pa.int64()), "j": pa.array([-1, -2, -3, *j.tolist()], pa.int64()),
+            "n": pa.array([*n.tolist(), *sums[i, j].tolist()], pa.int64())})
     return run
 
 
@@ -232,14 +208,13 @@ def score(
                            F.lit(int(flat >= threshold)).alias("predicted"))
     drawn = F.pmod(F.xxhash64("_id", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
     rate = min(1.0, sample / (n_pos + n_neg))
-    # near copies would pass as many independent rows: of those that share a least hash one counts
-    kept = [f"least{k}" for k in range(SALTS)]
+    # near copies would pass as many independent rows: of those in one class of the Jaccard join one counts
     id_type = source.schema["_id"].dataType.simpleString()
-    labelled = source.where(drawn < rate).join(known, "_id").select("_id", "toxic", "text").mapInArrow(
-        _sketch(["_id", "toxic"]), f"_id {id_type}, toxic int, text string, " + ", ".join(f"{c} long" for c in kept))
-    for c in kept:
-        labelled = labelled.groupBy("toxic", c).agg(
-            F.min(F.struct("_id", "text", *[k for k in kept if k != c])).alias("r")).select("toxic", c, "r.*")
+    apart = materialise(
+        source.where(drawn < rate).join(known, "_id").groupBy("toxic", F.xxhash64("text").alias("row")).agg(
+            F.min(F.struct("_id", "text")).alias("r")).select("toxic", "row", "r.*"), "apart")
+    classes = similarity_classes(apart, "row").select("row", "class_id").distinct()
+    labelled = apart.join(classes, "row").groupBy("toxic", "class_id").agg(F.min(F.struct("_id", "text")).alias("r")).select("toxic", "r.*")
     labelled = labelled.select("toxic", "text", (F.pmod(F.xxhash64(F.lit("tune"), "_id"), F.lit(4)) == 0).alias("tune"))
     labelled = materialise(labelled, "labelled")
     drawn_sizes = {r["toxic"]: r["n"] for r in labelled.where("NOT tune").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -248,15 +223,18 @@ def score(
     token_at = {t: k for k, t in enumerate(vocabulary)}
 
     size = len(voters) + len(_PATTERNS)
-    ballots = source.select("text").mapInArrow(_ballots(voter_at), "least long, votes array<int>")
-    counts = ballots.groupBy("least").agg(F.min("votes").alias("votes")).select("votes").mapInArrow(
-        _moments(size), "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
-    total = sum(r["n"] for r in counts if r["i"] < 0)
+    ballots = source.select("_id", "text").mapInArrow(
+        _ballots(voter_at), f"_id {id_type}, set_a long, set_b long, votes array<int>").join(known, "_id", "left")
+    counts = ballots.groupBy("set_a", "set_b", "votes").agg(
+        *[F.max((F.coalesce("toxic", F.lit(-1)) == k).cast("int")).alias(f"is{k}") for k in (1, 0)],
+    ).select("votes", "is1", "is0").mapInArrow(_moments(size), "i long, j long, n long").groupBy("i", "j").agg(
+        F.sum("n").alias("n")).collect()
+    total, apart_pos, apart_neg = (sum(r["n"] for r in counts if r["i"] == k) for k in (-1, -2, -3))
     moments = np.zeros((size, size))
     for r in counts:
         if r["i"] >= 0:
             moments[r["i"], r["j"]] = r["n"] / max(total, 1)
-    model = LabelModel(moments, n_pos / (n_pos + n_neg), np.array(rates + [(0.0, 0.0)] * len(_PATTERNS)))
+    model = LabelModel(moments, apart_pos / (apart_pos + apart_neg), np.array(rates + [(0.0, 0.0)] * len(_PATTERNS)))
 
     rows = labelled.select(F.when(F.col("tune"), F.col("toxic")).alias("toxic"), "text").mapInArrow(
         _examples(voter_at, token_at, model), "toxic int, posterior double, at binary").collect()

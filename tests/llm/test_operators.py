@@ -171,6 +171,27 @@ def test_toxicity_held_out(spark):
     assert all(r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1 for _, r in rows)
 
 
+def test_toxicity_moments_of_different_texts(spark, monkeypatch):
+    """Documents that share a passage count each, copies once, in the moments and in the prior."""
+    passage = " ".join(f"common{k}" for k in range(60))
+    own = [" ".join(f"own{k}x{n}" for n in range(40)) for k in range(300)]
+    rows = [(k, f"{passage} {'vileword' if k % 3 == 0 else 'kind'} {own[k]}", int(k % 3 == 0)) for k in range(300)]
+    rows += [(1000 + k, t, y) for k, t, y in rows if k % 6 == 0]
+    docs, seen = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), {}
+
+    class Seen(toxicity.LabelModel):
+        def __init__(self, moments, prior, rates):
+            seen.update(moments=moments, prior=prior)
+            super().__init__(moments, prior, rates)
+
+    monkeypatch.setattr(toxicity, "LabelModel", Seen)
+    toxicity.score(docs, spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int"))
+    learned = {r[0] for r in docs.where(~toxicity.is_held_out("doc_id", 4, 2)).select("doc_id").collect()}
+    texts = {t: y for k, t, y in rows if k in learned}
+    assert np.isclose(seen["prior"], np.mean(list(texts.values())))
+    assert np.isclose(seen["moments"].diagonal()[0], np.mean(["vileword" in t for t in texts]))
+
+
 def test_label_model_recovers_accuracies():
     draw = np.random.default_rng(2)
     n, prior, hit, slip = 200_000, 0.2, np.array([0.6, 0.4, 0.5, 0.3]), np.array([0.02, 0.05, 0.01, 0.05])
