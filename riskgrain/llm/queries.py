@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, chat, decontaminate, jaccard, language, license_scan, line_dedup, pii, quality, toxicity
+from . import (
+    bpe, chat, decontaminate, jaccard, language, license_scan, line_dedup, neighbours, pii, quality, toxicity,
+)
 
 QUERIES, ORACLES = {}, {}
 
@@ -167,3 +169,8 @@ FROM doc LEFT JOIN sets USING (grams) LEFT JOIN class USING (rep) LEFT JOIN link
 @query("op10_jaccard_join", JACCARD_SQL)
 def jaccard_query(spark, sf):
     return jaccard.similarity_classes(table(spark, sf, "documents"))
+
+
+@query("op11_nearest_neighbours")
+def neighbour_query(spark, sf):
+    return neighbours.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
