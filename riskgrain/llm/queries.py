@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from . import (
-    bpe, chat, decontaminate, jaccard, language, license_scan, line_dedup, neighbours, pii, quality, toxicity,
+    bpe, chat, decontaminate, jaccard, language, license_scan, line_dedup, neighbours, pii, prefix_trie, quality, spelling, toxicity,
 )
 
 QUERIES, ORACLES = {}, {}
@@ -174,3 +174,98 @@ def jaccard_query(spark, sf):
 @query("op11_nearest_neighbours")
 def neighbour_query(spark, sf):
     return neighbours.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+# the register of a byte-wise CRC-32, as unsigned numbers
+CRC_TABLE = """
+crc_table AS MATERIALIZED (
+  SELECT list(list_reduce(range(8), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, i) ORDER BY i) AS steps
+  FROM unnest(range(256)) AS u(i))"""
+
+
+def crc_sql(codes: str) -> str:
+    """CRC-32 of a list of bytes."""
+    return f"xor(list_reduce({codes}, lambda v, b: xor(v >> 8, steps[xor(v, b) % 256 + 1]), 4294967295), 4294967295)"
+
+
+TRIE_SQL = f"""
+WITH {CRC_TABLE},
+turns AS (
+  SELECT CAST(conv_id AS BIGINT) AS c, turn, coalesce(text, '') AS text,
+    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS MATERIALIZED (
+  SELECT c, list({{'said': said, 'chars': length(text)}} ORDER BY turn NULLS FIRST, said) AS own FROM turns GROUP BY c),
+plan AS (
+  SELECT c, own, c - c % 100 AS g, {crc_sql("list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))")} % 6 AS h
+  FROM own, crc_table),
+whole AS MATERIALIZED (
+  SELECT p.c, coalesce(list_slice(d.own, 1, h), []) || coalesce(list_slice(p.own, h + 1, len(p.own)), []) AS path
+  FROM plan p LEFT JOIN own d ON d.c = p.g),
+step AS MATERIALIZED (
+  SELECT c, d, array_to_string(list_transform(list_slice(path, 1, d), lambda x: x.said), ' ') AS key,
+    array_to_string(list_transform(list_slice(path, 1, d - 1), lambda x: x.said), ' ') AS above,
+    CASE WHEN d > 0 THEN path[d].chars ELSE 0 END AS chars, d = len(path) AS ends
+  FROM whole, unnest(range(0, len(path) + 1)) AS u(d)),
+node AS MATERIALIZED (
+  SELECT d, key, min(above) AS above, min(c) AS conv_id, count(*) AS n_convs, max(chars) AS chars,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM step GROUP BY d, key),
+child AS (SELECT d - 1 AS d, above AS key, count(*) AS n FROM node WHERE d > 0 GROUP BY d, above),
+figure AS MATERIALIZED (
+  SELECT node.*, coalesce(child.n, 0) AS n_children FROM node LEFT JOIN child USING (d, key)),
+under AS (
+  SELECT k AS d, array_to_string(list_slice(string_split(f.key, ' '), 1, k), ' ') AS key,
+    CAST(f.n_children = 0 AS BIGINT) AS leaf, (f.n_convs - 1) * f.chars AS saved
+  FROM figure f, unnest(range(0, f.d + 1)) AS u(k)),
+tree AS (SELECT d, key, sum(leaf) AS leaves, sum(saved) AS saved FROM under GROUP BY d, key)
+SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(t.leaves AS BIGINT) AS n_leaves,
+  CAST(t.saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM figure f JOIN tree t ON t.d = f.d AND t.key = f.key LEFT JOIN figure p ON f.d > 0 AND p.d = f.d - 1 AND p.key = f.above
+"""
+
+
+@query("op12_prefix_trie", TRIE_SQL)
+def trie_query(spark, sf):
+    return prefix_trie.prefix_trie(table(spark, sf, "conversations"))
+
+
+BYTES = """flatten(list_transform(string_split(whole, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)]
+      ELSE [CAST(192 + (unicode(x) >> 6) AS BIGINT), CAST(128 + unicode(x) % 64 AS BIGINT)] END))"""
+
+SPELLING_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+run AS MATERIALIZED (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS whole, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[a-z\u00C0-\u00FF]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (SELECT run, n, {crc_sql(BYTES)} AS h FROM run, crc_table),
+made AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2)
+    ELSE run END AS word, n FROM hashed),
+vocabulary AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+less AS MATERIALIZED (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM vocabulary, unnest(range(1, length(word) + 1)) AS u(i)),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN vocabulary b ON b.word = a.rest
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN vocabulary b ON b.word = a.rest),
+best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, encode(other)) AS form, max(n) AS form_n FROM near GROUP BY word),
+judged AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * v.n THEN form END AS form,
+    CASE WHEN form_n >= 10 * v.n THEN form_n END AS form_n FROM vocabulary v LEFT JOIN best USING (word)),
+chain(word, reached) AS (
+  SELECT word, word FROM judged UNION ALL
+  SELECT c.word, j.form FROM chain c JOIN judged j ON j.word = c.reached WHERE j.form IS NOT NULL),
+ends AS (SELECT c.word, c.reached AS root FROM chain c JOIN judged j ON j.word = c.reached WHERE j.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM judged JOIN ends USING (word)
+"""
+
+
+@query("op13_spelling_variants", SPELLING_SQL)
+def spelling_query(spark, sf):
+    return spelling.variants(table(spark, sf, "documents"))
