@@ -14,6 +14,23 @@ def _fingerprint(edges: DataFrame) -> tuple:
     ).first())
 
 
+#: Nodes with more than this share of all edges are few: fewer than twice its inverse.
+HEAVY, LEAST_HEAVY = 0.001, 500
+
+
+def _with_lowest(edges: DataFrame, lowest: DataFrame, total: int) -> DataFrame:
+    """``edges`` with ``low`` of their ``u``; ``lowest`` has ``(u, low, n)``, ``n`` edges each.
+
+    A node with very many edges would gather them in one task; such nodes are few by their share, so their rows
+    travel to the edges instead.
+    """
+    heavy = F.col("n") > max(LEAST_HEAVY, HEAVY * total)
+    few = F.broadcast(lowest.where(heavy).select("u", F.col("low").alias("known")))
+    met = edges.join(few, "u", "left")
+    light = met.where("known IS NULL").drop("known").join(lowest.where(~heavy).select("u", "low"), "u")
+    return light.unionByName(met.where("known IS NOT NULL").withColumnRenamed("known", "low"))
+
+
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """``(node, root)`` for every node of an edge; the root is the smallest node of its component.
 
@@ -28,14 +45,13 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     before = _fingerprint(current)
     while before[0]:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least("u", F.min("v")).alias("low"))
-        larger = (
-            both.join(lowest, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v"))
-            .where("u <> v").distinct()
-        )
-        lowest = larger.groupBy("u").agg(F.min("v").alias("low"))
+        lowest = both.groupBy("u").agg(F.least("u", F.min("v")).alias("low"), F.count("*").alias("n"))
+        larger = materialise(
+            _with_lowest(both, lowest, 2 * before[0]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v"))
+            .where("u <> v").distinct(), "edges")
+        lowest = larger.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n"))
         smaller = (
-            larger.join(lowest, "u").select(
+            _with_lowest(larger, lowest, 2 * before[0]).select(
                 F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v"))))
                 .alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         )

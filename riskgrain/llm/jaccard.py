@@ -4,10 +4,14 @@ The documents' sets of word five-grams are compared.  Equal sets are one class
 from the start, so copies are never compared with each other.  Class
 representatives that share a band of four MinHash values are candidates; with 32
 bands a pair at the threshold of 0.8 shares none with a probability below 1e-7.
-Candidate components are cut into tiles of bounded size; within a tile MinHash
-values are compared sixteen at a time, and a pair is dropped as soon as the
-posterior probability (uniform prior) that its similarity reaches the threshold
-falls below the tolerance.  The pairs left are verified on the whole sets.  A tile
+Candidate pairs are compared bucket by bucket, a byte of each MinHash value and sixteen
+values at a time; a pair is dropped as soon as the posterior probability (uniform prior) that its
+similarity reaches the threshold falls below the tolerance (bytes only add matches, so none is dropped that whole
+values would keep).  Buckets return a spanning label for each row; the components of what
+survives hold all links, and little else: texts that merely share a passage do not survive.
+
+Links are then counted inside each component, in tiles of bounded size: whole MinHash values
+are compared by the same steps, and the pairs left are verified on the whole sets.  A tile
 returns link counts and a spanning label for each row, never its pairs.
 
 Defined cases: a text of fewer than five words has one gram, all its words; a text
@@ -36,6 +40,10 @@ STEP = 16
 TILE_ROWS = 1024
 TILE_GRAMS = 1_000_000
 BUNDLE_GRAMS = 4_000_000
+#: Rows of a block of a bucket, and pairs compared at once.
+BUCKET_ROWS, PAIRS_AT_ONCE = 1024, 500_000
+#: Copies of a set that meet its row in one task.
+COPIES = 500
 #: A character of a word.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
@@ -79,6 +87,11 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def sketch_bytes(signature: np.ndarray) -> np.ndarray:
+    """A byte of each value."""
+    return (mix(signature.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)
+
+
 def needed_matches(threshold: float, tolerance: float) -> list[int]:
     """Fewest equal values after each step for which the posterior of ``similarity >= threshold`` reaches the tolerance.
 
@@ -107,12 +120,15 @@ def _sketch(n: int):
                 b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
             counts = np.zeros(len(sets), np.int32)
             counts[filled] = BANDS
-            keys = band_keys(np.stack([minhash(sets[k]) for k in filled])) if filled else np.empty(0, np.int64)
+            signatures = [minhash(sets[k]) for k in filled]
+            keys = band_keys(np.stack(signatures)) if filled else np.empty(0, np.int64)
+            short = dict(zip(filled, (sketch_bytes(v).tobytes() for v in signatures)))
             bands = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(keys.ravel(), pa.int64()))
             yield pa.record_batch({
                 "id": batch.column(0), "size": pa.array(sizes), "set_a": pa.array(digests[:, 0]),
-                "set_b": pa.array(digests[:, 1]), "bands": bands})
+                "set_b": pa.array(digests[:, 1]), "bands": bands,
+                "sketch": pa.array([short.get(k) for k in range(len(sets))], pa.binary())})
     return run
 
 
@@ -127,6 +143,84 @@ def _sets(n: int):
     return run
 
 
+def spanning(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest row that pairs lead to from each row."""
+    label = np.arange(size)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, i, before[j])
+        np.minimum.at(label, j, before[i])
+        label = label[label]
+        if (before == label).all():
+            return label
+
+
+def pairs_of_blocks(starts: np.ndarray, sizes: np.ndarray, sides: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of the same block, some at a time: all of side 0, and those of side 1 with those of side 2, which come last."""
+    ends = np.repeat(starts + sizes, sizes)
+    row = np.concatenate([np.arange(a, a + n) for a, n in zip(starts, sizes)]) if len(starts) else np.empty(0, np.int64)
+    others = np.repeat(np.add.reduceat(sides == 2, starts) if len(starts) else 0, sizes)
+    first = np.where(sides[row] == 0, row + 1, ends - others)
+    counts = np.where(sides[row] == 2, 0, ends - first)
+    reach = np.cumsum(counts)
+    at = 0
+    while at < len(row):
+        stop = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
+        n = counts[at:stop]
+        i = np.repeat(row[at:stop], n)
+        within = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        yield i, np.repeat(first[at:stop], n) + within
+        at = stop
+
+
+def _survivors(needed: list[int]):
+    """Spanning labels of the candidate pairs that no step drops; rows arrive by bucket, tile and side."""
+    def run(batches):
+        carry = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if carry is None else [*carry.to_batches(), batch])
+            marks = mark(table)
+            last = int(np.searchsorted(marks, marks[-1]))
+            # whole tiles only; their size is bounded
+            if last and len(table) >= 20_000:
+                yield judged(table.slice(0, last), marks[:last])
+                table = table.slice(last)
+            carry = table
+        if carry is not None and len(carry):
+            yield judged(carry, mark(carry))
+
+    def mark(table: pa.Table) -> np.ndarray:
+        change = np.zeros(len(table), np.int64)
+        for name in ("key", "low", "high"):
+            column = table[name].to_numpy()
+            change[1:] |= column[1:] != column[:-1]
+        return np.cumsum(change)
+
+    def judged(table: pa.Table, marks: np.ndarray) -> pa.RecordBatch:
+        reps, sides = table["rep"].to_numpy(), table["side"].to_numpy()
+        sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, HASHES)
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(marks)) + 1])
+        sizes = np.diff(np.concatenate([starts, [len(marks)]]))
+        found = []
+        for i, j in pairs_of_blocks(starts, sizes, sides):
+            matches = np.zeros(len(i), np.int32)
+            for step, least in enumerate(needed):
+                if not len(i):
+                    break
+                part = slice(step * STEP, (step + 1) * STEP)
+                matches = matches + (sketches[i, part] == sketches[j, part]).sum(axis=1, dtype=np.int32)
+                keep = matches >= least
+                i, j, matches = i[keep], j[keep], matches[keep]
+            label = spanning(len(reps), i, j)
+            moved = np.flatnonzero(label != np.arange(len(reps)))
+            found.append((moved, label[moved]))
+        rows, labels = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(2))
+        a, b = np.unique(np.stack([reps[rows], reps[labels]], axis=1), axis=0).T if len(rows) else (rows, rows)
+        return pa.record_batch({"rep": pa.array(a, pa.int64()), "label": pa.array(b, pa.int64())})
+
+    return run
+
+
 def _surviving(left: np.ndarray, right: np.ndarray, same: bool, needed: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows that no step of the comparison drops; ``same``: of one block, each pair once."""
     equal = np.zeros((len(left), len(right)), np.uint8)
@@ -228,19 +322,29 @@ def similarity_classes(
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     sketch = materialise(
         source.where("id IS NOT NULL").mapInArrow(
-            _sketch(n), "id long, size long, set_a long, set_b long, bands array<long>"), "sketch")
+            _sketch(n), "id long, size long, set_a long, set_b long, bands array<long>, sketch binary"), "sketch")
     # written first, so that the join shuffles both sides anew and the rows of a set with very many copies can be split
     sets = materialise(sketch.where("size > 0").groupBy("set_a", "set_b").agg(
-        F.min("id").alias("rep"), F.count("*").alias("weight")), "sets")
+        F.min("id").alias("rep"), F.count("*").alias("weight"), *[F.first(c).alias(c) for c in ("size", "bands", "sketch")]), "sets")
     classed = materialise(
-        sketch.where("size > 0").join(sets, ["set_a", "set_b"])
-        .select("id", "rep", "weight", "size", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "classed")
-
-    banded = classed.where("bands IS NOT NULL").select("rep", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("rep").alias("root"), F.max("rep").alias("last")).where("root < last")
-    candidates = components(banded.join(buckets, "key").select("rep", "root"), "rep", "root")
-
-    reps = classed.where("bands IS NOT NULL").select("rep", "weight", "size").distinct()
+        sketch.where("size > 0").select("id", "set_a", "set_b").join(sets.select("set_a", "set_b", "rep", "weight"), ["set_a", "set_b"])
+        .select("id", "rep", "weight"), "classed")
+
+    needed = needed_matches(threshold, tolerance)
+    banded = sets.select("rep", F.explode("bands").alias("key"))
+    buckets = banded.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
+    shared = materialise(banded.join(buckets, "key").select(
+        "rep", "key", F.ceil(F.col("rows") / BUCKET_ROWS).cast("int").alias("blocks")), "shared")
+    met = (
+        shared.join(sets.select("rep", "sketch"), "rep").withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+            "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+            F.expr("CASE WHEN block = other THEN 0 WHEN block < other THEN 1 ELSE 2 END").alias("side"), "rep", "sketch"))
+    survived = met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "side").mapInArrow(
+        _survivors(needed), "rep long, label long")
+    candidates = components(materialise(survived.distinct(), "survivors"), "rep", "label")
+
+    reps = sets.select("rep", "weight", "size").distinct()
     grouped = materialise(candidates.withColumnRenamed("node", "rep").join(reps, "rep"), "grouped")
     wanted = grouped.groupBy("root").agg(F.greatest(
         F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum("size") / TILE_GRAMS)).cast("int").alias("blocks"))
@@ -258,11 +362,16 @@ def similarity_classes(
         (F.col("block") == F.col("other")).alias("inner"), "root", "block", "rep", "weight", "grams", "signature")
     found = materialise(
         tiles.groupBy("group", "low", "high").applyInArrow(
-            _verify(threshold, needed_matches(threshold, tolerance)), "rep long, links long, label long"), "links")
+            _verify(threshold, needed), "rep long, links long, label long"), "links")
 
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found, "rep", "label").withColumnRenamed("node", "rep")
-    known = classed.select("id", "rep", "weight").join(links.join(roots, "rep", "left"), "rep", "left").select(
+    # the copies of a set are dealt to one part for every COPIES of them, and each part gets the set's row
+    parts = F.ceil(F.col("weight") / COPIES).cast("int")
+    rows = sets.groupBy("rep").agg(F.max("weight").alias("weight")).join(links.join(roots, "rep", "left"), "rep", "left").select(
+        "rep", "links", "root", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    known = classed.select("id", "rep", "weight", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part")).join(
+        rows, ["rep", "part"]).select(
         F.col("id").alias(id), F.coalesce("root", "rep").alias("class_id"),
         (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     alone = sketch.where("size = 0").select(F.col("id").alias(id), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))

@@ -2,10 +2,11 @@
 
 Templates are word sequences with mandatory key phrases.  Their vocabulary is looked up
 in every document; document frequencies over the whole corpus give each word's IDF.
-Of each template the mandatory word of highest IDF is looked up at all its places in the file: every
-start (place in the file less place in the template) is verified, so none is missed, however many
-other notices or words the file holds.  Each mandatory phrase must stand at its place, and two of the template's
-words in all.  Short phrases with no other words are looked up by their own rarest word likewise.
+A file can hold the templates all of whose mandatory words it holds.  Of each of those, the ``LOOKED_UP``
+mandatory words of highest IDF are looked up at all their places in the file, and each place votes for a start (place in
+the file less place in the template).  The votes are intersected: a start is kept if all words of its template agree on
+it.  That loses none, as wherever the mandatory phrases stand their words do.  Each mandatory phrase is then verified at
+its place.  Short phrases with no other words are looked up by their own rarest word likewise.
 
 Defined cases: a null or empty text has no words, no labels and a score of 0; rows are scored one by one,
 whatever their id; equal IDFs are ordered by word.
@@ -17,8 +18,10 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .quality import bound
+from .line_dedup import ascii_lower, bound
 
+#: Words of a template that are looked up in a file.
+LOOKED_UP = 3
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrases whose every place counts, and their labels.
@@ -29,21 +32,32 @@ TEMPLATES: dict[str, list[tuple[str, list[str]]]] = {
     "apache-2.0": [
         ("licensed under the apache license version 2 0", ["apache license version 2 0"]),
         ("under the apache license 2 0", ["apache license 2 0"]),
+        ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"
+         " without warranties or conditions of any kind either express or implied",
+         ["unless required by applicable law or agreed to in writing", "without warranties or conditions of any kind"]),
     ],
     "mit": [
         ("released under the mit license", ["mit license"]),
         ("permission is hereby granted free of charge to any person obtaining a copy of this software",
          ["permission is hereby granted", "free of charge"]),
+        ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of"
+         " merchantability fitness for a particular purpose and noninfringement",
+         ["the software is provided as is", "fitness for a particular purpose and noninfringement"]),
     ],
     "bsd": [
         ("redistribution and use in source and binary forms with or without modification are permitted",
          ["redistribution and use", "source and binary forms"]),
+        ("this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not"
+         " limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+         ["provided by the copyright holders and contributors as is", "are disclaimed"]),
         ("licensed under the bsd license", ["bsd license"]),
     ],
     "gpl-notice": [
         ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
          ["free software", "gnu general public license"]),
         ("this work is licensed under the gnu general public license", ["gnu general public license"]),
+        ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of"
+         " merchantability or fitness for a particular purpose", ["distributed in the hope that it will be useful", "without any warranty"]),
     ],
     "lgpl": [("gnu lesser general public license", ["lesser general public license"])],
     "agpl": [("gnu affero general public license", ["affero general public license"])],
@@ -64,8 +78,8 @@ def _literal(words) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """Words of the lower-cased text.  Only ASCII words can be licence words, so lower-casing others changes no match."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """Words of the text with A-Z lower-cased."""
+    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
 def document_frequencies(docs: DataFrame, vocabulary: list[str], text: str = "text") -> dict[str, int]:
@@ -86,12 +100,12 @@ def _stands(words: Column, phrase: Column, at: Column) -> Column:
 
 
 def _postings(bodies, df: Mapping[str, int]) -> list[tuple[str, int, int]]:
-    """``(w, t, k)``: word, template and place, of each template's rarest mandatory word, or of all words if none is mandatory."""
+    """``(w, t, k)``: word, template and place, of each template's rarest words; mandatory ones, if it has any."""
     found = []
     for t, (_, template, keys) in enumerate(bodies):
-        places = [_place(template, key) + k for key in keys for k in range(len(key))]
-        rarest = [min(places, key=lambda k: (df[template[k]], template[k], k))] if places else range(len(template))
-        found += [(template[k], t, k) for k in rarest]
+        places = sorted({_place(template, key) + k for key in keys for k in range(len(key))}) or range(len(template))
+        rarest = sorted(places, key=lambda k: (df[template[k]], template[k], k))
+        found += [(template[k], t, k) for k in rarest[:LOOKED_UP if keys else 1]]
     return found
 
 
@@ -103,19 +117,18 @@ def _templates(bodies) -> Column:
     """``(label, words, keys)`` of every template, ``keys`` with the place of each mandatory phrase."""
     return F.array(*[
         F.struct(F.lit(label).alias("label"), _literal(template).alias("words"), F.array(*[
-            F.struct(F.lit(_place(template, key)).alias("at"), _literal(key).alias("words")) for key in keys]).alias("keys"))
+            F.struct(F.lit(_place(template, key)).alias("at"), _literal(key).alias("words")) for key in keys]).cast("array<struct<at:int,words:array<string>>>").alias("keys"))
         for label, template, keys in bodies])
 
 
 def scan(
     docs: DataFrame, id: str = "doc_id", text: str = "text", phrases: Mapping[str, str] = PHRASES,
-    templates: Mapping[str, list[tuple[str, list[str]]]] = TEMPLATES, lookups: int | None = None,
+    templates: Mapping[str, list[tuple[str, list[str]]]] = TEMPLATES,
 ) -> DataFrame:
     """``(id, n_words, places, phrase_labels, labels, score)``; ``places``: for each phrase its starts, in order.
 
-    A start counts if the mandatory phrases and two of the template's words stand at their places.  The score is
-    the largest share of a labelled template's words that stand at their places, 1 for a phrase.  ``lookups``, once
-    the number of words looked up in a file, has no effect: every template is looked up.
+    A start counts if the mandatory phrases stand at their places, or all words of a template that has none.  The
+    score is the largest share of a labelled template's words that stand at their places, 1 for a phrase.
     """
     bodies = [(label, t.split(), [p.split() for p in keys]) for label, ts in templates.items() for t, keys in ts]
     spoken = [(p.split(), label) for p, label in phrases.items()]
@@ -134,24 +147,37 @@ def scan(
         ).otherwise(F.array().cast("array<int>"))
 
     anchors = _postings(bodies, df)
+    agreeing = F.array(*[F.lit(sum(a == t for _, a, _ in anchors)) for t in range(len(bodies))])
     postings, table = F.array(*[
         F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(k).alias("k")) for w, t, k in anchors]), _templates(bodies)
-    sought = _literal(sorted({w for w, _, _ in anchors}))
-    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(sought, h["w"]))
-    starts = F.flatten(F.transform(hits, lambda h: F.transform(
-        F.filter(postings, lambda p: p["w"] == h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["k"]).alias("at")))))
+    needed = F.array(*[_literal(sorted({w for key in keys or [template] for w in key})) for _, template, keys in bodies])
+    # what the file can hold, and the words to look up for it
+    usable = F.filter(postings, lambda p: F.get(F.col("_possible"), p["t"]))
+
+    def votes(chosen: Column) -> Column:
+        sought = F.array_distinct(F.transform(chosen, lambda p: p["w"]))
+        hits = bound(sought, lambda s: F.filter(
+            F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(s, h["w"])))
+        return F.sort_array(F.flatten(F.transform(hits, lambda h: F.transform(
+            F.filter(chosen, lambda p: p["w"] == h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["k"]).alias("at"))))))
+
+    def agreed(sorted_: Column) -> Column:
+        """Starts on which all words looked up for their template agree: equal votes stand side by side."""
+        return F.filter(sorted_, lambda x, i: F.coalesce(
+            F.get(sorted_, i + F.get(agreeing, x["t"]) - 1) == x, F.lit(False)))
 
     def judged(x: Column) -> Column:
-        return bound(F.get(table, x["t"]), lambda t: F.when(
-            F.forall(t["keys"], lambda key: _stands(words, key["words"], x["at"] + key["at"])),
-            bound(F.size(F.filter(
-                F.transform(t["words"], lambda w, k: F.get(words, x["at"] + k) == w), lambda same: same,
-            )), lambda n: F.when(n >= 2, F.struct(t["label"].alias("label"), (n / F.size(t["words"])).alias("share"))))))
-
-    mandatory = F.array(*[_literal(sorted({w for key in keys for w in key})) for _, _, keys in bodies])
-    possible = F.exists(mandatory, lambda m: F.size(F.array_except(m, found)) == 0)
+        return bound(F.get(table, x["t"]), lambda t: bound(
+            F.size(F.filter(F.transform(t["words"], lambda w, k: F.get(words, x["at"] + k) == w), lambda same: same)),
+            lambda n: F.when(
+                F.forall(t["keys"], lambda key: _stands(words, key["words"], x["at"] + key["at"]))
+                & ((F.size(t["keys"]) > 0) | (n == F.size(t["words"]))),
+                F.struct(t["label"].alias("label"), (n / F.size(t["words"])).alias("share")))))
+
+    source = source.withColumn("_possible", F.transform(needed, lambda m: F.size(F.array_except(m, found)) == 0))
     none = F.array().cast("array<struct<label:string,share:double>>")
-    matches = F.when(possible, F.array_compact(F.transform(starts, judged))).otherwise(none)
+    matches = F.when(F.exists("_possible", lambda p: p), F.array_compact(F.transform(
+        bound(bound(usable, votes), agreed), judged))).otherwise(none)
 
     result = source.select(
         id, F.size(words).cast("long").alias("n_words"), F.array(*[spoken_places(p) for p, _ in spoken]).alias("places"),

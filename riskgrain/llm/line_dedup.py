@@ -9,11 +9,12 @@ with the runs so far: a key in none of them is new, and its largest id in the ba
 owns it for good; a known key only adds to its count.  The batch is then written as a
 run of its own, bucketed and sorted by key.  ``FANOUT`` runs of a level are merged into
 one run of the next, all without a shuffle, as runs share their buckets.  What remains
-at the end is merged once more and holds every key's count and owner.
+at the end is merged once more and holds every key's count and owner.  A batch's run holds its known
+keys too, with their counts, so that merging adds counts up.
 
-Defined cases: null or empty text is one empty line; lines of a document with a null id
-are counted and never dropped; a repeated row counts as another document; columns
-of the input are kept, but those named like a result are replaced.
+Defined cases: null or empty text is one empty line; rows with a null id are not counted and keep all lines;
+rows that share an id are one document for the counts, and each is returned without the lines it loses;
+columns of the input are kept, but those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -54,6 +55,22 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
     return [next(n for n in (stem + "_" * k for k in range(len(taken) + 1)) if n.lower() not in taken) for stem in stems]
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once for each row, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def by_hash(keys: Column) -> Column:
+    """Key hashes dealt into about as many lists as each then holds, so that a very long text does not search them all for each line."""
+    lists = F.ceil(F.sqrt(F.size(keys).cast("double"))).cast("int")
+    return F.when(F.size(keys) > 0, F.transform(F.sequence(F.lit(0), lists - 1), lambda k: F.filter(
+        keys, lambda key: F.pmod(key["h"], lists) == k)))
+
+
+def held(lists: Column, key: Column) -> Column:
+    return F.array_contains(F.get(lists, F.pmod(key["h"], F.size(lists)).cast("int")), key)
+
+
 class LineRuns:
     """Runs ``(h, g, n, owner)`` by level; ``add`` takes the ids of each batch below those of the batches before."""
 
@@ -77,7 +94,7 @@ class LineRuns:
             *KEY, (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"), F.greatest("owner", "other").alias("owner"))
 
     def add(self, batch: DataFrame) -> None:
-        """``batch``: ``(h, g, doc)``, a row for each document and key."""
+        """``batch``: ``(h, g, doc)``, one row for each document and key."""
         counts = batch.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("doc").alias("last"))
         known = F.lit(False)
         for k, run in enumerate(r for level in self.levels for r in level):
@@ -118,9 +135,10 @@ def deduplicate_lines(
     cuts = ids.agg(F.percentile_approx("doc", shares).alias("cuts")).first()["cuts"] if shares else None
     cuts = sorted(set(cuts or []), reverse=True)
     number = sum([F.when(F.col("doc") <= c, 1).otherwise(0) for c in cuts], F.lit(0))
+    # rows that share an id may share lines
     lines = materialise(
-        docs.select(F.col(id).cast("long").alias("doc"), F.explode(hashes).alias("k"))
-        .select("doc", "k.h", "k.g", number.alias("batch")), "lines")
+        docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("doc"), F.explode(hashes).alias("k"))
+        .select("doc", "k.h", "k.g").distinct().withColumn("batch", number), "lines")
 
     runs = LineRuns(spark, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
     for k in range(len(cuts) + 1):
@@ -134,8 +152,8 @@ def deduplicate_lines(
     n_lines, n_dropped = counts
     source = docs.drop(*counts)
     doc, gone, rest = fresh(source, "_doc", "_drops", "_kept")
-    kept = F.filter(lines_of(F.col(text)), lambda line: ~(
-        (F.length(line_key(line)) >= min_chars) & F.array_contains(F.col(gone), key_hash(line_key(line)))))
+    kept = bound(by_hash(F.col(gone)), lambda lists: F.filter(lines_of(F.col(text)), lambda line: ~(
+        (F.length(line_key(line)) >= min_chars) & held(lists, key_hash(line_key(line))))))
     some = F.col(gone).isNotNull()
     joined = source.join(drops.withColumnsRenamed({"doc": doc, "_drops": gone}).hint("merge"), F.col(id) == F.col(doc), "left")
     counted = joined.withColumn(n_lines, F.size(lines_of(F.col(text))).cast("long")).withColumn(rest, F.when(some, kept))

@@ -7,24 +7,24 @@ document is rejected if it fails a base rule (fewer than ten words, or more than
 fifth of its words in repeated five-word windows) or if, without boilerplate lines,
 less than ``min_left`` of its words or fewer than ten words are left.
 
-Defined cases: a null text has no words and is rejected; a null host is a host of its own; rows
-that repeat an id are separate documents for the counts.
+A share alone would loosen with the host: where 1 % of a host is more than ``always`` documents, a line on more than
+``always`` of them is boilerplate too.
+
+Defined cases: a null text has no words and is rejected; a null host is a host of its own; every row is a document
+of its own, also where ids are missing or shared.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .line_dedup import ascii_lower
+from ..session import materialise
+from .line_dedup import ascii_lower, bound
 
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
-
-
-def bound(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once for each row, however often ``use`` mentions it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+ALWAYS = 1_000
 
 
 def words_of(text: Column) -> Column:
@@ -62,15 +62,16 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _line_hash(line: Column) -> Column:
-    return F.xxhash64(ascii_lower(F.array_join(words_of(line), " ")))
-
-
 def base_rules(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)``, one row per row."""
+    return _rules(docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))).withColumnRenamed("_id", id)
+
+
+def _rules(texts: DataFrame) -> DataFrame:
+    """The columns of ``texts`` but ``_text``, with the base rules."""
     whole = F.coalesce(F.col("_text"), F.lit(""))
-    counted = docs.select(F.col(id).alias(id), F.col(text).alias("_text")).withColumn("_words", words_of(F.col("_text"))).select(
-        id, F.size("_words").cast("long").alias("n_words"),
+    counted = texts.withColumn("_words", words_of(F.col("_text"))).select(
+        *[c for c in texts.columns if c != "_text"], F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         (F.length(whole) - F.length(F.regexp_replace(whole, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         bound(_lines(F.col("_text")), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
@@ -78,29 +79,42 @@ def base_rules(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     return counted.withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words"))
 
 
+def _frequent(rows: DataFrame, max_docs: int, max_share: float, always: int) -> DataFrame:
+    """``(host, line)`` of rows ``(host, lines)``."""
+    hosts = rows.groupBy("host").agg(F.count("*").alias("docs"))
+    counts = rows.select("host", F.explode(F.array_distinct("lines.line")).alias("line")).groupBy("host", "line").agg(
+        F.count("*").alias("n")).where(F.col("n") > max_docs)
+    joined = counts.alias("c").join(hosts.alias("h"), F.expr("c.host <=> h.host"))
+    return joined.where((F.col("n") > max_share * F.col("docs")) | (F.col("n") > always)).select("c.host", "line")
+
+
 def frequent_lines(
     docs: DataFrame, text: str = "text", host: str = "source", max_docs: int = 10, max_share: float = 0.01,
+    always: int = ALWAYS,
 ) -> DataFrame:
-    """``(host, line)``: hashes of the lines above both limits of their host."""
-    source = docs.select(F.col(host).alias("host"), F.col(text).alias("_text"))
-    hosts = source.groupBy("host").agg(F.count("*").alias("docs"))
-    counts = source.select("host", F.explode(F.array_distinct(F.transform(_lines(F.col("_text")), _line_hash))).alias("line")).groupBy(
-        "host", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
-    joined = counts.alias("c").join(hosts.alias("h"), F.expr("c.host <=> h.host"))
-    return joined.where(F.col("n") > max_share * F.col("docs")).select("c.host", "line")
+    """``(host, line)``: hashes of the boilerplate lines."""
+    return _frequent(docs.select(F.col(host).alias("host"), _hashed_lines(F.col(text)).alias("lines")), max_docs, max_share, always)
+
+
+def _hashed_lines(text: Column) -> Column:
+    """``(line, n)``: hash and words of each line."""
+    return F.transform(_lines(text), lambda line: bound(words_of(line), lambda words: F.struct(
+        F.xxhash64(ascii_lower(F.array_join(words, " "))).alias("line"), F.size(words).alias("n"))))
 
 
 def quality_rules(
     docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = 10, max_share: float = 0.01,
-    min_left: float = 0.3,
+    min_left: float = 0.3, always: int = ALWAYS,
 ) -> DataFrame:
-    """Base rules with ``n_lost`` (words of boilerplate lines) and ``kept``; rows that share an id are judged together."""
-    frequent = frequent_lines(docs, text, host, max_docs, max_share).alias("f")
-    lines = docs.select(F.col(id).alias(id), F.col(host).alias("host"), F.explode(_lines(F.col(text))).alias("_line")).select(
-        id, "host", _line_hash(F.col("_line")).alias("line"), F.size(words_of(F.col("_line"))).alias("n")).alias("l")
-    lost = lines.join(frequent, F.expr("l.line = f.line AND l.host <=> f.host")).groupBy(f"l.{id}").agg(
-        F.sum("n").alias("n_lost")).select(F.col(id).alias("_id"), "n_lost")
-    base = base_rules(docs, id, text).withColumn("_all", F.expr(f"sum(n_words) OVER (PARTITION BY `{id}`)"))
-    left = F.col("_all") - F.col("n_lost")
-    return base.join(lost, F.col(id).eqNullSafe(F.col("_id")), "left").withColumn("n_lost", F.coalesce("n_lost", F.lit(0))).withColumn(
-        "kept", ~F.col("base_failed") & (left >= 10) & (left >= min_left * F.col("_all"))).drop("_id", "_all")
+    """Base rules with ``n_lost`` (words of boilerplate lines) and ``kept``, one row per row."""
+    # each text is split and hashed once; the rows get numbers that last, as ids may be missing or shared
+    rows = materialise(_rules(docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id).alias("_id"), F.col(host).alias("host"),
+        _hashed_lines(F.col(text)).alias("lines"), F.col(text).alias("_text"))), "lines")
+    frequent = _frequent(rows, max_docs, max_share, always).alias("f")
+    lines = rows.select("row", "host", F.inline("lines")).alias("l")
+    lost = lines.join(frequent, F.expr("l.line = f.line AND l.host <=> f.host")).groupBy("row").agg(F.sum("n").alias("n_lost"))
+    joined = rows.drop("host", "lines").join(lost, "row", "left").withColumn("n_lost", F.coalesce("n_lost", F.lit(0)))
+    left = F.col("n_words") - F.col("n_lost")
+    return joined.withColumn("kept", ~F.col("base_failed") & (left >= 10) & (left >= min_left * F.col("n_words"))).drop(
+        "row").withColumnRenamed("_id", id)

@@ -38,20 +38,20 @@ def language_query(spark, sf):
 
 LINE_SQL = r"""
 WITH split AS (
-  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-line AS (
-  SELECT doc_id, pos, lines[pos] AS line,
+  SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+line AS MATERIALIZED (
+  SELECT rid, doc_id, pos, lines[pos] AS line,
     translate(trim(lines[pos], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM split, unnest(range(1, len(lines) + 1)) AS u(pos)),
 frequent AS (
   SELECT key, max(doc_id) AS owner FROM line WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
 judged AS (
-  SELECT l.doc_id, l.pos, l.line, f.key IS NOT NULL AND l.doc_id <> f.owner AS dropped
+  SELECT l.rid, l.doc_id, l.pos, l.line, coalesce(l.doc_id <> f.owner, false) AS dropped
   FROM line l LEFT JOIN frequent f ON l.key = f.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
-FROM judged GROUP BY doc_id
+FROM judged GROUP BY rid, doc_id
 """
 
 
@@ -106,20 +106,19 @@ line AS MATERIALIZED (
 host AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
 frequent AS (
   SELECT f.source, f.key FROM (SELECT source, key, count(DISTINCT rid) AS n FROM line GROUP BY source, key) f
-  JOIN host h ON h.source IS NOT DISTINCT FROM f.source WHERE f.n > 10 AND f.n > CAST(0.01 AS DOUBLE) * docs),
+  JOIN host h ON h.source IS NOT DISTINCT FROM f.source WHERE f.n > 10 AND (f.n > CAST(0.01 AS DOUBLE) * docs OR f.n > 1000)),
 lost AS (
-  SELECT l.doc_id, sum(l.n) AS n FROM line l JOIN frequent f ON f.key = l.key AND f.source IS NOT DISTINCT FROM l.source
-  GROUP BY l.doc_id),
+  SELECT l.rid, sum(l.n) AS n FROM line l JOIN frequent f ON f.key = l.key AND f.source IS NOT DISTINCT FROM l.source
+  GROUP BY l.rid),
 base AS (
-  SELECT w.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+  SELECT w.rid, w.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-    len(lines) - len(list_distinct(lines)) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
-    sum(len(words)) OVER (PARTITION BY w.doc_id) AS total
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN covered c USING (rid)),
 judged AS (
   SELECT base.*, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_lost, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed
-  FROM base LEFT JOIN lost ON lost.doc_id IS NOT DISTINCT FROM base.doc_id)
-SELECT * EXCLUDE (total), NOT base_failed AND total - n_lost >= 10 AND total - n_lost >= CAST(0.3 AS DOUBLE) * total AS kept
+  FROM base LEFT JOIN lost USING (rid))
+SELECT * EXCLUDE (rid), NOT base_failed AND n_words - n_lost >= 10 AND n_words - n_lost >= CAST(0.3 AS DOUBLE) * n_words AS kept
 FROM judged
 """
 

@@ -6,6 +6,7 @@ import struct
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from conftest import LINE, clashing, texts_of
@@ -83,20 +84,27 @@ def test_license_places(spark, documents, messy):
     assert by_id(license_scan.scan(more))[901]["labels"] == "apache-2.0"
 
 
-def test_license_templates_against_search(documents):
-    """A document gets a template's label exactly if its mandatory phrases stand as in the template and two words agree."""
-    found = by_id(license_scan.scan(documents, lookups=10_000))
-    for doc, text in texts_of(documents).items():
-        words = WORD.findall(text.translate(LOWER))
-        want = set()
-        for label, bodies in license_scan.TEMPLATES.items():
-            for template, keys in bodies:
-                t = template.split()
-                offsets = [next(i for i in range(len(t)) if t[i:i + len(k.split())] == k.split()) for k in keys]
-                if any(all(k + o >= 0 and words[k + o:k + o + len(key.split())] == key.split() for o, key in zip(offsets, keys))
-                       for k in range(-len(t), len(words))):
-                    want.add(label)
-        assert want <= set(found[doc]["labels"].split(",")) | {""}, doc
+def test_license_templates_against_search(documents, messy):
+    """A document gets a template's label exactly if its mandatory phrases stand as in the template."""
+    phrases = set(license_scan.PHRASES.values())
+    for docs in (documents, messy.where("doc_id IS NOT NULL")):
+        found = by_id(license_scan.scan(docs))
+        for doc, text in texts_of(docs).items():
+            assert set(filter(None, found[doc]["labels"].split(","))) - phrases == plain_templates(text) - phrases, doc
+
+
+def test_license_votes(spark):
+    """A word out of its place, a phrase cut in two, letters that only look like A to Z, and a template of words alone."""
+    notice = license_scan.TEMPLATES["mpl-2.0"][0][0]
+    rows = [
+        (1, notice), (2, notice.replace("public", "very public")), (3, "mozilla " * 50 + "license public " + notice + " license"),
+        (4, notice.replace("mozilla", "mozilLa").replace("license", "LICENSE")), (5, notice.replace("license", "li\u0441ense")),
+        (6, "wor\u212A under the \u212Ay phrase"), (7, "work under the key phrase")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = by_id(license_scan.scan(docs))
+    assert {d for d, r in found.items() if "mpl-2.0" in r["labels"].split(",")} == {1, 3, 4}
+    found = by_id(license_scan.scan(docs, phrases={"key phrase": "key"}, templates={"whole": [("work under the", [])]}))
+    assert {d: r["labels"] for d, r in found.items()} == {**{d: "" for d in range(1, 7)}, 7: "key,whole"}
 
 
 def plain_templates(text):
@@ -552,3 +560,74 @@ def test_query_schemas(spark, sf):
     assert set(want) == set(QUERIES)
     for name, columns in want.items():
         assert set(columns.split()) <= set(QUERIES[name](spark, sf).columns), name
+
+
+# missing and shared ids
+
+def test_lines_of_repeated_rows(spark):
+    """Documents are counted, not rows; rows without an id are not counted and keep their lines."""
+    line, other = LINE + " x" * 10, LINE + " y" * 10
+    rows = [(1, line), (1, line), (1, line), (2, line), (2, line), *[(k, other) for k in (3, 4, 5, 6, 7)], (7, other + "\nown"), (None, other), (None, line)]
+    found = Counter(tuple(r) for r in line_dedup.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).select(
+        "doc_id", "text", "n_lines", "n_dropped").collect())
+    assert found == Counter(
+        [(1, line, 1, 0)] * 3 + [(2, line, 1, 0)] * 2 + [(k, "", 1, 1) for k in (3, 4, 5, 6)] + [(7, other, 1, 0), (7, other + "\nown", 2, 0)]
+        + [(None, other, 1, 0), (None, line, 1, 0)])
+
+
+def test_lines_of_a_text_that_loses_many(spark):
+    """A long text whose lines nearly all go, some of them several times."""
+    lines = [f"{LINE} number {k}" for k in range(3_000)]
+    rows = [(k, "\n".join(lines)) for k in range(6)] + [(-1, "\n".join(["first", *lines, *lines[:50], "last"]))]
+    found = {r["doc_id"]: r for r in line_dedup.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[5]["n_dropped"] == 0 and found[-1]["text"] == "first\nlast" and found[-1]["n_dropped"] == 3_050
+    assert all(found[k]["text"] == "" and found[k]["n_dropped"] == 3_000 for k in range(5))
+
+
+def test_quality_of_rows_without_or_with_shared_ids(spark):
+    boiler, clean = "one and the same footer line of this very host", " ".join(f"word{k}" for k in range(30))
+    rows = [(None, boiler, "h")] * 40 + [(None, clean, "h"), (None, clean + " other", "h")] + [(7, clean + " more", "h"), (7, boiler + "\n" + boiler, "h")]
+    rows += [(100 + k, boiler + "\n" + clean + f" {k}", "g") for k in range(5)]
+    found = Counter((r["doc_id"], r["n_words"], r["n_lost"], r["kept"]) for r in quality.quality_rules(
+        spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    assert found == Counter({
+        (None, 10, 10, False): 40, (None, 30, 0, True): 1, (None, 31, 0, True): 1, (7, 31, 0, True): 1, (7, 20, 20, False): 1, (100, 41, 0, True): 0,
+        **{(100 + k, 41, 0, True): 1 for k in range(5)}})
+
+
+def test_quality_of_a_large_host(spark):
+    """A line of many documents is boilerplate even where it is rare among them."""
+    line = "a line that stands in a few of the many documents here"
+    rows = [(k, (line + "\n" if k < 30 else "") + " ".join(f"w{k}x{j}" for j in range(40)), "big") for k in range(4_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert quality.quality_rules(docs).where("n_lost > 0").count() == 0
+    assert quality.quality_rules(docs, always=25).where("n_lost = 12").count() == 30
+
+
+def test_jaccard_of_a_shared_passage(spark, capsys):
+    """Texts that share a passage and no more: few pairs are compared, and no component is closed over them."""
+    passage = [f"shared{k}" for k in range(40)]
+    for rows in (500, 2_000):
+        texts = [" ".join([*(f"own{r}x{k}" for k in range(30)), *passage, *(f"end{r}x{k}" for k in range(30))]) for r in range(rows)]
+        docs = spark.createDataFrame([*enumerate(texts), (rows, texts[0] + " more")], "doc_id long, text string")
+        found = by_id(jaccard.similarity_classes(docs))
+        assert {d for d, r in found.items() if r["n_links"]} == {0, rows} and found[rows]["class_id"] == 0
+        keys = jaccard.band_keys(np.stack([jaccard.minhash(s) for s in jaccard.gram_sets(pa.array(texts), 5)]))
+        pairs = sum(n * (n - 1) // 2 for n in Counter(keys.ravel().tolist()).values())
+        with capsys.disabled():
+            print(f"\n{rows} texts: {pairs} pairs compared by sketches of {rows * (rows - 1) // 2}")
+        assert pairs < 0.03 * rows * (rows - 1) / 2
+
+
+def test_pairs_of_blocks():
+    sizes = np.array([1, 4, 5, 2])
+    sides = np.array([0, 0, 0, 0, 0, 1, 1, 2, 2, 2, 1, 1])
+    pairs = {p for i, j in jaccard.pairs_of_blocks(np.array([0, 1, 5, 10]), sizes, sides) for p in zip(i.tolist(), j.tolist())}
+    assert pairs == {(a, b) for a in range(1, 5) for b in range(a + 1, 5)} | {(a, b) for a in (5, 6) for b in (7, 8, 9)}
+
+
+def test_components_with_a_heavy_node(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LEAST_HEAVY", 20)
+    edges = [(5, k) for k in range(1_000, 1_300)] + [(2_000, 1_100), (2_000, 2_001), (1, 2), (2, 3)]
+    found = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert found == {**{n: 5 for n in (5, 2_000, 2_001, *range(1_000, 1_300))}, 1: 1, 2: 1, 3: 1}
