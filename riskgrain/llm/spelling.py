@@ -74,7 +74,7 @@ def letter_counts(words: list[str]) -> np.ndarray:
     sizes = np.array([len(w) for w in words])
     short = np.flatnonzero(sizes <= SHORT)
     if len(short):
-        for column in _numbers(np.array([words[k] for k in short], dtype=f"U{SHORT}")).T:
+        for column in _numbers(np.array([words[k] for k in short])).T:
             counts[short, column] += 1
     for k in np.flatnonzero(sizes > SHORT):
         counts[k] = np.bincount(_numbers(np.array([words[k]]))[0], minlength=LETTERS + 1)
@@ -134,7 +134,9 @@ class _Words:
     def __init__(self, words: list[str], n: np.ndarray, group: np.ndarray, groups: int):
         self.words, self.n = words, n
         self.lengths = np.array([len(w) for w in words])
-        self.codes = _numbers(np.array([w if len(w) <= SHORT else "" for w in words], dtype=f"U{SHORT + 1}"))
+        # a column more than the longest has, for the shift by one letter
+        widest = max((len(w) for w in words if len(w) <= SHORT), default=0) + 1
+        self.codes = _numbers(np.array([w if len(w) <= SHORT else "" for w in words], dtype=f"U{widest}"))
         counts = letter_counts(words)
         self.sums = _group_sums(counts, group, groups)
         # single precision holds these products exactly as long as they stay below 2 ** 24
