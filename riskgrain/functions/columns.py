@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
 MISSING = "missing"
 EARTH_RADIUS_KM = 6371.0088
+#: Half axes of the WGS 84 ellipsoid.
+EQUATOR_KM, POLE_KM = 6378.137, 6356.752314245
+ELLIPSOID_STEPS = 20
 POSITIVE_INFINITY = float("inf")
 
 
@@ -91,6 +95,60 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.asin(F.sqrt(F.when(h > 1, F.lit(1.0)).otherwise(h))) * (2 * EARTH_RADIUS_KM)
 
 
+def ellipsoid_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Length in kilometres of the shortest way on the WGS 84 ellipsoid.
+
+    The inverse problem by Vincenty's series, ``ELLIPSOID_STEPS`` steps of its
+    iteration for the difference of longitudes on the auxiliary sphere; half a
+    millimetre exact.  Where the iteration has not settled by then, which takes
+    nearly antipodal points, the great-circle distance is given instead; it is at
+    most 0.6 % off.
+    """
+    flat = (EQUATOR_KM - POLE_KM) / EQUATOR_KM
+    zero, one = F.lit(0.0), F.lit(1.0)
+    tan1, tan2 = (F.tan(F.radians(lat)) * (1 - flat) for lat in (lat1, lat2))
+    gap = F.radians(F.pmod(lon2 - lon1 + 180, F.lit(360.0)) - 180)
+    start = F.struct(
+        gap.alias("gap"), gap.alias("lon"), (1 / F.sqrt(1 + tan1 * tan1)).alias("c1"), (tan1 / F.sqrt(1 + tan1 * tan1)).alias("s1"),
+        (1 / F.sqrt(1 + tan2 * tan2)).alias("c2"), (tan2 / F.sqrt(1 + tan2 * tan2)).alias("s2"),
+        *[zero.alias(n) for n in ("moved", "sin", "cos", "arc", "square", "middle")])
+
+    def bound(value: Column, use) -> Column:
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    def step(x: Column, _: Column) -> Column:
+        across = x["c2"] * F.sin(x["lon"])
+        along = x["c1"] * x["s2"] - x["s1"] * x["c2"] * F.cos(x["lon"])
+        sine, cosine = F.sqrt(across * across + along * along), x["s1"] * x["s2"] + x["c1"] * x["c2"] * F.cos(x["lon"])
+
+        def turned(t: Column) -> Column:
+            bearing = F.when(t["sin"] == 0, zero).otherwise(x["c1"] * x["c2"] * F.sin(x["lon"]) / t["sin"])
+            square = 1 - bearing * bearing
+            middle = F.when(square <= 1e-15, zero).otherwise(t["cos"] - 2 * x["s1"] * x["s2"] / square)
+            c = flat / 16 * square * (4 + flat * (4 - 3 * square))
+            lon = x["gap"] + (1 - c) * flat * bearing * (
+                t["arc"] + c * t["sin"] * (middle + c * t["cos"] * (2 * middle * middle - 1)))
+            return F.struct(
+                x["gap"].alias("gap"), lon.alias("lon"), *[x[n].alias(n) for n in ("c1", "s1", "c2", "s2")],
+                F.abs(lon - x["lon"]).alias("moved"), t["sin"].alias("sin"), t["cos"].alias("cos"), t["arc"].alias("arc"),
+                square.alias("square"), middle.alias("middle"))
+
+        return bound(F.struct(sine.alias("sin"), cosine.alias("cos"), F.atan2(sine, cosine).alias("arc")), turned)
+
+    def length(x: Column) -> Column:
+        u = x["square"] * (EQUATOR_KM ** 2 - POLE_KM ** 2) / POLE_KM ** 2
+        a = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+        b = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+        m2 = x["middle"] * x["middle"]
+        correction = b * x["sin"] * (x["middle"] + b / 4 * (
+            x["cos"] * (2 * m2 - 1) - b / 6 * x["middle"] * (4 * x["sin"] * x["sin"] - 3) * (4 * m2 - 3)))
+        settled = (x["moved"] <= 1e-12) & (F.abs(x["lon"]) <= math.pi)
+        return F.when(settled, POLE_KM * a * (x["arc"] - correction)).otherwise(haversine_km(lat1, lon1, lat2, lon2))
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(ELLIPSOID_STEPS)), start, step, length)
+    return F.when(lat1.isNotNull() & lon1.isNotNull() & lat2.isNotNull() & lon2.isNotNull(), walked)
+
+
 def hash_text(key: str | Column | Sequence[str], seed: int) -> Column:
     """Reproducible pseudo-random text per row: ``md5(key:seed)``."""
     parts = [key] if isinstance(key, (str, Column)) else list(key)

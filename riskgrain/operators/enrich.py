@@ -6,10 +6,10 @@ address is a join, and a run continues where the stored results end.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import haversine_km
 from ..plans.prefix import running_totals
@@ -73,10 +73,10 @@ def attach_label(df: DataFrame, labels: DataFrame, key: str, label: str = "label
     return df.join(labels.select(key, label), key, "left")
 
 
-def distances(df: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Great-circle kilometres between each pair of the row's coordinate fields, named ``a-b``."""
+def distances(df: DataFrame, fields: Sequence[str], measure: Callable[..., Column] = haversine_km) -> DataFrame:
+    """Kilometres between each pair of the row's coordinate fields, named ``a-b``: great circles, or ``ellipsoid_km``."""
     pairs = {
-        f"{a}-{b}": haversine_km(F.col(f"{a}_lat"), F.col(f"{a}_lon"), F.col(f"{b}_lat"), F.col(f"{b}_lon"))
+        f"{a}-{b}": measure(F.col(f"{a}_lat"), F.col(f"{a}_lon"), F.col(f"{b}_lat"), F.col(f"{b}_lon"))
         for a, b in combinations(fields, 2)
     }
     return df.withColumns(pairs)

@@ -205,21 +205,31 @@ def evaluation(
     rows = rows.where("_l is not null and score is not null and subset is not null")
     rows = rows.select("subset", "score", "right", flag("_l", true_value).alias("y"))
     sums = {"p": F.sum("y"), "n": F.sum(1 - F.col("y")), "r": F.sum("right"), "judged": F.count("right")}
-    totals = running_totals(rows, "score", sums, ["subset"], **options)
+    result = _measures(running_totals(rows, "score", sums, ["subset"], **options), n_bin, by is None)
+    if pred is None:
+        result = result.drop("acc")
+    return result.withColumnRenamed("subset", by or "subset")
+
+
+def measures_of_counts(counts: DataFrame, n_bin: int = KS_BINS) -> DataFrame:
+    """``(subset, auc, ks)`` of counted rows ``(subset, score, p, n)``: ``p`` positives and ``n`` negatives of a score."""
+    none = F.lit(None).cast("bigint")
+    sums = {"p": F.sum("p"), "n": F.sum("n"), "r": F.sum(none), "judged": F.count(none)}
+    return _measures(running_totals(counts, "score", sums, ["subset"]), n_bin, False).drop("acc")
+
+
+def _measures(totals: DataFrame, n_bin: int, single: bool) -> DataFrame:
+    """``(subset, auc, ks, acc)`` from running totals; ``single``: of one subset only."""
     sizes = totals.groupBy("subset").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
-    # one row per subset
-    points = totals.join(F.broadcast(sizes), "subset")
+    points = totals.join(F.broadcast(sizes) if single else sizes, "subset")
     last, own, size = F.col("cum_p") + F.col("cum_n"), F.col("p") + F.col("n"), F.col("_p") + F.col("_n")
     k = F.least(F.lit(n_bin), size)
     is_threshold = _ends_upto(last, size, k) > _ends_upto(last - own, size, k)
     tpr = ratio(F.col("_p") - F.col("cum_p") + F.col("p"), F.col("_p"))
     fpr = ratio(F.col("_n") - F.col("cum_n") + F.col("n"), F.col("_n"))
     wins = F.col("p") * (F.col("cum_n") - F.col("n") + F.col("n") / 2)
-    result = points.groupBy("subset").agg(
+    return points.groupBy("subset").agg(
         ratio(F.sum(wins), F.max("_p").cast("double") * F.max("_n")).alias("auc"),
         F.abs(F.max(F.when(is_threshold, tpr - fpr))).alias("ks"),
         ratio(F.sum("r"), F.sum("judged")).alias("acc"),
     )
-    if pred is None:
-        result = result.drop("acc")
-    return result.withColumnRenamed("subset", by or "subset")

@@ -13,8 +13,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import ratio
 from ..session import literal
+from .components import component_variance
+from .keyword_index import present_words, word_index
 from .response import smoothed_groups
 
+#: Up to so many words a text is searched for each; more are looked up in an index.
+FEW_WORDS = 100
+#: Up to so many columns the covariance matrix is formed.
+FEW_COLUMNS = 256
+
 
 def _column_names(words: Sequence[str], prefix: str) -> list[str]:
     return [f"{prefix}{w}" for w in words]
@@ -44,10 +51,19 @@ def matrix_to_pairs(df: DataFrame, words: Sequence[str], keep: Sequence[str] = (
 
 def text_to_pairs(df: DataFrame, text: str, words: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """The present (row, word) pairs of a text column."""
+    if len(words) > FEW_WORDS:
+        listed = literal(df.sparkSession, list(enumerate(words)), "_word int, keyword string")
+        found = present_words(df, text, words, keep, out="_present").select(*keep, F.explode("_present").alias("_word"))
+        return found.join(listed, "_word").select(*keep, "keyword")
     present = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.col(text), w))
     return df.select(*keep, F.explode(present).alias("keyword"))
 
 
+def presence_lists(df: DataFrame, key: str, text: str, words: Sequence[str], label: str | None = None) -> DataFrame:
+    """Key, label and ``present``, the positions in ``words`` of those in the text: the matrix row by row, for any number of words."""
+    return present_words(df, text, words, [key, *([label] if label else [])])
+
+
 def _word_list(df: DataFrame, words: Sequence[str]) -> DataFrame:
     return literal(df.sparkSession, [(w, i) for i, w in enumerate(words)], "keyword string, position int")
 
@@ -69,14 +85,16 @@ def _present_counts(
 
 
 def keyword_appearance(
-    df: DataFrame, fields: Sequence[str], words: Sequence[str], label: str = "label", prefix: str = "",
+    df: DataFrame, fields: Sequence[str], words: Sequence[str], label: str = "label", prefix: str = "", text: str | None = None,
 ) -> DataFrame:
     """Per keyword: response rate when present and when absent, and hits per text field.
 
-    ``df`` holds the 0/1 column of each word.  A field counts the rows where the
-    word is marked present and also occurs in the field's text.  A rate without
-    rows is null.
+    ``df`` holds the 0/1 column of each word, or the words are looked up in ``text``
+    when given.  A field counts the rows where the word is marked present and also
+    occurs in the field's text.  A rate without rows is null.
     """
+    if text is not None:
+        return _appearance_in_text(df, fields, words, label, text)
     bad = F.coalesce(F.col(label) == 1, F.lit(False)).cast("int")
     entries = F.array_compact(
         F.array(
@@ -99,7 +117,30 @@ def keyword_appearance(
         "_has": F.count_if("has"), "_has_bad": F.sum(F.when(F.col("has"), F.col("_bad"))),
         **{f: F.count_if(F.col("has") & F.col(f)) for f in fields},
     }
-    counts = _present_counts(pairs, rows, words, "_bad", hits)
+    return _appearance(_present_counts(pairs, rows, words, "_bad", hits), fields)
+
+
+def _appearance_in_text(df: DataFrame, fields: Sequence[str], words: Sequence[str], label: str, text: str) -> DataFrame:
+    index = word_index(df, text, words)
+    rows = df.select(
+        F.coalesce(F.col(label) == 1, F.lit(False)).cast("int").alias("_bad"), F.col(text).alias("_whole"),
+        *[F.col(f).alias(f"_f{k}") for k, f in enumerate(fields)])
+    columns = ["_whole", *[f"_f{k}" for k in range(len(fields))]]
+    found = rows
+    for k, c in enumerate(columns):
+        found = present_words(found, c, words, ["_bad", *columns, *[f"_in{j}" for j in range(k)]], index, f"_in{k}")
+    places = F.transform("_in0", lambda w: F.struct(
+        w.alias("position"), *[F.array_contains(f"_in{k + 1}", w).alias(f"h{k}") for k in range(len(fields))]))
+    pairs = found.select("_bad", F.inline(places))
+    counts = pairs.groupBy("position").agg(
+        F.count("*").alias("present"), F.sum("_bad").alias("present_pos"), *[F.count_if(f"h{k}").alias(f) for k, f in enumerate(fields)])
+    whole = rows.agg(F.struct(F.count("*").alias("rows"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("pos")).alias("t")).scalar()
+    fill = {c: F.coalesce(c, F.lit(0)) for c in ("present", "present_pos", *fields)}
+    listed = _word_list(rows, words).join(counts, "position", "left").withColumns(fill).withColumn("t", whole)
+    return _appearance(listed.withColumns({"_has": F.col("present"), "_has_bad": F.col("present_pos")}), fields)
+
+
+def _appearance(counts: DataFrame, fields: Sequence[str]) -> DataFrame:
     lacks = F.col("t.rows") - F.col("present")
     return counts.select(
         "position", "keyword",
@@ -146,8 +187,12 @@ def keyword_iv(
 def principal_variance(df: DataFrame, columns: Sequence[str] | str, k: int) -> DataFrame:
     """Explained-variance ratio per principal component.
 
-    ``columns`` is a list of numeric columns or one array column.
+    ``columns`` is a list of numeric columns or one array column.  Many columns
+    are taken without their covariance matrix, see ``components``.
     """
+    if not isinstance(columns, str) and len(columns) > FEW_COLUMNS:
+        rows = df.select(F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("x"))
+        return component_variance(rows, "x", k)
     if isinstance(columns, str):
         from pyspark.ml.functions import array_to_vector
 

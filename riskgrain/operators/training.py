@@ -15,25 +15,29 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import literal, materialise, scratch_path
 from ..sources.runs import append_run, clock, save_model, save_results
 from .adaboost import AdaBoost
+from .boosting import REWRITE, Booster, BoostedTrees
 from .evaluate import auc, evaluation, metric_summary
+from .fold_stats import MODELS, fold_counts, fold_measures
 from .sampling import stratified_folds, stratified_split
 
 FEATURES = "features"
 CV_KS_BINS = 50
+#: Measures of two rounds that agree to so many digits are equal.
+CURVE_DIGITS = 12
 
-# gbc and xgboost both train Spark's gradient-boosted trees; the support vector
-# machine is linear and is scored by its margin.
+# gbc follows first-order gradients, xgboost gradients and hessians; the support
+# vector machine is linear and is scored by its margin.
 CLASSIFIERS: dict[str, Callable[..., Estimator]] = {
     "lr": LogisticRegression,
     "rf": RandomForestClassifier,
     "gbc": GBTClassifier,
     "adaboost": AdaBoost,
-    "xgboost": GBTClassifier,
+    "xgboost": BoostedTrees,
     "bnb": lambda **p: NaiveBayes(modelType="bernoulli", **p),
     "svm": LinearSVC,
 }
@@ -80,16 +84,19 @@ def class_probabilities(model: Model, df: DataFrame) -> DataFrame:
 def importances(model: Model, names: Sequence[str]) -> DataFrame:
     """Gain, cover and weight per feature of a tree ensemble.
 
-    Weight counts the splits, gain and cover are means over them; they are
-    aggregated from the stored node table of the model.
+    Weight counts the splits, gain and cover are means over them.  Second-order
+    models hold their splits, cover being the hessian; those of Spark's own
+    ensembles come from the stored node table, cover being the rows.
     """
     spark = SparkSession.active()
-    path = scratch_path(spark, "trees")
-    model.write().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select("nodeData.*").where("leftChild >= 0")
-    used = nodes.groupBy(F.col("split.featureIndex").alias("i")).agg(
-        F.avg("gain").alias("gain"), F.avg("rawCount").alias("cover"), F.count("*").alias("weight")
-    )
+    if hasattr(model, "split_table"):
+        splits = literal(spark, [s[1:] for s in model.split_table()], "i int, gain double, cover double")
+    else:
+        path = scratch_path(spark, "trees")
+        model.write().save(path)
+        nodes = spark.read.parquet(f"{path}/data").select("nodeData.*").where("leftChild >= 0")
+        splits = nodes.select(F.col("split.featureIndex").alias("i"), "gain", F.col("rawCount").alias("cover"))
+    used = splits.groupBy("i").agg(F.avg("gain").alias("gain"), F.avg("cover").alias("cover"), F.count("*").alias("weight"))
     listed = literal(spark, list(enumerate(names)), "i int, feature string")
     zero = F.lit(0.0)
     return listed.join(used, "i", "left").select(
@@ -225,8 +232,17 @@ def cross_validation(
     ``df`` has the feature vector in the estimator's features column.  A
     resampler takes and returns rows of ``(key, array, label)`` and sees the
     training part only; training measures are taken on what it returns.
+
+    Without a resampler, plain Bernoulli naive Bayes and plain logistic
+    regression are fitted from sums over the folds, all rounds and folds together.
     """
     features = estimator.getFeaturesCol()
+    schema = "round int, fold int, auc_train double, auc_test double, ks_train double, ks_test double"
+    if resampler is None and (name := _additive(estimator)):
+        counts = fold_counts(df, key, label, features, n_fold, n_round, seed)
+        found = fold_measures(counts, MODELS[name](counts, [range(counts.width)]), CV_KS_BINS)
+        sides = [F.max(F.when(F.col("side") == side, F.col(m))).alias(f"{m}_{side}") for m in ("auc", "ks") for side in ("train", "test")]
+        return literal(df.sparkSession, found.groupBy("round", "fold").agg(*sides).orderBy("round", "fold").collect(), schema)
     rows = []
     for r in range(n_round):
         folded = materialise(
@@ -237,10 +253,15 @@ def cross_validation(
         ]
         for f, m in sorted(_measured(_in_parallel(jobs, parallelism), label)[str(r)].items()):
             rows.append((r, f, m["train"][0], m["test"][0], m["train"][1], m["test"][1]))
-    return literal(
-        df.sparkSession, rows,
-        "round int, fold int, auc_train double, auc_test double, ks_train double, ks_test double",
-    )
+    return literal(df.sparkSession, rows, schema)
+
+
+def _additive(estimator: Estimator) -> str | None:
+    """The name of a classifier that sums over the folds determine, if the estimator is set up as they take it."""
+    given = {p.name for p in estimator.extractParamMap() if estimator.isSet(p)} - {"featuresCol", "labelCol"}
+    if isinstance(estimator, NaiveBayes) and given <= {"modelType"} and estimator.getModelType() == "bernoulli":
+        return "bnb"
+    return "lr" if isinstance(estimator, LogisticRegression) and not given else None
 
 
 def cv_summary(results: DataFrame) -> DataFrame:
@@ -252,55 +273,37 @@ def boosting_rounds(
     df: DataFrame, key: str, label: str, n_fold: int = 3, max_rounds: int = 20, early_stop: int = 5, seed: int = 7,
     **params,
 ) -> DataFrame:
-    """Cross-validated boosting with early stopping: mean train and test AUC per round.
+    """Cross-validated second-order boosting with early stopping: mean train and test AUC per round.
 
     Rounds end when the mean test AUC has not improved for ``early_stop`` rounds;
-    the last row is the stopping point.  Each fold's partial sums of trees give
-    the score after each round.  Training starts with ``2 * early_stop`` rounds
-    and is doubled only if the curve has not stopped by then, so at most about
-    twice the rounds that were needed are trained (``trained`` tells how many).
+    the last row is the stopping point.  The folds' models grow side by side in
+    the same jobs, a few rounds at a time (``trained`` tells how many in all), and
+    go on from where they are until the curve stops.
     """
     folded = materialise(stratified_folds(df.select(key, FEATURES, label), key, label, n_fold, seed), "folds")
-    rounds = min(max_rounds, 2 * early_stop)
-    while True:
-        kept, best, since = [], -1.0, 0
-        for row in _boosting_curve(folded, label, n_fold, rounds, seed, params):
-            kept.append((*row, rounds))
+    booster = Booster(folded, label, FEATURES, n_fold, "fold", **BoostedTrees(**params).booster_options())
+    kept, best, since, done = [], -1.0, 0, 0
+    while done < max_rounds and since < early_stop:
+        more = min(REWRITE, max_rounds - done)
+        booster.grow(more)
+        for row in _boosting_curve(booster.curve(done, done + more)):
+            kept.append(tuple(row))
             best, since = (row["auc_test"], 0) if row["auc_test"] > best else (best, since + 1)
             if since >= early_stop:
                 break
-        if since >= early_stop or rounds >= max_rounds:
-            return literal(df.sparkSession, kept, "rounds int, auc_train double, auc_test double, trained int")
-        rounds = min(max_rounds, 2 * rounds)
+        done += more
+    return literal(df.sparkSession, [(*k, done) for k in kept], "rounds int, auc_train double, auc_test double, trained int")
 
 
-def _boosting_curve(folded: DataFrame, label: str, n_fold: int, rounds: int, seed: int, params: dict) -> list:
-    """Mean train and test AUC after each round, from one boosted model per fold."""
-    parts = []
-    for f in range(n_fold):
-        model = GBTClassifier(labelCol=label, featuresCol=FEATURES, maxIter=rounds, seed=seed, **params).fit(
-            folded.where(F.col("fold") != f)
-        )
-        side = F.when(F.col("fold") == f, F.lit("test")).otherwise(F.lit("train"))
-        rows = folded.select(F.lit(f).alias("cv"), side.alias("part"), label, FEATURES)
-        total: Column = F.lit(0.0)
-        scores = []
-        for i, (tree, weight) in enumerate(zip(model.trees, model.treeWeights)):
-            tree = tree.copy({tree.predictionCol: f"_t{i}", tree.featuresCol: FEATURES})
-            rows = tree.transform(rows)
-            total = total + F.col(f"_t{i}") * F.lit(float(weight))
-            scores.append(F.struct(F.lit(i + 1).alias("rounds"), total.alias("score")))
-        parts.append(rows.select("cv", "part", label, F.explode(F.array(*scores)).alias("s")).select(
-            F.concat_ws(":", "cv", "part", "s.rounds").alias("subset"), label, "s.score"))
-    joined = parts[0]
-    for p in parts[1:]:
-        joined = joined.unionByName(p)
-    per_fold = auc(materialise(joined, "rounds"), label, "score", by="subset")
+def _boosting_curve(scores: DataFrame) -> list:
+    """Mean train and test AUC of the models after each round."""
+    named = scores.select(F.concat_ws(":", "m", "test", "rounds").alias("subset"), "y", "score")
     bits = F.split("subset", ":")
     return (
-        per_fold.select(bits[1].alias("part"), bits[2].cast("int").alias("rounds"), "auc")
-        .groupBy("rounds").pivot("part", ["train", "test"]).agg(F.avg("auc"))
-        .select("rounds", F.col("train").alias("auc_train"), F.col("test").alias("auc_test"))
+        auc(materialise(named, "rounds"), "y", "score", by="subset")
+        .select(bits[1].alias("test"), bits[2].cast("int").alias("rounds"), F.round("auc", CURVE_DIGITS).alias("auc"))
+        .groupBy("rounds").pivot("test", ["false", "true"]).agg(F.round(F.avg("auc"), CURVE_DIGITS).alias("auc"))
+        .select("rounds", F.col("false").alias("auc_train"), F.col("true").alias("auc_test"))
         .orderBy("rounds").collect()
     )
 
@@ -314,15 +317,19 @@ def rank_features(
     One row per step: features left, mean AUCs, and the feature removed next (the
     last row names the survivor).  Every feature is encoded once and every
     round's folds are drawn once; a step fits all its candidates on them and
-    evaluates them together.
+    evaluates them together.  Naive Bayes and logistic regression without
+    parameters are fitted from sums over the folds; naive Bayes takes numbers as
+    they are, 0 or 1.
     """
     encoded = {f: f"_enc_{i}" for i, f in enumerate([*numerical, *categorical])}
     rows = df
     for f, out in encoded.items():
         numbers, names = ([f], []) if f in numerical else ([], [f])
-        rows, _ = prepare_vars(rows, numbers, names, out=out)
+        rows, _ = prepare_vars(rows, numbers, names, scale=name != "bnb", out=out)
         rows = rows.select(*df.columns, *[c for c in rows.columns if c.startswith("_enc_")])
     rows = materialise(rows.select(key, label, *encoded.values()), "encoded")
+    if name in MODELS and not params:
+        return _eliminated(df.sparkSession, list(encoded), _summed_trials(rows, key, label, encoded, name, n_fold, n_round, seed))
     rounds = [
         materialise(stratified_folds(rows, key, label, n_fold, seed + r), "folds") for r in range(n_round)
     ]
@@ -345,17 +352,40 @@ def rank_features(
             c: tuple(sum(m[side][0] for m in ms) / len(ms) for side in ("train", "test")) for c, ms in found.items()
         }
 
-    pool = list(encoded)
+    return _eliminated(df.sparkSession, list(encoded), measure)
+
+
+def _eliminated(spark: SparkSession, pool: list[str], measure: Callable[[dict], dict[str, tuple[float, float]]]) -> DataFrame:
+    """The steps; ``measure`` gives mean train and test AUC of named feature lists."""
     steps = [(len(pool), *measure({"all": pool})["all"])]
     removed = []
     while len(pool) > 1:
         trials = measure({f: [p for p in pool if p != f] for f in pool})
-        dropped = max(pool, key=lambda f: trials[f][1])
+        dropped = max(pool, key=lambda f: round(trials[f][1], CURVE_DIGITS))
         pool = [p for p in pool if p != dropped]
         steps.append((len(pool), *trials[dropped]))
         removed.append(dropped)
     removed.append(pool[0])
     return literal(
-        df.sparkSession, [(*s, r) for s, r in zip(steps, removed)],
+        spark, [(*s, r) for s, r in zip(steps, removed)],
         "num_var int, auc_train double, auc_test double, removed string",
     )
+
+
+def _summed_trials(
+    rows: DataFrame, key: str, label: str, encoded: dict[str, str], name: str, n_fold: int, n_round: int, seed: int,
+) -> Callable[[dict], dict[str, tuple[float, float]]]:
+    """``measure`` from sums over the folds: a step's candidates are subsets of the columns of one table of counts."""
+    sizes = rows.select(*[F.size(vector_to_array(c)).alias(c) for c in encoded.values()]).first()
+    ends = [sum((sizes or [1] * len(encoded))[:k]) for k in range(len(encoded) + 1)]
+    columns = {f: range(a, b) for f, a, b in zip(encoded, ends, ends[1:])}
+    assembled = VectorAssembler(inputCols=list(encoded.values()), outputCol=FEATURES).transform(rows)
+    counts = fold_counts(assembled, key, label, FEATURES, n_fold, n_round, seed)
+
+    def measure(candidates: dict[str, Sequence[str]]) -> dict[str, tuple[float, float]]:
+        names = list(candidates)
+        models = MODELS[name](counts, [[i for f in candidates[c] for i in columns[f]] for c in names])
+        found = fold_measures(counts, models, CV_KS_BINS).groupBy("subset").pivot("side", ["train", "test"]).agg(F.avg("auc"))
+        return {names[r["subset"]]: (r["train"], r["test"]) for r in found.collect()}
+
+    return measure

@@ -23,7 +23,7 @@ from .registry import query, rounded, table
 MODEL_WORDS = "th la en on de que le er tion und is".split()
 INPUTS = [f"has_{w}" for w in MODEL_WORDS]
 SMALL = {"lr": {"maxIter": 10}, "rf": {"numTrees": 10, "maxDepth": 4, "seed": 7}, "gbc": {"maxIter": 5, "maxDepth": 3, "seed": 7},
-         "adaboost": {"maxIter": 8, "maxDepth": 2, "seed": 7}, "xgboost": {"maxIter": 5, "maxDepth": 3, "seed": 7},
+         "adaboost": {"maxIter": 8, "maxDepth": 2, "seed": 7}, "xgboost": {"maxIter": 5, "maxDepth": 3},
          "bnb": {}, "svm": {"maxIter": 10}}
 
 
@@ -112,8 +112,7 @@ def crossed_bernoulli(spark, sf):
 
 @query("M3_cross_validation")
 def crossed(spark, sf):
-    cv = cross_validation(vectors(spark, sf), "doc_id", "label", classifier("lr", maxIter=5), n_fold=3, n_round=2)
-    return rounded(cv)
+    return rounded(cross_validation(vectors(spark, sf), "doc_id", "label", classifier("lr")))
 
 
 @query("M3_cross_validation_under")
@@ -133,17 +132,71 @@ def crossed_smote(spark, sf):
     return rounded(cv_summary(cv))
 
 
-@query("M4_early_stopping")
+def boosted_sql(rounds: int, depth: int, folds: int | None = None) -> tuple[str, list[str]]:
+    """CTEs that boost by hand over the counted patterns of words, a block per round and level; and the names of the state
+    after each round, ``(m, fold, p, y, n, margin)``."""
+    split = (f"ntile({folds}) OVER (PARTITION BY y ORDER BY md5(doc_id || ':' || 7)) - 1" if folds else "-1")
+    models = folds or 1
+    ctes = [
+        f"""x AS MATERIALIZED (SELECT doc_id, CAST(coalesce(lang = 'fr', false) AS INTEGER) AS y,
+          list_transform({MODEL_WORDS!r}, lambda w: CAST(coalesce(contains(text, w), false) AS INTEGER)) AS p FROM documents)""",
+        f"k AS (SELECT y, p, {split} AS fold FROM x)",
+        f"""t0 AS MATERIALIZED (SELECT m, fold, p, y, count(*) AS n, CAST(0 AS DOUBLE) AS margin FROM k, range({models}) u(m) GROUP BY ALL)""",
+    ]
+    states = []
+    for r in range(rounds):
+        ctes.append(f"""r{r}_0 AS MATERIALIZED (SELECT *, 1 AS node, true AS open, CAST(0 AS DOUBLE) AS value,
+          1 / (1 + exp(-margin)) AS q FROM t{r})""")
+        for d in range(depth):
+            ctes.append(f"""b{r}_{d} AS MATERIALIZED (SELECT *, round(CASE WHEN nl < n AND round(hl, 9) >= 1 AND round(h - hl, 9) >= 1
+                 THEN gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1) ELSE -1 END, 9) AS gain
+              FROM (SELECT m, node, i, coalesce(sum(n * (q - y)) FILTER (p[i] = 0), 0) AS gl, coalesce(sum(n * q * (1 - q)) FILTER (p[i] = 0), 0) AS hl,
+                  coalesce(sum(n) FILTER (p[i] = 0), 0) AS nl, sum(n * (q - y)) AS g, sum(n * q * (1 - q)) AS h, sum(n) AS n
+                FROM r{r}_{d}, range(1, {len(MODEL_WORDS) + 1}) u(i) WHERE open AND fold <> m GROUP BY m, node, i)
+              QUALIFY row_number() OVER (PARTITION BY m, node ORDER BY gain DESC, i) = 1)""")
+            ctes.append(f"""r{r}_{d + 1} AS MATERIALIZED (SELECT s.m, s.fold, s.p, s.y, s.n, s.margin,
+                CASE WHEN b.gain > 0 AND s.open THEN 2 * s.node + s.p[b.i] ELSE s.node END AS node, s.open AND coalesce(b.gain > 0, false) AS open,
+                CASE WHEN b.node IS NULL OR NOT s.open THEN s.value WHEN b.gain > 0 AND s.p[b.i] = 0 THEN -0.3 * b.gl / (b.hl + 1)
+                     WHEN b.gain > 0 THEN -0.3 * (b.g - b.gl) / (b.h - b.hl + 1) WHEN s.node = 1 THEN -0.3 * b.g / (b.h + 1) ELSE s.value END AS value, s.q
+              FROM r{r}_{d} s LEFT JOIN b{r}_{d} b ON b.m = s.m AND b.node = s.node)""")
+        ctes.append(f"t{r + 1} AS MATERIALIZED (SELECT m, fold, p, y, n, margin + value AS margin FROM r{r}_{depth})")
+        states.append(f"t{r + 1}")
+    return "WITH " + ",\n".join(ctes), states
+
+
+CURVE_ROUNDS = 12
+_CURVE, _STATES = boosted_sql(CURVE_ROUNDS, 2, 3)
+# three folds; the curve ends two rounds after its best test measure, which is before the last round here
+CURVE_SQL = f"""{_CURVE},
+   g AS (SELECT m, r, fold = m AS test, margin, CAST(sum(n * y) AS DOUBLE) AS pos, CAST(sum(n * (1 - y)) AS DOUBLE) AS neg
+         FROM ({" UNION ALL ".join(f"SELECT {k + 1} AS r, * FROM {t}" for k, t in enumerate(_STATES))}) GROUP BY ALL),
+   u AS (SELECT *, sum(neg) OVER (PARTITION BY m, r, test ORDER BY margin) - neg / 2 AS below FROM g),
+   a AS (SELECT m, r, test, round(sum(pos * below) / sum(pos) / sum(neg), 12) AS auc FROM u GROUP BY m, r, test),
+   c AS MATERIALIZED (SELECT r, round(avg(auc) FILTER (NOT test), 12) AS train, round(avg(auc) FILTER (test), 12) AS test FROM a GROUP BY r),
+   best AS (SELECT c.*, max(c.test) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c),
+   since AS (SELECT *, r - max(CASE WHEN before IS NULL OR test > before THEN r END) OVER (ORDER BY r) AS stale FROM best),
+   stop AS (SELECT least(coalesce(min(r) FILTER (stale >= 2), {CURVE_ROUNDS}), {CURVE_ROUNDS}) AS last FROM since)
+   SELECT CAST(r AS INTEGER) AS rounds, round(train, 6) AS auc_train, round(test, 6) AS auc_test,
+     CAST(least({CURVE_ROUNDS}, 4 * ((last + 3) // 4)) AS INTEGER) AS trained FROM c, stop WHERE r <= last"""
+
+
+@query("M4_early_stopping", CURVE_SQL)
 def stopped(spark, sf):
-    return rounded(boosting_rounds(vectors(spark, sf), "doc_id", "label", n_fold=2, max_rounds=40, early_stop=2, maxDepth=2))
+    return rounded(boosting_rounds(vectors(spark, sf), "doc_id", "label", max_rounds=CURVE_ROUNDS, early_stop=2, maxDepth=2))
 
 
 def boosted(spark, sf):
     rows = vectors(spark, sf)
-    return rows, classifier("xgboost", maxIter=5, maxDepth=3, seed=7).fit(rows)
+    return rows, classifier("xgboost", maxIter=5, maxDepth=3).fit(rows)
+
+
+_BOOSTED, _GROWN = boosted_sql(5, 3)
+PROBABILITIES_SQL = f"""{_BOOSTED}
+   SELECT doc_id, round(1 - 1 / (1 + exp(-margin)), 6) AS p0, round(1 / (1 + exp(-margin)), 6) AS p1, x.y AS label
+   FROM x JOIN (SELECT DISTINCT p, margin FROM {_GROWN[-1]}) USING (p)"""
 
 
-@query("M5_class_probabilities")
+@query("M5_class_probabilities", PROBABILITIES_SQL)
 def probabilities(spark, sf):
     rows, model = boosted(spark, sf)
     return rounded(class_probabilities(model, rows).select("doc_id", "p0", "p1", "label"))
@@ -165,17 +218,70 @@ def bernoulli(spark, sf):
     return rounded(class_probabilities(model, rows).select("doc_id", "p1"))
 
 
-@query("M5_importances")
+IMPORTANCES_SQL = f"""{_BOOSTED},
+   s AS (SELECT i, avg(gain) AS gain, avg(h) AS cover, count(*) AS weight
+         FROM ({" UNION ALL ".join(f"SELECT i, gain, h FROM b{r}_{d}" for r in range(5) for d in range(3))}) WHERE gain > 0 GROUP BY i)
+   SELECT 'has_' || w AS feature, round(coalesce(gain, 0), 6) AS gain, round(coalesce(cover, 0), 6) AS cover, coalesce(weight, 0) AS weight
+   FROM (SELECT unnest({MODEL_WORDS!r}) AS w, unnest(range(1, {len(MODEL_WORDS) + 1})) AS j) LEFT JOIN s ON i = j"""
+
+
+@query("M5_importances", IMPORTANCES_SQL)
 def gains(spark, sf):
     _, model = boosted(spark, sf)
     return rounded(importances(model, INPUTS))
 
 
+def elimination_sql() -> str:
+    """Ten rounds of ten folds, a block of CTEs for each feature that goes."""
+    width = len(MODEL_WORDS)
+    ctes = [
+        f"""x AS MATERIALIZED (SELECT doc_id, CAST(coalesce(lang = 'fr', false) AS INTEGER) AS y,
+          list_transform({MODEL_WORDS!r}, lambda w: CAST(coalesce(contains(text, w), false) AS INTEGER)) AS p FROM documents)""",
+        "k AS (SELECT r, y, p, ntile(10) OVER (PARTITION BY r, y ORDER BY md5(doc_id || ':' || (7 + r))) - 1 AS fold FROM x, range(10) t(r))",
+        "a AS MATERIALIZED (SELECT r, fold, y, p, count(*) AS n FROM k GROUP BY ALL)",
+        "g AS MATERIALIZED (SELECT r, f, y, p, fold = f AS held, sum(n) AS n FROM a, range(10) t(f) GROUP BY ALL)",
+        "s AS (SELECT r, f, sum(n) FILTER (y = 1) AS n1, sum(n) FILTER (y = 0) AS n0 FROM g WHERE NOT held GROUP BY r, f)",
+        f"""c AS (SELECT r, f, n1, n0, i, (coalesce(sum(n) FILTER (p[i] = 1 AND y = 1), 0) + 1) / (n1 + 2) AS t1,
+          (coalesce(sum(n) FILTER (p[i] = 1 AND y = 0), 0) + 1) / (n0 + 2) AS t0
+          FROM g JOIN s USING (r, f), range(1, {width + 1}) t(i) WHERE NOT held GROUP BY r, f, i, n1, n0)""",
+        """w AS MATERIALIZED (SELECT r, f, ln((n1 + 1) / (n0 + 1)) AS prior, list(ln(t1 / t0) ORDER BY i) AS hit,
+          list(ln((1 - t1) / (1 - t0)) ORDER BY i) AS miss FROM c GROUP BY r, f, n1, n0)""",
+        f"pool0 AS MATERIALIZED (SELECT range(1, {width + 1}) AS pool)",
+    ]
+    for step in range(width):
+        candidates = "(SELECT pool, 0 AS j FROM pool0)" if step == 0 else f"(SELECT pool, unnest(pool) AS j FROM pool{step - 1})"
+        ctes += [
+            f"""v{step} AS MATERIALIZED (SELECT r, f, held, j, round(prior + list_sum(list_transform(pool, lambda i: CASE WHEN i = j THEN 0
+              WHEN p[i] = 1 THEN hit[i] ELSE miss[i] END)), 9) AS score, CAST(sum(n * y) AS DOUBLE) AS pos, CAST(sum(n * (1 - y)) AS DOUBLE) AS neg
+              FROM g JOIN w USING (r, f), {candidates} GROUP BY ALL)""",
+            f"u{step} AS (SELECT *, sum(neg) OVER (PARTITION BY r, f, held, j ORDER BY score) - neg / 2 AS below FROM v{step})",
+            f"m{step} AS (SELECT r, f, held, j, sum(pos * below) / sum(pos) / sum(neg) AS auc FROM u{step} GROUP BY r, f, held, j)",
+            f"""b{step} AS MATERIALIZED (SELECT j, avg(auc) FILTER (NOT held) AS auc_train, avg(auc) FILTER (held) AS auc_test FROM m{step} GROUP BY j
+              ORDER BY round(auc_test, 12) DESC, j LIMIT 1)""",
+        ]
+        if step:
+            ctes.append(f"pool{step} AS MATERIALIZED (SELECT list_filter(pool, lambda i: i <> j) AS pool FROM pool{step - 1}, b{step})")
+    # each step tells the feature that goes next; the last one the survivor
+    going = [f"(SELECT j FROM b{step + 1})" for step in range(width - 1)] + [f"(SELECT pool[1] FROM pool{width - 1})"]
+    names = [f"'has_{w}'" for w in MODEL_WORDS]
+    rows = " UNION ALL ".join(
+        f"SELECT {width - step} AS num_var, auc_train, auc_test, {gone} AS gone FROM b{step}" for step, gone in enumerate(going))
+    return f"""WITH {", ".join(ctes)} SELECT CAST(num_var AS INTEGER) AS num_var, round(auc_train, 6) AS auc_train, round(auc_test, 6) AS auc_test,
+      [{", ".join(names)}][gone] AS removed FROM ({rows})"""
+
+
+def elimination_rows(spark, sf):
+    return materialise(study_rows(spark, sf).select("doc_id", "label", *INPUTS), "elimination")
+
+
 @query("M6_backward_elimination")
 def eliminated(spark, sf):
-    rows = study_rows(spark, sf).select("doc_id", "label", *INPUTS)
-    rows = materialise(rows, "elimination")
-    return rounded(rank_features(rows, "doc_id", "label", INPUTS, name="lr", n_fold=2, n_round=1, maxIter=5))
+    return rounded(rank_features(elimination_rows(spark, sf), "doc_id", "label", INPUTS, name="lr"))
+
+
+@query("M6_backward_elimination_bernoulli", elimination_sql())
+def eliminated_bernoulli(spark, sf):
+    return rounded(rank_features(elimination_rows(spark, sf), "doc_id", "label", INPUTS, name="bnb"))
 
 
 PREPARED_SQL = """WITH s AS (SELECT (o_totalprice - avg(o_totalprice) OVER ()) / stddev(o_totalprice) OVER () AS v0, o_orderpriority AS p, o_orderstatus AS t FROM orders),

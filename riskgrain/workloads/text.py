@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import functions as F
 
 from ..functions import flag
+from ..operators.components import component_variance
 from ..operators.keywords import (
-    join_response, keyword_appearance, keyword_iv, matrix_to_pairs, presence_matrix, principal_variance,
+    join_response, keyword_appearance, keyword_iv, matrix_to_pairs, presence_lists, presence_matrix, principal_variance,
+    text_to_pairs,
 )
 from .registry import query, rounded, table
 
@@ -18,6 +22,14 @@ STUDY_WORDS = (
 ).split()
 
 
+# 4,913 words: every run of three of these letters
+MANY_LETTERS = "abcdefghilmnoprst"
+MANY_WORDS = ["".join(p) for p in product(MANY_LETTERS, repeat=3)]
+MANY_SQL = f"""SELECT a || b || c AS keyword, CAST(row_number() OVER (ORDER BY a, b, c) - 1 AS INTEGER) AS position
+   FROM (SELECT unnest(string_split('{MANY_LETTERS}', '')) AS a), (SELECT unnest(string_split('{MANY_LETTERS}', '')) AS b),
+        (SELECT unnest(string_split('{MANY_LETTERS}', '')) AS c)"""
+
+
 def matrix_sql(words, key="doc_id", text="text") -> str:
     cols = ", ".join(f"CAST(contains({text}, '{w}') AS INTEGER) AS \"has_{w}\"" for w in words)
     return f"SELECT {key}, {cols} FROM documents"
@@ -70,6 +82,53 @@ def appearance(spark, sf):
     return rounded(keyword_appearance(wide, ["text", "lang", "source"], WORDS, prefix="has_"))
 
 
+# a text holds a run of three letters if it is one of its runs of three characters
+MANY_PAIRS_SQL = f"""w AS MATERIALIZED ({MANY_SQL}),
+   g AS (SELECT DISTINCT doc_id, text[i:i + 2] AS keyword FROM documents, unnest(range(1, length(text) - 1)) AS u(i)),
+   h AS MATERIALIZED (SELECT doc_id, keyword, position FROM g JOIN w USING (keyword))"""
+
+
+@query("K1_presence_pairs_many", f"WITH {MANY_PAIRS_SQL} SELECT doc_id, keyword FROM h")
+def pairs_many(spark, sf):
+    return text_to_pairs(table(spark, sf, "documents"), "text", MANY_WORDS, ["doc_id"])
+
+
+@query(
+    "K3_keyword_appearance_many",
+    f"""WITH {MANY_PAIRS_SQL}, d AS (SELECT doc_id, source, quality = 0 AS bad FROM documents JOIN labels USING (doc_id)),
+       s AS (SELECT count(*) AS rows, count(*) FILTER (bad) AS pos FROM d),
+       p AS (SELECT keyword, count(*) AS n, count(*) FILTER (bad) AS b, count(*) FILTER (contains(source, keyword)) AS source FROM h JOIN d USING (doc_id) GROUP BY keyword)
+       SELECT position, keyword, round(CASE WHEN n > 0 THEN b / n END, 6) AS present_bad_rate,
+         round(CASE WHEN rows > coalesce(n, 0) THEN (pos - coalesce(b, 0)) / (rows - coalesce(n, 0)) END, 6) AS absent_bad_rate,
+         coalesce(n, 0) AS text, coalesce(source, 0) AS source FROM w LEFT JOIN p USING (keyword), s""",
+)
+def appearance_many(spark, sf):
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("text", "source", flag("quality", 0).alias("label"))
+    return rounded(keyword_appearance(docs, ["text", "source"], MANY_WORDS, text="text"))
+
+
+@query(
+    "K4_keyword_iv_many",
+    f"""WITH {MANY_PAIRS_SQL}, d AS (SELECT doc_id, CAST(lang = 'fr' AS INTEGER) AS y FROM documents),
+       s AS (SELECT count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM d),
+       p AS (SELECT position, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n FROM h JOIN d USING (doc_id) GROUP BY position),
+       b AS (SELECT position, keyword, unnest([coalesce(p, 0), pos - coalesce(p, 0)]) AS p, unnest([coalesce(n, 0), neg - coalesce(n, 0)]) AS n, pos, neg
+             FROM w LEFT JOIN p USING (position), s),
+       c AS (SELECT position, keyword, p, n, count(*) OVER (PARTITION BY position) AS bins, pos, neg FROM b WHERE p + n > 0),
+       r AS (SELECT *, (p + 1) / (pos + bins) AS x, (n + 1) / (neg + bins) AS y FROM c)
+       SELECT position, keyword, round(sum((x - y) * ln(x / y)), 6) AS iv FROM r GROUP BY ALL""",
+)
+def iv_many(spark, sf):
+    docs = table(spark, sf, "documents").select("text", flag("lang", "fr").alias("y"))
+    return rounded(keyword_iv(docs, MANY_WORDS, "y", text="text"))
+
+
+@query("K5_truncated_components")
+def truncated_components(spark, sf):
+    rows = presence_lists(table(spark, sf, "documents"), "doc_id", "text", MANY_WORDS)
+    return rounded(component_variance(rows, "present", 10, width=len(MANY_WORDS), sparse=True))
+
+
 IV_SQL = """WITH d AS ({rows}),
    w AS (SELECT unnest({words}) AS keyword, unnest(range({n})) AS position),
    g AS (SELECT keyword, position, contains(text, keyword) AS has, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n
