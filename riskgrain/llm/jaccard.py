@@ -39,7 +39,7 @@ HASHES = BANDS * ROWS
 STEP = 16
 TILE_ROWS = 1024
 TILE_GRAMS = 1_000_000
-BUNDLE_GRAMS = 4_000_000
+BUNDLE_GRAMS = 100_000
 #: Rows of a block of a bucket, and pairs compared at once.
 BUCKET_ROWS, PAIRS_AT_ONCE = 1024, 500_000
 #: Copies of a set that meet its row in one task.
