@@ -114,8 +114,7 @@ def appearance_many(spark, sf):
        p AS (SELECT position, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n FROM h JOIN d USING (doc_id) GROUP BY position),
        b AS (SELECT position, keyword, unnest([coalesce(p, 0), pos - coalesce(p, 0)]) AS p, unnest([coalesce(n, 0), neg - coalesce(n, 0)]) AS n, pos, neg
              FROM w LEFT JOIN p USING (position), s),
-       c AS (SELECT position, keyword, p, n, count(*) OVER (PARTITION BY position) AS bins, pos, neg FROM b WHERE p + n > 0),
-       r AS (SELECT *, (p + 1) / (pos + bins) AS x, (n + 1) / (neg + bins) AS y FROM c)
+       r AS (SELECT *, (p + 1) / (pos + 2) AS x, (n + 1) / (neg + 2) AS y FROM b WHERE p + n > 0)
        SELECT position, keyword, round(sum((x - y) * ln(x / y)), 6) AS iv FROM r GROUP BY ALL""",
 )
 def iv_many(spark, sf):
