@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -12,6 +13,8 @@ from ..session import literal
 
 FENCE = 1.5
 STEP_BLOCK = 100_000
+#: Bandwidths beyond which a kernel counts as 0.
+KERNEL_REACH = 7.0
 
 
 def ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -162,3 +165,43 @@ def histograms(df: DataFrame, features: Sequence[str], bins: int = 20, density:
         ratio(F.col("n"), F.col("total") * F.col("width")).alias("density"),
     )
     return result if density else result.drop("density")
+
+
+def density_curve(df: DataFrame, col: str, points: int = 100, cut: float = 3.0, fine: int = 256) -> DataFrame:
+    """``(point, x, density)``: a Gaussian kernel density at ``points`` equal steps, ``cut`` bandwidths beyond the ends.
+
+    The bandwidth is ``1.059 * s / n ** 0.2`` with ``s`` the smaller of the
+    standard deviation and the exact quartile distance over 1.349 (the former if
+    the latter is 0).  Values are dealt linearly to the two ends of cells of
+    ``1 / fine`` bandwidths, so rows collapse before any kernel is computed; that
+    moves a density by at most ``1 / (8 * fine ** 2)`` of a kernel's height, and
+    kernels end at ``KERNEL_REACH`` bandwidths.  Nulls and NaN are left out; one
+    value alone, or none, has no curve.
+    """
+    v = number(col)
+    rows = df.select(v.alias("v")).where("v IS NOT NULL")
+    spark, schema = df.sparkSession, "point int, x double, density double"
+    whole = rows.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.stddev("v").alias("s")).first()
+    if whole["n"] < 2 or not whole["s"]:
+        return literal(spark, [], schema)
+    q1, q3 = quantiles(rows, {"v": F.col("v")}, [0.25, 0.75])["v"]
+    spread = min(whole["s"], (q3 - q1) / 1.349) if q3 > q1 else whole["s"]
+    width = 1.059 * spread / whole["n"] ** 0.2
+    start, cell = whole["lo"] - cut * width, width / fine
+    step = (whole["hi"] - whole["lo"] + 2 * cut * width) / max(points - 1, 1)
+
+    place = (F.col("v") - whole["lo"]) / cell
+    low = F.floor(place)
+    ends = F.array(
+        F.struct(low.alias("k"), (1 - (place - low)).alias("w")), F.struct((low + 1).alias("k"), (place - low).alias("w")))
+    cells = rows.select(F.inline(ends)).groupBy("k").agg(F.sum("w").alias("w")).withColumn("at", whole["lo"] + F.col("k") * cell)
+    reach = KERNEL_REACH * width
+    first = F.greatest(F.ceil((F.col("at") - reach - start) / step), F.lit(0))
+    last = F.least(F.floor((F.col("at") + reach - start) / step), F.lit(points - 1))
+    # a cell far from all points reaches none
+    met = cells.where(first <= last).select("at", "w", F.explode(F.sequence(first, last)).alias("point"))
+    away = (F.col("at") - (start + F.col("point") * step)) / width
+    sums = met.groupBy("point").agg(F.sum(F.col("w") * F.exp(-away * away / 2)).alias("sum"))
+    return spark.range(points).withColumnRenamed("id", "point").join(sums, "point", "left").select(
+        F.col("point").cast("int"), (start + F.col("point") * step).alias("x"),
+        (F.coalesce("sum", F.lit(0.0)) / (whole["n"] * width * math.sqrt(2 * math.pi))).alias("density"))

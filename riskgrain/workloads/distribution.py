@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.calendar import daily_counts, daily_cumulative, monthly_counts, monthly_cumulative
 from ..operators.edges import explicit
-from ..operators.profile import histograms, step_distribution
+from ..operators.profile import density_curve, histograms, step_distribution
 from ..operators.ranking import top
 from ..operators.streaks import streaks
 from ..operators.variable import analyse_features, feature_iv
@@ -131,6 +131,21 @@ def density(spark, sf):
     return rounded(histograms(table(spark, sf, "customer"), ["c_acctbal"], bins=50, density=True))
 
 
+# kernels summed over all rows at each point
+CURVE_SQL = """WITH v AS (SELECT l_extendedprice AS v FROM lineitem WHERE l_extendedprice IS NOT NULL),
+   s AS (SELECT count(*) AS n, min(v) AS lo, max(v) AS hi,
+     1.059::DOUBLE * least(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349::DOUBLE) / pow(count(*), 0.2::DOUBLE) AS h FROM v),
+   p AS (SELECT i, n, h, lo - 3 * h + i * (hi - lo + 6 * h) / 99 AS x FROM s, range(100) t(i))
+   SELECT CAST(i AS INTEGER) AS point, round(x, 6) AS x, round(1000 * sum(exp(-pow((v - x) / h, 2) / 2)) / (n * h * sqrt(2 * pi())), 6) AS density
+   FROM p, v GROUP BY i, n, h, x"""
+
+
+@query("T8_density_curve", CURVE_SQL)
+def curve(spark, sf):
+    found = density_curve(table(spark, sf, "lineitem"), "l_extendedprice")
+    return rounded(found.withColumn("density", 1000 * F.col("density")))
+
+
 STREAK_SQL = """WITH o AS (SELECT {e} AS e, {t} AS t, {hit} AS hit FROM {src}),
    i AS (SELECT *, count(*) FILTER (NOT hit) OVER (PARTITION BY e ORDER BY t) AS island FROM o),
    r AS (SELECT e, island, count(*) FILTER (hit) AS run FROM i GROUP BY ALL)
