@@ -41,7 +41,7 @@ TILE_ROWS = 1024
 TILE_GRAMS = 1_000_000
 BUNDLE_GRAMS = 100_000
 #: Rows of a block of a bucket, and pairs compared at once.
-BUCKET_ROWS, PAIRS_AT_ONCE = 1024, 500_000
+BUCKET_ROWS, PAIRS_AT_ONCE = 1024, 30_000
 #: Copies of a set that meet its row in one task.
 COPIES = 500
 #: A character of a word.
@@ -201,8 +201,11 @@ def _survivors(needed: list[int]):
         sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, HASHES)
         starts = np.concatenate([[0], np.flatnonzero(np.diff(marks)) + 1])
         sizes = np.diff(np.concatenate([starts, [len(marks)]]))
-        found = []
+        label = np.arange(len(reps))
         for i, j in pairs_of_blocks(starts, sizes, sides):
+            # what already hangs together needs no further comparison
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
             matches = np.zeros(len(i), np.int32)
             for step, least in enumerate(needed):
                 if not len(i):
@@ -211,10 +214,10 @@ def _survivors(needed: list[int]):
                 matches = matches + (sketches[i, part] == sketches[j, part]).sum(axis=1, dtype=np.int32)
                 keep = matches >= least
                 i, j, matches = i[keep], j[keep], matches[keep]
-            label = spanning(len(reps), i, j)
-            moved = np.flatnonzero(label != np.arange(len(reps)))
-            found.append((moved, label[moved]))
-        rows, labels = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(2))
+            if len(i):
+                label = spanning(len(reps), label[i], label[j])[label]
+        rows = np.flatnonzero(label != np.arange(len(reps)))
+        labels = label[rows]
         a, b = np.unique(np.stack([reps[rows], reps[labels]], axis=1), axis=0).T if len(rows) else (rows, rows)
         return pa.record_batch({"rep": pa.array(a, pa.int64()), "label": pa.array(b, pa.int64())})
 
