@@ -1,11 +1,13 @@
 """Sources, sinks and scratch space."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from riskgrain import session
 from riskgrain.session import literal, scratch_path
-from riskgrain.sources import delimited, keyword_files, runs
+from riskgrain.sources import delimited, keyword_files, runs, wide
 
 
 def test_blank_lines_survive_transcoding(spark):
@@ -90,3 +92,24 @@ def test_column_names_must_fit(spark):
     assert delimited.name_columns(df, ["x"], "key").columns == ["x", "key"]
     with pytest.raises(ValueError):
         delimited.name_columns(df, ["x"])
+
+
+@pytest.mark.parametrize("charset, end", [("UTF-16", ""), ("UTF-16LE", "\n"), ("UTF-16BE", "\n"), ("UTF-32", "\n"), ("UTF-32LE", "")])
+def test_wide_files_are_read_in_blocks(spark, tmp_path, charset, end):
+    """Blocks that end anywhere, in characters that hold a byte 0A and in lines longer than a block; one file a block."""
+    rng = random.Random(21)
+    letters = ["a", "ਊ", "Ċ", "਀", "\n", "\U0001f60a", "﻿", "客"]
+    lines = "".join(rng.choices(letters, [9, 3, 3, 3, 2, 1, 1, 2], k=2000)).split("\n") + ["ਊĊ" * 400, "", "x"]
+    for name, text in (("a.txt", "\n".join(lines)), ("b.txt", "믯䆿" + "\n".join(lines)), ("c.txt", "\n"), ("d.txt", "")):
+        (tmp_path / name).write_bytes((text + (end if text else "")).encode(charset))
+    want = lines + ["믯䆿" + lines[0], *lines[1:]] + ["", *([""] if end else [])]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "701")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        whole = [r[0] for r in wide.wide_lines(spark, str(tmp_path), charset).collect()]
+        assert spark.read.text(str(tmp_path / "a.txt")).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(whole) == sorted(want)
+    assert [r[0] for r in wide.wide_lines(spark, str(tmp_path / "a.txt"), charset).collect()] == lines
