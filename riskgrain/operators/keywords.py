@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import ratio
 from ..session import literal
 from .components import component_variance
-from .keyword_index import present_words, word_index
+from .keyword_index import present_words, word_counts
 from .response import smoothed_groups
 
 #: Up to so many words a text is searched for each; more are looked up in an index.
@@ -121,19 +121,9 @@ def keyword_appearance(
 
 
 def _appearance_in_text(df: DataFrame, fields: Sequence[str], words: Sequence[str], label: str, text: str) -> DataFrame:
-    index = word_index(df, text, words)
-    rows = df.select(
-        F.coalesce(F.col(label) == 1, F.lit(False)).cast("int").alias("_bad"), F.col(text).alias("_whole"),
-        *[F.col(f).alias(f"_f{k}") for k, f in enumerate(fields)])
-    columns = ["_whole", *[f"_f{k}" for k in range(len(fields))]]
-    found = rows
-    for k, c in enumerate(columns):
-        found = present_words(found, c, words, ["_bad", *columns, *[f"_in{j}" for j in range(k)]], index, f"_in{k}")
-    places = F.transform("_in0", lambda w: F.struct(
-        w.alias("position"), *[F.array_contains(f"_in{k + 1}", w).alias(f"h{k}") for k in range(len(fields))]))
-    pairs = found.select("_bad", F.inline(places))
-    counts = pairs.groupBy("position").agg(
-        F.count("*").alias("present"), F.sum("_bad").alias("present_pos"), *[F.count_if(f"h{k}").alias(f) for k, f in enumerate(fields)])
+    rows = df.withColumn("_bad", F.coalesce(F.col(label) == 1, F.lit(False)).cast("int"))
+    counts = word_counts(rows, text, fields, "_bad", words).withColumnsRenamed(
+        {"marked": "present_pos", **{f"f{k}": f for k, f in enumerate(fields)}})
     whole = rows.agg(F.struct(F.count("*").alias("rows"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("pos")).alias("t")).scalar()
     fill = {c: F.coalesce(c, F.lit(0)) for c in ("present", "present_pos", *fields)}
     listed = _word_list(rows, words).join(counts, "position", "left").withColumns(fill).withColumn("t", whole)

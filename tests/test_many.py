@@ -2,6 +2,7 @@
 
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -217,3 +218,27 @@ def test_components_of_degenerate_tables(spark):
     assert [r["variance_ratio"] for r in component_variance(one, "x", 3).collect()] == [None, None]
     flat = spark.createDataFrame([([float(k), 2.0 * k, None],) for k in range(5)], "x array<double>")
     assert [r["variance_ratio"] for r in component_variance(flat, "x", 3).collect()] == pytest.approx([1.0, 0.0, 0.0], abs=1e-9)
+
+
+def test_memory_of_the_index_follows_the_chunk():
+    """Nearly every place of the texts holds a word: what is found is reduced chunk by chunk, also within a long text."""
+    words = [a + b for a in "abcd" for b in "abcd"]
+    rng = random.Random(3)
+    part = "".join(rng.choices("abcd", k=10_000))
+    texts = pa.array([part[:500]] * 6_000 + [part * 300, "é" * 5 + "ab"])
+    index = keyword_index.WordIndex.of(words)
+    tracemalloc.start()
+    row, word = index.found(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    assert (row == 6_000).sum() == 16 and word[row == 6_001].tolist() == [1]
+    assert [words[w] for w in word[row == 0]] == [w for w in words if w in part[:500]]
+
+
+def test_appearance_counts_words_in_text_and_fields(spark):
+    rows = [("ab cd", "ab", 1), ("ab", None, 0), (None, "ab", 1), ("cd", "ab cd", None), ("", "", 1)]
+    df = spark.createDataFrame(rows, "body string, f string, label int")
+    words = ["ab", "cd", "zz", "ab"] + [f"w{k}" for k in range(200)]
+    got = [tuple(r) for r in keyword_appearance(df, ["body", "f"], words, text="body").collect()][:4]
+    assert got == [(0, "ab", 0.5, 2 / 3, 2, 1), (1, "cd", 0.5, 2 / 3, 2, 1), (2, "zz", None, 0.6, 0, 0), (3, "ab", 0.5, 2 / 3, 2, 1)]
