@@ -21,6 +21,8 @@ SPARE = 10
 #: A component has settled when what is left of it is this share of the largest one.
 TOLERANCE = 1e-7
 PASSES = 30
+#: Numbers of a batch that are multiplied at once.
+VALUES = 1 << 20
 
 
 def _dense(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, None]:
@@ -43,13 +45,14 @@ def _times(batch: pa.RecordBatch, width: int, sparse: bool, q: np.ndarray) -> np
     return out
 
 
-def _sums(rows: DataFrame, size: int, part: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+def _sums(rows: DataFrame, size: int, width: int, part: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
     """The sum over all batches of arrays of ``size`` numbers."""
     def run(batches):
         total = np.zeros(size)
         for batch in batches:
-            for start in range(0, len(batch), 4_096):
-                total += part(batch.slice(start, 4_096)).ravel()
+            some = max(1, VALUES // max(1, width))
+            for start in range(0, len(batch), some):
+                total += part(batch.slice(start, some)).ravel()
         at = np.flatnonzero(total)
         yield pa.record_batch({"i": pa.array(at), "v": pa.array(total[at])})
 
@@ -83,7 +86,7 @@ def principal_components(
         x, _ = _dense(batch, width)
         return np.concatenate([[len(batch)], x.sum(axis=0), (x * x).sum(axis=0)])
 
-    first = _sums(rows, 2 * width + 1, moments)
+    first = _sums(rows, 2 * width + 1, width, moments)
     n, mean = first[0], first[1:width + 1] / max(first[0], 1)
     total = float((first[width + 1:] - n * mean * mean).sum() / max(n - 1, 1))
     k, block = min(k, width), min(width, k + SPARE)
@@ -91,7 +94,7 @@ def principal_components(
         return np.zeros(k), np.zeros((width, k)), 0.0
 
     def covariance(q: np.ndarray) -> np.ndarray:
-        product = _sums(rows, width * q.shape[1], lambda batch: _times(batch, width, sparse, q)).reshape(width, -1)
+        product = _sums(rows, width * q.shape[1], width, lambda batch: _times(batch, width, sparse, q)).reshape(width, -1)
         return (product - n * np.outer(mean, mean @ q)) / (n - 1)
 
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, block)))[0]

@@ -12,6 +12,7 @@ from ..operators.keywords import (
     join_response, keyword_appearance, keyword_iv, matrix_to_pairs, presence_lists, presence_matrix, principal_variance,
     text_to_pairs,
 )
+from ..session import materialise
 from .registry import query, rounded, table
 
 # Words the queries look for: fixed values.
@@ -124,7 +125,8 @@ def iv_many(spark, sf):
 
 @query("K5_truncated_components")
 def truncated_components(spark, sf):
-    rows = presence_lists(table(spark, sf, "documents"), "doc_id", "text", MANY_WORDS)
+    # read again in every pass
+    rows = materialise(presence_lists(table(spark, sf, "documents"), "doc_id", "text", MANY_WORDS).select("present"), "presence")
     return rounded(component_variance(rows, "present", 10, width=len(MANY_WORDS), sparse=True))
 
 
