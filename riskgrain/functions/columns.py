@@ -111,7 +111,7 @@ def ellipsoid_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     start = F.struct(
         gap.alias("gap"), gap.alias("lon"), (1 / F.sqrt(1 + tan1 * tan1)).alias("c1"), (tan1 / F.sqrt(1 + tan1 * tan1)).alias("s1"),
         (1 / F.sqrt(1 + tan2 * tan2)).alias("c2"), (tan2 / F.sqrt(1 + tan2 * tan2)).alias("s2"),
-        *[zero.alias(n) for n in ("moved", "sin", "cos", "arc", "square", "middle")])
+        one.alias("moved"), *[zero.alias(n) for n in ("sin", "cos", "arc", "square", "middle")])
 
     def bound(value: Column, use) -> Column:
         return F.element_at(F.transform(F.array(value), use), 1)
@@ -119,21 +119,27 @@ def ellipsoid_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     def step(x: Column, _: Column) -> Column:
         across = x["c2"] * F.sin(x["lon"])
         along = x["c1"] * x["s2"] - x["s1"] * x["c2"] * F.cos(x["lon"])
-        sine, cosine = F.sqrt(across * across + along * along), x["s1"] * x["s2"] + x["c1"] * x["c2"] * F.cos(x["lon"])
 
+        # every value is named once: a column used twice is computed twice
         def turned(t: Column) -> Column:
             bearing = F.when(t["sin"] == 0, zero).otherwise(x["c1"] * x["c2"] * F.sin(x["lon"]) / t["sin"])
-            square = 1 - bearing * bearing
+            return bound(bearing, lambda bearing: bound(1 - bearing * bearing, lambda square: settled(t, bearing, square)))
+
+        def settled(t: Column, bearing: Column, square: Column) -> Column:
             middle = F.when(square <= 1e-15, zero).otherwise(t["cos"] - 2 * x["s1"] * x["s2"] / square)
             c = flat / 16 * square * (4 + flat * (4 - 3 * square))
-            lon = x["gap"] + (1 - c) * flat * bearing * (
-                t["arc"] + c * t["sin"] * (middle + c * t["cos"] * (2 * middle * middle - 1)))
-            return F.struct(
+            return bound(F.struct(middle.alias("middle"), c.alias("c")), lambda v: bound(moved(t, bearing, v["middle"], v["c"]), lambda lon: F.struct(
                 x["gap"].alias("gap"), lon.alias("lon"), *[x[n].alias(n) for n in ("c1", "s1", "c2", "s2")],
                 F.abs(lon - x["lon"]).alias("moved"), t["sin"].alias("sin"), t["cos"].alias("cos"), t["arc"].alias("arc"),
-                square.alias("square"), middle.alias("middle"))
+                square.alias("square"), v["middle"].alias("middle"))))
+
+        def moved(t: Column, bearing: Column, middle: Column, c: Column) -> Column:
+            return x["gap"] + (1 - c) * flat * bearing * (
+                t["arc"] + c * t["sin"] * (middle + c * t["cos"] * (2 * middle * middle - 1)))
 
-        return bound(F.struct(sine.alias("sin"), cosine.alias("cos"), F.atan2(sine, cosine).alias("arc")), turned)
+        return bound(F.struct(across.alias("across"), along.alias("along"), (x["s1"] * x["s2"] + x["c1"] * x["c2"] * F.cos(x["lon"])).alias("cos")), lambda v: bound(
+            F.sqrt(v["across"] * v["across"] + v["along"] * v["along"]), lambda sine: bound(
+                F.struct(sine.alias("sin"), v["cos"].alias("cos"), F.atan2(sine, v["cos"]).alias("arc")), turned)))
 
     def length(x: Column) -> Column:
         u = x["square"] * (EQUATOR_KM ** 2 - POLE_KM ** 2) / POLE_KM ** 2
@@ -145,7 +151,9 @@ def ellipsoid_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
         settled = (x["moved"] <= 1e-12) & (F.abs(x["lon"]) <= math.pi)
         return F.when(settled, POLE_KM * a * (x["arc"] - correction)).otherwise(haversine_km(lat1, lon1, lat2, lon2))
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(ELLIPSOID_STEPS)), start, step, length)
+    # a longitude that did not move at all gives the same step again
+    walked = F.aggregate(
+        F.sequence(F.lit(1), F.lit(ELLIPSOID_STEPS)), start, lambda x, i: F.when(x["moved"] == 0, x).otherwise(step(x, i)), length)
     return F.when(lat1.isNotNull() & lon1.isNotNull() & lat2.isNotNull() & lon2.isNotNull(), walked)
 
 

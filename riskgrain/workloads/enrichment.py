@@ -201,7 +201,9 @@ ELLIPSOID_SQL = RESOLVED_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """,
 
 @query("G6_ellipsoid_distances", ELLIPSOID_SQL)
 def apart_on_ellipsoid(spark, sf):
-    resolved = distances(coordinates(spark, sf), ["home", "work"], ellipsoid_km)
+    # a small file is one task, and the iteration costs far more than the reading
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    resolved = distances(coordinates(spark, sf).repartition(tasks, "c_custkey"), ["home", "work"], ellipsoid_km)
     return rounded(resolved.select("c_custkey", "home-work"))
 
 
