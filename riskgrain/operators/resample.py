@@ -17,6 +17,9 @@ NEIGHBOURS = 5
 BLOCK_ROWS = 1_024
 STRIP = 256  # rows compared at once
 SALT_ROWS = 1_000_000
+GROUPS = 8  # of rows that are compared group by group, at least
+TILE_VALUES = 1 << 22  # numbers in a group
+COMPARED = 2_048  # rows a strip is compared with at once
 ROUNDING = 1e-12  # of squared distances, as a share of the largest squared norm
 
 
@@ -82,6 +85,20 @@ def _distinct_vectors(rows: DataFrame, copies: int, n: int) -> DataFrame:
         F.col("keys")[0].alias("id"), "x", "keys")
 
 
+def _along(points: np.ndarray) -> list[int]:
+    """The points in an order in which near ones mostly follow each other: halves along the widest axis, and so on."""
+    order, stack = [], [np.arange(len(points))]
+    while stack:
+        some = stack.pop()
+        if len(some) == 1:
+            order.append(int(some[0]))
+            continue
+        axis = np.ptp(points[some], axis=0).argmax()
+        some = some[np.argsort(points[some, axis], kind="stable")]
+        stack += [some[len(some) // 2:], some[:len(some) // 2]]
+    return order
+
+
 def _nearest_vectors(reps: DataFrame, m: int, k: int, block_rows: int, cells: int | None) -> DataFrame:
     """The ``k`` nearest other vectors of each: ``(id, hits)``, an array of (distance, other id)."""
     spark = reps.sparkSession
@@ -90,6 +107,9 @@ def _nearest_vectors(reps: DataFrame, m: int, k: int, block_rows: int, cells: in
     pivots = np.array([r["x"] for r in reps.orderBy(hash_text("id", 0)).limit(n_cells).collect()], dtype="float64")
     norm = reps.agg(F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))).first()[0]
     slack = 4 * ROUNDING * norm
+    # candidates are found in single precision where that cannot overflow, within its rounding; all that counts is computed in double
+    single = pivots.shape[1] < 1 << 16 and 1e-20 < norm < 1e30
+    kind, rough = ("float32", slack + 4 * (pivots.shape[1] + 8) * 2.0 ** -23 * norm) if single else ("float64", slack)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -108,17 +128,34 @@ def _nearest_vectors(reps: DataFrame, m: int, k: int, block_rows: int, cells: in
     size, radius = np.zeros(n_cells, dtype="int64"), np.zeros(n_cells)
     for r in found:
         size[r["cell"]], radius[r["cell"]] = r["n"], r["radius"]
-    parts = literal(spark, [(r["cell"], -(-r["n"] // block_rows)) for r in found], "cell int, parts int")
+    counts = {r["cell"]: -(-r["n"] // block_rows) for r in found}
+    n_groups = max(GROUPS, -(-m * pivots.shape[1] // TILE_VALUES))
+    units, in_group, reached = [], np.zeros((n_cells, n_groups), dtype=bool), 0
+    for c in _along(pivots):
+        for part in range(counts.get(c, 0)):
+            group = min(n_groups - 1, int(reached * n_groups / m))
+            units.append((c, counts[c], part, group))
+            in_group[c, group] = True
+            reached += size[c] / counts[c]
+    units = literal(spark, units, "cell int, parts int, part int, grp int")
+    parts = units.select("cell", "parts").distinct()
     first, _ = hash_halves(hash_text("id", 1))
     members = F.collect_list(F.struct("id", "x", "own")).alias("m")
-    blocks = placed.join(F.broadcast(parts), "cell").groupBy("cell", (first % F.col("parts")).alias("part")).agg(members)
-    blocks = materialise(blocks.select(
-        "cell", F.col("m.id").alias("keys"), F.flatten("m.x").alias("flat"), F.col("m.own").alias("own")), "blocks")
+    blocks = placed.join(F.broadcast(parts), "cell").withColumn("part", (first % F.col("parts")).cast("int")).join(
+        F.broadcast(units.drop("parts")), ["cell", "part"]).groupBy("cell", "part", "grp").agg(members)
+    blocks = blocks.select("cell", "grp", F.col("m.id").alias("keys"), F.flatten("m.x").alias("flat"), F.col("m.own").alias("own"))
+
+    def wanted_cells(x: np.ndarray, own: np.ndarray, bound: np.ndarray, cells) -> np.ndarray:
+        """The cells that may hold something within the bound of a row."""
+        far = np.sqrt(np.maximum(_squares(x, pivots[cells]) - slack, 0))
+        # by the triangle inequality, and as the other cell's rows are nearer to its pivot
+        least = np.maximum(far - radius[cells], (far - own[:, None] - math.sqrt(2 * slack)) / 2)
+        return (least <= bound[:, None]) & (size[cells] > 0)
 
     def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Per block and cell the rows that may have a neighbour there, with the distance none of theirs exceeds."""
+        """Every row with the distance none of its neighbours exceeds and the groups that may hold one."""
         for b in batches:
-            for all_keys, flat, all_own in zip(b["keys"], b["flat"], b["own"]):
+            for cell, group, all_keys, flat, all_own in zip(b["cell"], b["grp"], b["keys"], b["flat"], b["own"]):
                 keys, x = _block(all_keys, flat)
                 own, bound = np.asarray(all_own), np.full(len(x), np.inf)
                 if len(x) > k:
@@ -126,53 +163,69 @@ def _nearest_vectors(reps: DataFrame, m: int, k: int, block_rows: int, cells: in
                         d = _squares(x[start:start + STRIP], x)
                         d[np.arange(len(d)), start + np.arange(len(d))] = np.inf
                         bound[start:start + STRIP] = np.sqrt(np.partition(d, k - 1, axis=1)[:, k - 1] + slack)
-                far = _squares(x, pivots)
-                if len(x) <= k:
+                else:
                     # the nearest cells that hold enough rows, wherever in them these lie
-                    most = np.sqrt(far + slack) + radius
+                    most = np.sqrt(_squares(x, pivots) + slack) + radius
                     order = np.argsort(most, axis=1)
                     enough = (np.cumsum(size[order], axis=1) > k).argmax(axis=1)
                     bound = most[np.arange(len(x)), order[np.arange(len(x)), enough]]
-                far = np.sqrt(np.maximum(far - slack, 0))
-                # by the triangle inequality, and as the other cell's rows are nearer to its pivot
-                least = np.maximum(far - radius, (far - own[:, None] - math.sqrt(2 * slack)) / 2)
-                wanted = (least <= bound[:, None]) & (size > 0)
-                for c in np.flatnonzero(wanted.any(axis=0)):
-                    rows = wanted[:, c]
-                    yield pd.DataFrame({
-                        "cell": [int(c)], "names": [keys[rows].tolist()], "points": [x[rows].ravel()], "bounds": [bound[rows]]})
-
-    doubles = T.ArrayType(T.DoubleType())
-    asked = blocks.mapInPandas(reach, T.StructType([
-        T.StructField("cell", T.IntegerType()), T.StructField("names", T.ArrayType(id_type)),
-        T.StructField("points", doubles), T.StructField("bounds", doubles)]))
-    pairs = asked.join(blocks.drop("own"), "cell").drop("cell")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for names, points, bounds, keys, flat in zip(b["names"], b["points"], b["bounds"], b["keys"], b["flat"]):
-                left_keys, left = _block(names, points)
-                right_keys, right = _block(keys, flat)
-                limit = np.asarray(bounds) ** 2 + slack
-                for start in range(0, len(left), STRIP):
-                    own = slice(start, start + STRIP)
-                    d = _squares(left[own], right)
-                    d[left_keys[own][:, None] == right_keys[None, :]] = np.inf
-                    top = limit[own]
-                    if len(right) > k:
-                        top = np.minimum(top, np.partition(d, k - 1, axis=1)[:, k - 1] + slack)
-                    i, j = np.nonzero(d <= top[:, None])
-                    exact = np.sqrt(((left[own][i] - right[j]) ** 2).sum(axis=1))
-                    order = np.lexsort((right_keys[j], exact, i))
-                    i, j, exact = i[order], j[order], exact[order]
-                    rank = np.arange(len(i)) - np.searchsorted(i, i)
-                    kept = rank < k
-                    yield pd.DataFrame({
-                        "id": left_keys[own][i[kept]], "other": right_keys[j[kept]], "distance": exact[kept]})
-
+                wanted = wanted_cells(x, own, bound, slice(None)) @ in_group
+                yield pd.DataFrame({
+                    "id": keys, "x": list(x), "cell": np.full(len(x), cell, "int32"), "grp": np.full(len(x), group, "int32"), "own": own,
+                    "bound": bound, "wants": [np.flatnonzero(w).astype("int32") for w in wanted]})
+
+    asked = materialise(blocks.mapInPandas(reach, T.StructType([
+        *placed_type.fields[:3], T.StructField("grp", T.IntegerType()), T.StructField("own", T.DoubleType()),
+        T.StructField("bound", T.DoubleType()), T.StructField("wants", T.ArrayType(T.IntegerType()))])), "reach")
+    queries = asked.select("id", "x", "cell", "own", "bound", F.col("grp").alias("h"), F.explode("wants").alias("g"))
+    # at most the square of the number of groups
+    pairs = queries.select(F.col("g").alias("into"), F.col("h").alias("whence")).distinct()
+    others = asked.select(F.col("id").alias("other"), F.col("x").alias("y"), F.col("cell").alias("there"), F.col("grp").alias("into")).join(
+        F.broadcast(pairs), "into")
     hit_type = T.StructType([
         T.StructField("id", id_type), T.StructField("other", id_type), T.StructField("distance", T.DoubleType())])
-    hits = pairs.mapInPandas(compare, hit_type)
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """The nearest rows of one group for the rows of another."""
+        found = []
+        if len(left) and len(right):
+            left, right = left.sort_values("cell", kind="stable"), right.sort_values("there", kind="stable")
+            names, x, own, bound = np.array(list(left["id"])), _vectors(left["x"]), left["own"].to_numpy(), left["bound"].to_numpy()
+            others, y, cells = np.array(list(right["other"])), _vectors(right["y"]), right["there"].to_numpy()
+            here, begins = np.unique(cells, return_index=True)
+            ends, yy = np.append(begins[1:], len(cells)), (y * y).sum(axis=1).astype(kind)
+            x_rough, y_rough = x.astype(kind) * -2, y.astype(kind)
+            for start in range(0, len(x), STRIP):
+                some = slice(start, start + STRIP)
+                a, limit = x[some], bound[some] ** 2 + rough
+                visit = np.flatnonzero(wanted_cells(a, own[some], bound[some], here).any(axis=0))
+                at = np.concatenate([np.arange(begins[c], ends[c]) for c in visit]) if len(visit) else np.empty(0, "int64")
+                best = np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0)
+                aa = (a * a).sum(axis=1)[:, None]
+                for low in range(0, len(at), COMPARED):
+                    few = at[low:low + COMPARED]
+                    d = x_rough[some] @ y_rough[few].T
+                    d += yy[few]
+                    i, j = np.nonzero(d <= (limit[:, None] - aa + rough).astype(kind))
+                    if len(i) > 8 * (k + 1) * len(a) and len(few) > k + 1:
+                        # the row itself may be among them
+                        near = np.partition(d, k, axis=1)[:, k] + 2 * rough
+                        i, j = np.nonzero(d <= np.minimum(limit - aa[:, 0] + rough, near)[:, None].astype(kind))
+                    other = few[j]
+                    differs = names[some][i] != others[other]
+                    i, other = i[differs], other[differs]
+                    exact = np.sqrt(((a[i] - y[other]) ** 2).sum(axis=1))
+                    i, other, exact = (np.concatenate(p) for p in zip(best, (i, other, exact)))
+                    order = np.lexsort((others[other], exact, i))
+                    i, other, exact = i[order], other[order], exact[order]
+                    rank = np.arange(len(i)) - np.searchsorted(i, i)
+                    last = rank == k - 1
+                    limit[i[last]] = np.minimum(limit[i[last]], exact[last] ** 2 + rough)
+                    best = i[rank < k], other[rank < k], exact[rank < k]
+                found.append(pd.DataFrame({"id": names[some][best[0]], "other": others[best[1]], "distance": best[2]}))
+        return pd.concat(found) if found else pd.DataFrame({"id": [], "other": [], "distance": []})
+
+    hits = queries.groupBy("g", "h").cogroup(others.groupBy("into", "whence")).applyInPandas(compare, hit_type)
     best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "other"))), 1, k)
     return hits.groupBy("id").agg(best.alias("hits"))
 
@@ -186,7 +239,9 @@ def nearest_neighbours(
     pivot, of which there are about the square root of their number, and cells
     are cut into blocks of bounded size.  A row's ``k``-th distance inside its
     block bounds its search: it visits only the cells that may hold something
-    nearer, and only what lies within the bound leaves a task.  Where the data
+    nearer.  Cells travel in groups, of which there are ``GROUPS`` or as many as keep
+    a group in memory: a row is sent once to each group where it visits a cell, and
+    only its nearest ``k`` there leave a task.  Where the data
     has no structure (very many dimensions) the work stays quadratic, as exact
     search is.  Ties go to the smaller key; vectors must not be null.
     """

@@ -11,7 +11,7 @@ from riskgrain.operators.adaboost import AdaBoost
 from riskgrain.plans.hash_rank import hash_ranked
 from riskgrain.plans.order_stats import bucket_ends, filled_buckets, quantile_table, rank_search
 from riskgrain.plans.prefix import bucketed
-from riskgrain.session import literal
+from riskgrain.session import literal, materialise
 from riskgrain.streaming.jobs import enrich_stream
 
 
@@ -169,3 +169,19 @@ def test_neighbours_of_equal_vectors(spark):
     rows = spark.range(9).select("id", F.array(F.lit(1.0)).alias("x"))
     got = {(r["key"], r["rank"]): r["neighbour"] for r in resample.nearest_neighbours(rows, "id", "x", 2).collect()}
     assert len(got) == 18 and got[0, 1] == 1 and got[0, 2] == 2 and got[1, 2] == 2 and got[8, 1] == 0 and got[8, 2] == 1
+
+
+def test_neighbours_are_sent_once_a_group(spark, monkeypatch):
+    """Vectors without structure visit nearly all of 60 cells, but travel to each of a few groups once."""
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(1_500, 6)) * 10.0 ** rng.integers(-3, 1)
+    rows = literal(spark, [(k, [float(v) for v in p]) for k, p in enumerate(points)], "id bigint, x array<double>")
+    kept = {}
+    monkeypatch.setattr(resample, "materialise", lambda df, stem="stage": kept.setdefault(stem, materialise(df, stem)))
+    got = {(r["key"], r["rank"]): r["neighbour"] for r in resample.nearest_neighbours(rows, "id", "x", 3, 25).collect()}
+    far = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(far, np.inf)
+    near = np.argsort(far, axis=1)[:, :3]
+    assert got == {(i, r + 1): int(near[i, r]) for i in range(1_500) for r in range(3)}
+    sent = kept["reach"].agg(F.sum(F.size("wants")).alias("n"), F.count("*").alias("rows")).first()
+    assert sent["rows"] == 1_500 and sent["n"] <= resample.GROUPS * 1_500
