@@ -25,6 +25,8 @@ from .line_dedup import fresh
 FEATURES = 1 << 13
 SAMPLE = 4000
 CHUNK_CHARS = 1 << 20
+#: Rows whose texts are Python strings at the same time.
+ROWS = 512
 _SHIFT = np.uint32(32 - 13)
 
 
@@ -169,7 +171,7 @@ def accepted(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str
 
     def run(batches):
         letters = _letters()
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, len(b), ROWS)):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             found = [
                 model.predict(*g) if k and model.labels else ("und", 0.0)
