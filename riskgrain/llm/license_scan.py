@@ -22,7 +22,8 @@ from .line_dedup import ascii_lower, bound
 
 #: Words of a template that are looked up in a file.
 LOOKED_UP = 3
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words; splitting there costs a sixth of the search for the words themselves.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrases whose every place counts, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -79,7 +80,7 @@ def _literal(words) -> Column:
 
 def words_of(text: Column) -> Column:
     """Words of the text with A-Z lower-cased."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
 def document_frequencies(docs: DataFrame, vocabulary: list[str], text: str = "text") -> dict[str, int]:

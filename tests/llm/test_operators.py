@@ -3,6 +3,7 @@
 import hashlib
 import re
 import struct
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -84,6 +85,27 @@ def test_license_places(spark, documents, messy):
     assert by_id(license_scan.scan(more))[901]["labels"] == "apache-2.0"
 
 
+def test_license_words_in_time(spark):
+    """The words are those of the pattern, in well under the time of a search for it."""
+    odd = [None, "", " ", "--", "a", " A ", "Ünder-É;2.0", "x\U0001F600Y z\u2028\u00a0q", "a\x00B\x7f\x80", "\u212Ab `c{d}", "\nend\n"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "id long, text string")
+    found = {r["id"]: r["w"] for r in rows.select("id", license_scan.words_of(F.col("text")).alias("w")).collect()}
+    assert found == {k: WORD.findall((t or "").translate(LOWER)) for k, t in enumerate(odd)}
+
+    many = spark.range(6_000).repartition(8).select(F.concat(F.repeat(F.lit("Licensed under the terms, "), 200), F.col("id").cast("string")).alias("text"))
+
+    def seconds(words):
+        took = []
+        for _ in range(3):
+            start = time.time()
+            assert many.agg(F.sum(F.size(words))).first()[0] == 6_000 * 801
+            took.append(time.time() - start)
+        return min(took)
+
+    searched = seconds(F.regexp_extract_all(F.lower("text"), F.lit(WORD.pattern), F.lit(0)))
+    assert seconds(license_scan.words_of(F.col("text"))) < 0.7 * searched
+
+
 def test_license_templates_against_search(documents, messy):
     """A document gets a template's label exactly if its mandatory phrases stand as in the template."""
     phrases = set(license_scan.PHRASES.values())
