@@ -1,18 +1,17 @@
 """Approximate address resolution: the gazetteer's closest address within a few edits.
 
-Two strings within ``k`` edits that both have more than ``k * q`` grams of ``q`` characters share one of their
-``k * q + 1`` rarest grams, at places at most ``k`` apart, and differ in length by at most ``k``.  So only
-those grams are posted, under (gram, length); a frequent gram is posted by a string only if nearly all
-of its grams are frequent.  Rarity is counted in ``CELLS`` cells of gram hashes: any fixed order loses no pair, and the
-counts have a fixed size.  Shorter strings, for which this says nothing, meet in what is left of them after up to
-``k`` deletions.  Candidates are verified by the edit distance, which stops at ``k``.
+A string ``t`` cut into ``k + 1`` pieces of nearly equal length keeps one of them whole in any ``s`` within ``k`` edits.  Of
+these take the first piece ``i`` up to whose end there are fewer than ``i`` edits: it is whole, with ``i - 1`` edits
+before and at most ``k + 1 - i`` after it, so ``s`` holds it at one of a few places (19 in all for two edits).  Pieces grow with the
+string, so the longer it is the fewer others meet it.  Strings with pieces of under ``2 * q`` characters would
+meet too many; they meet in what is left of them after up to ``k`` deletions.  Both are posted as 64-bit keys, and
+candidates are verified by the edit distance, which stops at ``k``.
 
 Distinct strings are matched, so an address that fills a third of the table is matched once.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,32 +19,42 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import materialise
 from .enrich import one_place
 
-CELLS = 8_192
 
+def numbers(first: Column | int, last: Column | int) -> Column:
+    """The whole numbers from ``first`` to ``last``, none if it is smaller."""
+    first, last = (x if isinstance(x, Column) else F.lit(x) for x in (first, last))
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
-def grams(text: Column, q: int) -> Column:
-    """``(gram, place)`` of every run of ``q`` characters."""
-    places = F.when(F.length(text) >= q, F.sequence(F.lit(1), F.length(text) - (q - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(F.substring(text, i, F.lit(q)).alias("gram"), i.alias("place")))
 
+def piece(size: Column, pieces: int, i: int) -> tuple[Column, Column]:
+    """Start and length of piece ``i`` (both from 1) of a string of ``size`` characters; the last ones take what is over."""
+    least, over = F.floor(size / pieces).cast("int"), size % pieces
+    return least * (i - 1) + F.greatest(F.lit(0), over - (pieces - i + 1)) + 1, least + (F.lit(pieces - i) < over).cast("int")
 
-def cell(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(CELLS)).cast("int")
 
+def piece_key(size: Column, i: int, text: Column, start: Column, length: Column) -> Column:
+    return F.xxhash64(size, F.lit(i), F.substring(text, start, length))
 
-def gram_counts(strings: DataFrame, q: int) -> Column:
-    """How often the grams of each cell occur, as one literal of ``CELLS`` numbers."""
-    found = strings.select(F.explode(grams(F.col("s"), q)).alias("g")).groupBy(cell(F.col("g.gram")).alias("cell")).count()
-    counts = [0] * CELLS
-    for c, n in found.collect():
-        counts[c] = n
-    return F.from_json(F.lit(json.dumps(counts)), "array<bigint>")
 
+def own_pieces(text: Column, k: int) -> Column:
+    """Keys of the string's pieces."""
+    size = F.length(text)
+    return F.array(*[piece_key(size, i, text, *piece(size, k + 1, i)) for i in range(1, k + 2)])
 
-def rarest(text: Column, q: int, most: int, counts: Column) -> Column:
-    """The ``most`` rarest grams, in an order that is the same for all strings."""
-    rated = F.transform(grams(text, q), lambda g: F.struct(F.get(counts, cell(g["gram"])).alias("n"), g["gram"].alias("gram"), g["place"].alias("place")))
-    return F.slice(F.array_sort(rated), 1, most)
+
+def pieces_within(text: Column, k: int, least: int) -> Column:
+    """Keys of the pieces that strings of ``least`` characters or more may share with this one."""
+    size = F.length(text)
+
+    def at(i: int, other: Column) -> Column:
+        start, length = piece(other, k + 1, i)
+        ahead, after = size - other, k + 1 - i
+        places = numbers(
+            F.greatest(start - (i - 1), start + ahead - after, F.lit(1)), F.least(start + (i - 1), start + ahead + after, size - length + 1))
+        return F.transform(places, lambda p: piece_key(other, i, text, p, length))
+
+    sizes = numbers(F.greatest(size - k, F.lit(least)), size + k)
+    return F.flatten(F.transform(sizes, lambda other: F.flatten(F.array(*[at(i, other) for i in range(1, k + 2)]))))
 
 
 def shortened(text: Column, k: int) -> Column:
@@ -64,21 +73,18 @@ def closest(strings: DataFrame, others: DataFrame, k: int = 2, q: int = 3) -> Da
     """``(s, match, edits)``: of the strings ``t`` of ``others`` within ``k`` edits of ``s`` the closest, the smallest of several."""
     left = materialise(strings.select("s").where("s IS NOT NULL").distinct(), "strings")
     right = materialise(others.select("t").where("t IS NOT NULL").distinct(), "others")
-    counts = gram_counts(left.unionByName(right.withColumnRenamed("t", "s")), q)
-    # with fewer characters a string may lose all its grams
-    least = k * q + q
-    posted = right.where(F.length("t") >= least).select(
-        "t", F.length("t").alias("size"), F.explode(rarest(F.col("t"), q, k * q + 1, counts)).alias("g")).select("t", "size", "g.gram", F.col("g.place").alias("there"))
-    asked = left.where(F.length("s") >= least).select(
-        "s", F.explode(rarest(F.col("s"), q, k * q + 1, counts)).alias("g"),
-    ).select("s", "g.gram", "g.place", F.explode(F.sequence(F.length("s") - k, F.length("s") + k)).alias("size"))
-    by_gram = asked.join(posted, ["gram", "size"]).where(F.abs(F.col("place") - F.col("there")) <= k).select("s", "t")
-    short = least - 1 + k
-    by_rest = left.where(F.length("s") <= short).select("s", F.explode(shortened(F.col("s"), k)).alias("rest")).join(
-        right.where(F.length("t") <= short).select("t", F.explode(shortened(F.col("t"), k)).alias("rest")), "rest").where(
-        F.abs(F.length("s") - F.length("t")) <= k).select("s", "t")
-    edits = F.levenshtein("s", "t", k)
-    near = by_gram.unionByName(by_rest).withColumn("edits", edits).where("edits >= 0")
+    least = 2 * q * (k + 1)
+    none = F.array().cast("array<bigint>")
+
+    def remains(text: Column) -> Column:
+        return F.transform(shortened(text, k), lambda rest: F.xxhash64(rest))
+
+    posted = right.select("t", F.explode(F.when(F.length("t") >= least, own_pieces(F.col("t"), k)).otherwise(remains(F.col("t")))).alias("key"))
+    asked = left.select("s", F.explode(F.array_distinct(F.concat(
+        F.when(F.length("s") >= least - k, pieces_within(F.col("s"), k, least)).otherwise(none),
+        F.when(F.length("s") < least + k, remains(F.col("s"))).otherwise(none)))).alias("key"))
+    pairs = asked.join(posted, "key").where(F.abs(F.length("s") - F.length("t")) <= k).select("s", "t")
+    near = pairs.withColumn("edits", F.levenshtein("s", "t", k)).where("edits >= 0")
     best = near.groupBy("s").agg(F.min(F.struct("edits", "t")).alias("b"))
     return best.select("s", F.col("b.t").alias("match"), F.col("b.edits").alias("edits"))
 

@@ -9,7 +9,7 @@ from ..operators.closest import resolve_closest
 from ..operators.enrich import (
     attach_label, distances, next_batch, pending, resolve, run_batch, stored_results,
 )
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from ..streaming.jobs import daily_stream, enrich_stream
 from .registry import query, rounded, table
 
@@ -101,6 +101,8 @@ def typed_addresses(spark, sf):
     """``(doc_id, home)`` with typing errors, and the gazetteer of the right spellings."""
     clean = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "[^ -~]", "").alias("text")).select(
         "doc_id", F.substring("text", F.lit(1), (4 + F.col("doc_id") % 37).cast("int")).alias("address"))
+    # whole texts are cleaned once, what is left of them is short
+    clean = materialise(clean, "addresses")
 
     def part(start: int, length=None):
         return F.substring("address", F.lit(start), F.lit(length) if isinstance(length, int) else F.length("address") if length is None else length)

@@ -64,6 +64,33 @@ def test_hot_address_and_odd_rows(spark):
     assert resolve_closest(table, ["home"], places.limit(0)).where("home_match IS NOT NULL").count() == 0
 
 
+def test_lengths_and_repeats(spark):
+    """Any edits at any place of strings of all lengths around the change from remains to pieces, of two letters only."""
+    rng = random.Random(5)
+    places = sorted({"".join(rng.choice("ab") for _ in range(n)) for n in range(0, 34) for _ in range(4)})
+    typos = {t for p in places for t in (p, "", p + "ba", "ab" + p, p[2:], p[:-2], p[1:-1], "b" + p + "a", p[:9] + "ab" + p[9:], p[:5] + p[6:17] + "b" + p[17:])}
+    typos = sorted(typos | {mistyped(rng, p, e) for p in places for e in (1, 2, 3)})
+    found = {r["s"]: (r["edits"], r["match"]) for r in closest(
+        spark.createDataFrame([(t,) for t in typos], "s string"), spark.createDataFrame([(p,) for p in places], "t string")).collect()}
+    want = {t: min((plain_edits(t, p), p) for p in places if abs(len(p) - len(t)) <= 2) for t in typos if any(abs(len(p) - len(t)) <= 2 for p in places)}
+    assert found == {t: b for t, b in want.items() if b[0] <= 2}
+
+
+def test_many_addresses_of_few_grams_in_time(spark):
+    """Addresses that all consist of the same few grams meet only where longer pieces agree."""
+    syllables = F.array(*[F.lit(x) for x in ("the", "er", "and", "in", "th", "a ", "on", "re")])
+
+    def spoken(seed):
+        return F.concat(*[F.element_at(syllables, (F.pmod(F.xxhash64("id", F.lit(seed + k)), F.lit(8)) + 1).cast("int")) for k in range(12)])
+
+    places = spark.range(30_000).repartition(8).select(spoken(0).alias("t"))
+    typed = spark.range(60_000).repartition(8).select(
+        F.when(F.col("id") % 2 == 0, F.overlay(spoken(0), F.lit("#"), F.lit(5), F.lit(2))).otherwise(spoken(100)).alias("s"))
+    start = time.time()
+    found = closest(typed, places)
+    assert found.where(F.col("s").contains("#")).count() >= 14_900 and time.time() - start < 45
+
+
 def test_shortened(spark):
     found = spark.range(1).select(shortened(F.lit("abca"), 2).alias("r")).first()["r"]
     assert sorted(found) == sorted({"abca", "bca", "aca", "aba", "abc", "ca", "ba", "bc", "aa", "ac", "ab"})
