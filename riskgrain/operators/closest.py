@@ -5,7 +5,8 @@ these take the first piece ``i`` up to whose end there are fewer than ``i`` edit
 before and at most ``k + 1 - i`` after it, so ``s`` holds it at one of a few places (19 in all for two edits).  Pieces grow with the
 string, so the longer it is the fewer others meet it.  Strings with pieces of under ``2 * q`` characters would
 meet too many; they meet in what is left of them after up to ``k`` deletions.  Both are posted as 64-bit keys, and
-candidates are verified by the edit distance, which stops at ``k``.
+candidates are verified by the edit distance, which stops at ``k``.  A table of strings says nothing about the number of its
+keys, so keys are never broadcast: they meet in a sort-merge join, whatever the estimates are.
 
 Distinct strings are matched, so an address that fills a third of the table is matched once.
 """
@@ -73,6 +74,10 @@ def closest(strings: DataFrame, others: DataFrame, k: int = 2, q: int = 3) -> Da
     """``(s, match, edits)``: of the strings ``t`` of ``others`` within ``k`` edits of ``s`` the closest, the smallest of several."""
     left = materialise(strings.select("s").where("s IS NOT NULL").distinct(), "strings")
     right = materialise(others.select("t").where("t IS NOT NULL").distinct(), "others")
+    spark = strings.sparkSession
+    # a small file is one task, and a string has up to a few hundred keys
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    left, right = left.repartition(tasks, "s"), right.repartition(tasks, "t")
     least = 2 * q * (k + 1)
     none = F.array().cast("array<bigint>")
 
@@ -83,7 +88,7 @@ def closest(strings: DataFrame, others: DataFrame, k: int = 2, q: int = 3) -> Da
     asked = left.select("s", F.explode(F.array_distinct(F.concat(
         F.when(F.length("s") >= least - k, pieces_within(F.col("s"), k, least)).otherwise(none),
         F.when(F.length("s") < least + k, remains(F.col("s"))).otherwise(none)))).alias("key"))
-    pairs = asked.join(posted, "key").where(F.abs(F.length("s") - F.length("t")) <= k).select("s", "t")
+    pairs = asked.join(posted.hint("merge"), "key").where(F.abs(F.length("s") - F.length("t")) <= k).select("s", "t")
     near = pairs.withColumn("edits", F.levenshtein("s", "t", k)).where("edits >= 0")
     best = near.groupBy("s").agg(F.min(F.struct("edits", "t")).alias("b"))
     return best.select("s", F.col("b.t").alias("match"), F.col("b.edits").alias("edits"))
@@ -98,7 +103,7 @@ def resolve_closest(df: DataFrame, fields: Sequence[str], gazetteer: DataFrame,
     places = materialise(one_place(gazetteer), "places")
     texts = df.select(F.explode(F.array(*[F.col(f).cast("string") for f in fields])).alias("s"))
     found = closest(texts, places.select(F.col("address").alias("t")), k, q)
-    known = materialise(found.join(places, F.col("match") == F.col("address")).select("s", "match", "edits", "lat", "lon"), "resolved")
+    known = materialise(found.join(places.hint("merge"), F.col("match") == F.col("address")).select("s", "match", "edits", "lat", "lon"), "resolved")
     for f in fields:
         named = known.select(F.col("s").alias("_s"), *[F.col(c).alias(f"{f}_{c}") for c in ("match", "edits", "lat", "lon")])
         df = df.join(named, F.col(f).cast("string") == F.col("_s"), "left").drop("_s")

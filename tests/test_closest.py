@@ -91,6 +91,17 @@ def test_many_addresses_of_few_grams_in_time(spark):
     assert found.where(F.col("s").contains("#")).count() >= 14_900 and time.time() - start < 45
 
 
+def test_keys_are_not_broadcast(spark):
+    """A small table of short strings has some hundred times as many keys; they stay off the driver."""
+    places = spark.range(2_000).select(F.format_string("%016x", F.xxhash64("id")).alias("t"))
+    typed = places.select(F.concat(F.lit("-"), F.substring("t", 2, 20)).alias("s"))
+    found = closest(typed, places)
+    assert found.where("edits = 1").count() == 2_000
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_shortened(spark):
     found = spark.range(1).select(shortened(F.lit("abca"), 2).alias("r")).first()["r"]
     assert sorted(found) == sorted({"abca", "bca", "aca", "aba", "abc", "ca", "ba", "bc", "aa", "ac", "ab"})
