@@ -1,6 +1,7 @@
 """Sources, sinks and scratch space."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from riskgrain import session
 from riskgrain.session import literal, scratch_path
 from riskgrain.sources import delimited, keyword_files, runs, wide
+from riskgrain.workloads import files
 
 
 def test_blank_lines_survive_transcoding(spark):
@@ -113,3 +115,60 @@ def test_wide_files_are_read_in_blocks(spark, tmp_path, charset, end):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert sorted(whole) == sorted(want)
     assert [r[0] for r in wide.wide_lines(spark, str(tmp_path / "a.txt"), charset).collect()] == lines
+
+
+def test_chain_of_charsets_keeps_one_lot_at_a_time(spark, tmp_path, monkeypatch):
+    """All lines go the whole way, while of what lies between only a lot is on the disk; the source stays unless it may be used up."""
+    lines = [f"{k} 客户 \u0a0a \u010a" if k % 5 else "" for k in range(20_000)]
+    source = tmp_path / "in put.txt"
+    literal(spark, [(x,) for x in lines], "value string").repartition(16).write.text(str(source))
+    size = sum(f.stat().st_size for f in source.glob("part-*"))
+    lots = delimited.file_lots(spark, str(source), 4)
+    assert len(lots) == 4 and sorted(f for lot in lots for f in lot) == sorted(f"file:{f}" for f in source.glob("part-*"))
+    held, plain = [], delimited.transcode
+
+    def watched(spark, *args):
+        path = plain(spark, *args)
+        between = [p for p in session._written[spark.sparkContext.applicationId] if "/lines-UTF-" in p]
+        held.append(sum(f.stat().st_size for p in between for f in Path(p.removeprefix("file:")).glob("part-*")))
+        return path
+
+    monkeypatch.setattr(delimited, "transcode", watched)
+    for keep in (True, False):
+        final = delimited.transcode_chain(
+            spark, str(source), ["UTF-8", "UTF-16LE", "UTF-32", "UTF-8"], f"{tmp_path}/out-{keep}", lots=4, keep_source=keep)
+        assert sorted(r["line"] for r in delimited.read_lines(spark, final).collect()) == sorted(lines)
+        assert bool(list(source.glob("part-*"))) == keep
+    assert len(held) == 24 and size / 4 < max(held) < 2 * size
+    with pytest.raises(ValueError):
+        plain(spark, [final], "UTF-8", None, "UTF-16")
+
+
+def test_chain_of_charsets_without_rows(spark, tmp_path):
+    spark.range(0).selectExpr("string(id) AS value").write.text(f"{tmp_path}/none.txt")
+    final = delimited.transcode_chain(spark, f"{tmp_path}/none.txt", ["UTF-8", "UTF-16LE", "UTF-8"], f"{tmp_path}/out")
+    assert delimited.read_lines(spark, final).count() == 0
+
+
+def test_wide_query_needs_little_disk(spark, tmp_path, monkeypatch):
+    """The query's files take about twice the room of the texts at most; all four charsets' files together take eight times as much."""
+    texts = spark.range(0, 8_000, 1, 16).selectExpr("id AS doc_id", "concat('line ', id % 100, '\n', repeat(string(id % 10), 500)) AS text")
+    texts.write.parquet(f"{tmp_path}/documents.parquet")
+    size = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0]
+    top = Path(session.shared_dir(spark).removeprefix("file:")) / "riskgrain"
+    seen, plain = [], delimited.transcode
+
+    def held():
+        return sum(f.stat().st_size for f in top.glob("*lines*/part-*"))
+
+    def watched(*args):
+        path = plain(*args)
+        seen.append(held())
+        return path
+
+    before = held()
+    for module in (delimited, files):
+        monkeypatch.setattr(module, "transcode", watched)
+    found = files.transcoded_wide(spark, str(tmp_path))
+    assert found.count() == 110 and found.agg(F.sum("n")).first()[0] == 16_000
+    assert size < max(seen) - before < 2.6 * size
